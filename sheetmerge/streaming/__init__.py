@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The merge is one batch run per invocation: choose a template, choose the
+sources, answer the anomalies, write one result. There is no watermark,
+window, state or late data anywhere in what is being rebuilt, so this
+package is deliberately empty.
+"""
