@@ -307,3 +307,137 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["FIXTURES", "ORACLE", "QUERIES", "flagship"]
+
+
+# --- 2.1 / 2.8 file operators ----------------------------------------------------------------
+# Each writes the derived fixture as real files into a fresh folder under the
+# shared checkpoint folder (kept: the result is lazy), then reads it back.
+from sheetmerge.plans.fixture_files import write_files  # noqa: E402
+from sheetmerge.session import scratch_path  # noqa: E402
+from sheetmerge.sources import csv as csv_source, listing, sink, xlsx  # noqa: E402
+
+LOCK_STUB = "~${file}"
+XLS_STUB = "{stem}.xls"
+
+
+def source_dir(spark: SparkSession, sf_dir: str, xlsx_files: bool = True, csv_files: bool = True) -> str:
+    out = scratch_path(spark, "sources")
+    if xlsx_files:
+        f = _fx(spark, sf_dir, "customer")
+        write_files(f.headers, f.rows, out, "xlsx", stubs=(LOCK_STUB, XLS_STUB))
+    if csv_files:
+        f = _fx(spark, sf_dir, "customer_csv")
+        write_files(f.headers, f.rows, out, "csv")
+    return out
+
+
+_XLSX_FILE = "'nation_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '.xlsx'"
+_CSV_FILE = "'nation_' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '_' || lower(c_mktsegment) || '.csv'"
+_LISTED = (
+    f"SELECT DISTINCT {_XLSX_FILE} AS file, 'xlsx' AS format FROM customer "
+    f"UNION ALL SELECT DISTINCT {_CSV_FILE}, 'csv' FROM customer"
+)
+
+
+def _register_raw(name: str, sql: str | None):
+    def wrap(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+
+    return wrap
+
+
+@_register_raw(
+    "list_sources",
+    _LISTED + f" UNION ALL SELECT DISTINCT '~$' || {_XLSX_FILE}, 'xlsx' FROM customer",
+)
+def q_list_sources(spark, sf_dir):
+    d = source_dir(spark, sf_dir)
+    return listing.list_sources(spark, d, skip_lock_files=False).select("file", "format")
+
+
+@_register_raw("skip_lock_files", _LISTED)
+def q_skip_lock_files(spark, sf_dir):
+    d = source_dir(spark, sf_dir)
+    return listing.list_sources(spark, d).select("file", "format")
+
+
+@_register_raw(
+    "select_sources",
+    f"SELECT DISTINCT {_XLSX_FILE} AS file, 'xlsx' AS format FROM customer "
+    "JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 0",
+)
+def q_select_sources(spark, sf_dir):
+    d = source_dir(spark, sf_dir, csv_files=False)
+    nation = spark.read.parquet(f"{sf_dir.rstrip('/')}/nation.parquet")
+    chosen = nation.where(F.col("n_regionkey") == 0).select(
+        F.format_string("nation_%02d.xlsx", F.col("n_nationkey")).alias("file")
+    )
+    return listing.select_sources(listing.list_sources(spark, d), chosen).select("file", "format")
+
+
+_ROWS_TEXT = (
+    "SELECT file, sheet, row_no, array_to_string(list_transform(vals, lambda x: coalesce(x, '∅')), '|') AS vals_text "
+    "FROM fx_rows"
+)
+
+
+def _rows_text(rows: DataFrame) -> DataFrame:
+    return rows.select("file", "sheet", "row_no", F.array_join("vals", "|", "∅").alias("vals_text"))
+
+
+@register("scan_csv", _ROWS_TEXT, fixture="customer_csv")
+def q_scan_csv(spark, sf_dir):
+    d = source_dir(spark, sf_dir, xlsx_files=False)
+    _, rows = csv_source.scan_csv(spark, d, listing.list_sources(spark, d))
+    return _rows_text(rows)
+
+
+@register("csv_virtual_sheet", "SELECT file, sheet, col_idx, name FROM fx_headers", fixture="customer_csv")
+def q_csv_virtual_sheet(spark, sf_dir):
+    d = source_dir(spark, sf_dir, xlsx_files=False)
+    headers, _ = csv_source.scan_csv(spark, d)
+    return headers
+
+
+@register("row_numbers", _ROWS_TEXT, fixture="customer_csv")
+def q_row_numbers(spark, sf_dir):
+    """CSV read in splittable mode with tiny splits: numbering across splits."""
+    d = source_dir(spark, sf_dir, xlsx_files=False)
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "2048")
+    try:
+        _, rows = csv_source.scan_csv(spark, d, multi_line=False)
+    finally:
+        spark.conf.set(key, old)
+    return _rows_text(rows)
+
+
+@register("scan_workbooks", _ROWS_TEXT, fixture="customer")
+def q_scan_workbooks(spark, sf_dir):
+    d = source_dir(spark, sf_dir, csv_files=False)
+    _, rows = xlsx.scan_workbooks(spark, d, listing.list_sources(spark, d))
+    return _rows_text(rows)
+
+
+@register("read_template", "SELECT sheet, t_idx, name FROM fx_template", fixture="customer")
+def q_read_template(spark, sf_dir):
+    out = scratch_path(spark, "template")
+    th = _fx(spark, sf_dir, "customer").template_headers
+    as_headers = th.select(F.lit("template.xlsx").alias("file"), "sheet", F.col("t_idx").alias("col_idx"), "name")
+    write_files(as_headers, as_headers.sparkSession.createDataFrame([], model.ROWS), out, "xlsx")
+    return xlsx.read_template(spark, f"{out}/template.xlsx")
+
+
+@register("write_result", oracle.sheet_select("customer_csv", model.CSV_SHEET), fixture="customer_csv")
+def q_write_result(spark, sf_dir):
+    d = source_dir(spark, sf_dir, xlsx_files=False)
+    headers, rows = csv_source.scan_csv(spark, d, listing.list_sources(spark, d))
+    f = _fx(spark, sf_dir, "customer_csv")
+    res = merge_tables(spark, f.template_headers, headers, rows, f.decisions)
+    out = scratch_path(spark, "result")
+    sink.write_result(res, out)
+    return sink.read_result(spark, out)[model.CSV_SHEET]

@@ -128,6 +128,44 @@ CUSTOMER = Fixture(
     CUSTOMER_DECISIONS,
 )
 
+# The same customer data as CSV files: every (nation, segment) is one file,
+# read as the virtual sheet Sheet1 (file operators and the CSV merge).
+def _csv_file(k: int, segment: str) -> str:
+    return f"nation_{k:02d}_{segment.lower()}.csv"
+
+
+CUSTOMER_SEGMENTS = CUSTOMER_SHEETS + ("MACHINERY",)
+
+CUSTOMER_CSV = Fixture(
+    "customer_csv",
+    (
+        Part(
+            table="customer",
+            file="'nation_' || lpad(cast(c_nationkey as string), 2, '0') || '_' || lower(c_mktsegment) || '.csv'",
+            sheet=f"'{model.CSV_SHEET}'",
+            variant="c_nationkey % 10",
+            variants=CUSTOMER_VARIANTS,
+            row_partition=("c_nationkey", "c_mktsegment"),
+            row_order=("c_custkey",),
+        ),
+    ),
+    TemplateSpec(
+        names=(model.SOURCE_NAME_COLUMN, "custkey", "name", "tag", "tag", "acctbal"),
+        sheets=(model.CSV_SHEET,),
+    ),
+    tuple(
+        _dec(_csv_file(k, s), model.CSV_SHEET, model.KIND_UNSELECTED, "tag", col, occ, model.SELECT)
+        for k in (4, 14, 24)
+        for s in CUSTOMER_SEGMENTS
+        for col, occ in ((1, 1), (3, 2))
+    )
+    + tuple(
+        _dec(_csv_file(k, "BUILDING"), model.CSV_SHEET, model.KIND_EXTRA, "note", 2, None, model.CANCEL_FILE,
+             "note is not a template column")
+        for k in (7, 17)
+    ),
+)
+
 # ---------------------------------------------------------------------------
 # 2.3 customer, supplier, nation as three CSV files (the flagship merge)
 # ---------------------------------------------------------------------------
@@ -257,7 +295,7 @@ LINEITEM = Fixture(
     ),
 )
 
-FIXTURES = {f.name: f for f in (CUSTOMER, THREE, LINEITEM)}
+FIXTURES = {f.name: f for f in (CUSTOMER, CUSTOMER_CSV, THREE, LINEITEM)}
 
 
 # ---------------------------------------------------------------------------
