@@ -71,3 +71,10 @@ def template_layout(template_headers: DataFrame) -> dict[str, list[str | None]]:
     return {
         s: [cells.get(i) for i in range(max(cells) + 1)] for s, cells in layout.items()
     }
+
+
+def check_layout(layout: dict[str, list[str | None]]) -> None:
+    """Same rule as :func:`assert_template`, on the collected layout."""
+    bad = {s: names[0] if names else None for s, names in layout.items() if not names or names[0] != SOURCE_NAME_COLUMN}
+    if bad:
+        raise ValueError(f"template column 1 must be {SOURCE_NAME_COLUMN!r}; got {bad}")

@@ -295,7 +295,29 @@ LINEITEM = Fixture(
     ),
 )
 
-FIXTURES = {f.name: f for f in (CUSTOMER, CUSTOMER_CSV, THREE, LINEITEM)}
+# lineitem as CSV files: one file per (supplier group, return flag), sheet Sheet1
+LINEITEM_CSV = Fixture(
+    "lineitem_csv",
+    (
+        Part(
+            table="lineitem",
+            file="'supp_' || lpad(cast(l_suppkey % 200 as string), 3, '0') || '_' || lower(l_returnflag) || '.csv'",
+            sheet=f"'{model.CSV_SHEET}'",
+            variant="l_suppkey % 10",
+            variants=LINEITEM_VARIANTS,
+            row_partition=("l_suppkey % 200", "l_returnflag"),
+            row_order=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"),
+        ),
+    ),
+    TemplateSpec(names=LINEITEM_TEMPLATE_NAMES, sheets=(model.CSV_SHEET,)),
+    tuple(
+        _dec(f"supp_{k:03d}_n.csv", model.CSV_SHEET, model.KIND_EXTRA, "comment", 11, None, model.CANCEL_FILE,
+             "comment column")
+        for k in range(8, 200, 10)
+    ),
+)
+
+FIXTURES = {f.name: f for f in (CUSTOMER, CUSTOMER_CSV, THREE, LINEITEM, LINEITEM_CSV)}
 
 
 # ---------------------------------------------------------------------------

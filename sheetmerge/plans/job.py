@@ -8,10 +8,12 @@ Stages (each a DataFrame; nothing is collected except the template header):
 4. ONE alignment pass over ``rows`` per output (narrow, no shuffle when the
    column map is broadcast)
 
-With ``materialize=True`` the header-sized intermediate tables that later
-stages reuse are written with ``checkpoint()`` to the shared folder named
-by ``spark.checkpoint.dir``, so lineage is cut and a lost executor only
-recomputes its own tasks.
+With ``materialize=True`` the intermediate tables that later stages reuse
+(sheet profile, detection facts, column map; all header-sized) are written
+once as Parquet to the shared folder named by ``spark.checkpoint.dir`` and
+read back, so lineage is cut, a lost executor never re-runs the detection
+pass, and each is computed exactly once (``DataFrame.checkpoint`` would
+compute its input twice: once to count, once to save).
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ from pyspark.sql import functions as F
 
 from sheetmerge.model import DECISIONS
 from sheetmerge.operators import audit, decisions as dec, detect, match, merge, resolve
-from sheetmerge.operators.template import assert_template, template_layout
+from sheetmerge.operators.template import check_layout, template_layout
 from sheetmerge.plans.sizing import (
     DEFAULT_MAX_BROADCAST_BYTES,
     SheetStats,
     maybe_broadcast,
     measure_profile,
 )
-from sheetmerge.session import checkpoint_dir
+from sheetmerge.sources.land import land
 
 
 @dataclass
@@ -76,14 +78,13 @@ class MergePlan:
         self.materialize = materialize
         self.max_broadcast_bytes = max_broadcast_bytes
         if check_template:
-            assert_template(template_headers)
+            check_layout(self.layout)
 
     # -- helpers -------------------------------------------------------------
-    def _keep(self, df: DataFrame) -> DataFrame:
+    def _keep(self, df: DataFrame, label: str) -> DataFrame:
         if not self.materialize:
             return df
-        checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+        return land(self.spark, df, label)
 
     # -- template --------------------------------------------------------------
     @cached_property
@@ -109,7 +110,7 @@ class MergePlan:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return self._keep(detect.sheet_profile(self.headers, self.template_headers))
+        return self._keep(detect.sheet_profile(self.headers, self.template_headers), "profile")
 
     @cached_property
     def stats(self) -> SheetStats:
@@ -137,7 +138,7 @@ class MergePlan:
     @cached_property
     def facts(self) -> DataFrame:
         profile = maybe_broadcast(self.profile, self.stats.profile_bytes(), self.max_broadcast_bytes)
-        return self._keep(detect.scan_rows(self.rows, profile))
+        return self._keep(detect.scan_rows(self.rows, profile), "facts")
 
     @cached_property
     def overflow(self) -> DataFrame:
@@ -168,7 +169,7 @@ class MergePlan:
 
     @cached_property
     def mapping(self) -> DataFrame:
-        return self._keep(resolve.build_mapping(self.assignment, self.cancelled))
+        return self._keep(resolve.build_mapping(self.assignment, self.cancelled), "mapping")
 
     # -- audit ------------------------------------------------------------------------
     @cached_property
