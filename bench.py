@@ -28,10 +28,10 @@ def noop(df) -> None:
 
 
 def run_result(res) -> None:
-    for df in res.sheets.values():
-        noop(df)
-    noop(res.exceptions)
-    noop(res.cancelled)
+    from sheetmerge.sources.sink import run_concurrently
+
+    outputs = list(res.sheets.values()) + [res.exceptions, res.cancelled]
+    run_concurrently([lambda d=df: noop(d) for df in outputs])
 
 
 def main() -> None:

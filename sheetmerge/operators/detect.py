@@ -18,8 +18,7 @@ from pyspark.sql import types as T
 
 from sheetmerge.functions import is_blank, not_blank, ordered_text, pick
 from sheetmerge.model import SAMPLE_ROWS
-from sheetmerge.operators.match import header_width, match_sheets
-from sheetmerge.operators.template import template_slots
+from sheetmerge.operators.template import template_sheets, template_slots
 
 FACT_OVERFLOW = "overflow"
 FACT_DUP = "dup"
@@ -67,6 +66,72 @@ def duplicate_columns(headers: DataFrame) -> DataFrame:
     )
 
 
+def annotate_headers(headers: DataFrame, template_headers: DataFrame) -> DataFrame:
+    """Every header cell with what the header-side checks need, in one pass.
+
+    -> (file, sheet, col_idx, name, width, n_s, occ, matched, in_template, n_t)
+
+    * width: header width of its sheet; n_s / occ: count and rank of its name
+      in the header (null for blank names)
+    * matched: a template sheet has this name; in_template: the template
+      sheet has this column name (表名 included); n_t: template data slots
+      (t_idx >= 1) with this name
+
+    Both windows share one shuffle: the (file, sheet) hash partitioning also
+    clusters (file, sheet, name).
+    """
+    tnames = (
+        template_headers.where(not_blank("name"))
+        .groupBy("sheet", "name")
+        .agg(F.count(F.when(F.col("t_idx") >= 1, F.lit(1))).cast("int").alias("n_t"))
+        .withColumn("in_template", F.lit(True))
+    )
+    tsheets = template_sheets(template_headers).withColumn("matched", F.lit(True))
+    by_sheet = Window.partitionBy("file", "sheet")
+    by_name = Window.partitionBy("file", "sheet", "name")
+    named = not_blank("name")
+    return (
+        headers.join(F.broadcast(tsheets), "sheet", "left")
+        .join(F.broadcast(tnames), ["sheet", "name"], "left")
+        .select(
+            "file",
+            "sheet",
+            "col_idx",
+            "name",
+            F.coalesce(F.max(F.when(named, F.col("col_idx"))).over(by_sheet) + 1, F.lit(0)).cast("int").alias("width"),
+            F.when(named, F.count(F.lit(1)).over(by_name)).cast("int").alias("n_s"),
+            F.when(named, F.row_number().over(by_name.orderBy("col_idx"))).cast("int").alias("occ"),
+            F.coalesce("matched", F.lit(False)).alias("matched"),
+            F.coalesce("in_template", F.lit(False)).alias("in_template"),
+            F.coalesce("n_t", F.lit(0)).alias("n_t"),
+        )
+    )
+
+
+def profile_from_cells(cells: DataFrame) -> DataFrame:
+    """Sheet profile (see :func:`sheet_profile`) from annotated header cells, one aggregate."""
+    named = not_blank("name")
+    is_dup = named & (F.col("n_t") >= 1) & (F.col("n_s") > 1)
+    probe = (is_blank("name") & (F.col("col_idx") < F.col("width"))) | (named & ~F.col("in_template")) | is_dup
+    agg = (
+        cells.where(F.col("matched"))
+        .groupBy("file", "sheet")
+        .agg(
+            F.max("width").alias("width"),
+            F.array_sort(F.collect_list(F.when(probe, F.col("col_idx")))).alias("probe"),
+            F.array_sort(F.collect_list(F.when(is_dup, F.struct("name", "col_idx")))).alias("pairs"),
+        )
+    )
+    dups = F.transform(
+        F.array_distinct(F.transform("pairs", lambda p: p["name"])),
+        lambda n: F.struct(
+            n.alias("name"),
+            F.transform(F.filter("pairs", lambda p: p["name"] == n), lambda p: p["col_idx"]).alias("idxs"),
+        ),
+    )
+    return agg.select("file", "sheet", "width", dups.alias("dups"), "probe")
+
+
 def sheet_profile(headers: DataFrame, template_headers: DataFrame) -> DataFrame:
     """One row per matched source sheet: what the row scan must look at.
 
@@ -78,44 +143,7 @@ def sheet_profile(headers: DataFrame, template_headers: DataFrame) -> DataFrame:
     * ``probe``: positions that may end in the exception table (blank,
       unknown or duplicated names) and so need their first five values
     """
-    names = template_headers.where(not_blank("name")).select("sheet", "name").distinct()
-    slot_names = template_slots(template_headers).select("sheet", "name").distinct()
-    cells = (
-        headers.join(header_width(headers), ["file", "sheet"])
-        .join(F.broadcast(names.withColumn("in_template", F.lit(True))), ["sheet", "name"], "left")
-        .join(F.broadcast(slot_names.withColumn("in_slots", F.lit(True))), ["sheet", "name"], "left")
-    )
-    n_s = F.count(F.lit(1)).over(Window.partitionBy("file", "sheet", "name"))
-    cells = cells.withColumn("n_s", F.when(not_blank("name"), n_s))
-    is_dup = F.coalesce(F.col("in_slots"), F.lit(False)) & (F.col("n_s") > 1)
-    probe = (
-        (is_blank("name") & (F.col("col_idx") < F.col("width")))
-        | (not_blank("name") & F.col("in_template").isNull())
-        | is_dup
-    )
-    dup_groups = (
-        cells.where(is_dup)
-        .groupBy("file", "sheet", "name")
-        .agg(F.array_sort(F.collect_list("col_idx")).alias("idxs"))
-        .groupBy("file", "sheet")
-        .agg(F.collect_list(F.struct("name", "idxs")).alias("dups"))
-    )
-    per_sheet = cells.groupBy("file", "sheet").agg(
-        F.first("width").alias("width"),
-        F.array_sort(F.collect_list(F.when(probe, F.col("col_idx")))).alias("probe"),
-    )
-    empty_dups = F.array().cast("array<struct<name:string,idxs:array<int>>>")
-    return (
-        per_sheet.join(match_sheets(headers, template_headers), ["file", "sheet"], "left_semi")
-        .join(dup_groups, ["file", "sheet"], "left")
-        .select(
-            "file",
-            "sheet",
-            "width",
-            F.coalesce("dups", empty_dups).alias("dups"),
-            "probe",
-        )
-    )
+    return profile_from_cells(annotate_headers(headers, template_headers))
 
 
 def scan_rows(rows: DataFrame, profile: DataFrame) -> DataFrame:

@@ -95,9 +95,12 @@ def slot_assignment(
     occurrence: DataFrame,
     rules: DataFrame,
     choices: DataFrame,
+    matched: DataFrame | None = None,
 ) -> DataFrame:
     """Source column feeding every template position of every matched sheet.
 
+    ``matched`` = (file, sheet) of the matched source sheets, when already known.
+
     -> (file, sheet, t_idx, name, t_occ, rule, col_idx); all template positions
     appear (slot 0 and unnamed slots with null), col_idx null = empty slot.
     """
@@ -105,7 +108,9 @@ def slot_assignment(
     positions = template_headers.select("sheet", "t_idx", "name").join(
         slots, ["sheet", "t_idx"], "left"
     )
-    grid = match_sheets(headers, template_headers).join(F.broadcast(positions), "sheet")
+    if matched is None:
+        matched = match_sheets(headers, template_headers)
+    grid = matched.select("file", "sheet").join(F.broadcast(positions), "sheet")
     with_rule = grid.join(rules.select("file", "sheet", "name", "n_s", "rule"), ["file", "sheet", "name"], "left")
     want_occ = (
         F.when(F.col("rule") == RULE_FILL_ALL, F.lit(1))
@@ -153,7 +158,10 @@ def dup_by_choice(assignment: DataFrame) -> DataFrame:
 
 
 def unselected_columns(occurrence: DataFrame, rules: DataFrame, assignment: DataFrame) -> DataFrame:
-    """Source columns of a step-3 name that no slot took. -> (file, sheet, col_idx, name)"""
+    """Source columns of a step-3 name that no slot took. -> (file, sheet, col_idx, name)
+
+    ``assignment`` may be any (file, sheet, col_idx) table of used columns.
+    """
     used = assignment.where(F.col("col_idx").isNotNull()).select("file", "sheet", "col_idx")
     return (
         occurrence.join(
@@ -166,6 +174,11 @@ def unselected_columns(occurrence: DataFrame, rules: DataFrame, assignment: Data
     )
 
 
+def used_columns(mapping: DataFrame) -> DataFrame:
+    """(file, sheet, col_idx) of every source column some slot takes."""
+    return mapping.select("file", "sheet", F.explode("m").alias("col_idx")).where(F.col("col_idx").isNotNull())
+
+
 def build_mapping(assignment: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
     """Fold the assignment into one index array per source sheet.
 

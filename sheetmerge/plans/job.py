@@ -21,17 +21,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sheetmerge.model import DECISIONS
-from sheetmerge.operators import audit, decisions as dec, detect, match, merge, resolve
-from sheetmerge.operators.template import check_layout, template_layout
+from sheetmerge.functions import is_blank, not_blank
+from sheetmerge.operators import audit, decisions as dec, detect, merge, resolve
+from sheetmerge.operators.template import check_layout, template_layout, template_slots
 from sheetmerge.plans.sizing import (
     DEFAULT_MAX_BROADCAST_BYTES,
     SheetStats,
     maybe_broadcast,
     measure_profile,
+    profile_metrics,
+    stats_from_metrics,
 )
 from sheetmerge.sources.land import land
 
@@ -77,6 +80,7 @@ class MergePlan:
         self.policy = policy
         self.materialize = materialize
         self.max_broadcast_bytes = max_broadcast_bytes
+        self._profile_stats: SheetStats | None = None
         if check_template:
             check_layout(self.layout)
 
@@ -95,43 +99,67 @@ class MergePlan:
     def width(self) -> int:
         return max((len(v) for v in self.layout.values()), default=1)
 
-    # -- header side -------------------------------------------------------------
+    # -- header side: one annotated, landed table; the rest are filters of it ----
+    @cached_property
+    def cells(self) -> DataFrame:
+        return self._keep(detect.annotate_headers(self.headers, self.template_headers), "header-cells")
+
     @cached_property
     def occurrence(self) -> DataFrame:
-        return detect.column_occurrence(self.headers)
+        return self.cells.where(not_blank("name")).select("file", "sheet", "col_idx", "name", "occ", "n_s")
 
     @cached_property
     def counts(self) -> DataFrame:
-        return resolve.name_counts(self.occurrence, self.template_headers)
+        return self.cells.where((F.col("occ") == 1) & (F.col("n_t") >= 1)).select(
+            "file", "sheet", "name", "n_s", "n_t"
+        )
 
     @cached_property
     def widths(self) -> DataFrame:
-        return match.header_width(self.headers)
+        return self.profile.select("file", "sheet", "width")
 
     @cached_property
     def profile(self) -> DataFrame:
-        return self._keep(detect.sheet_profile(self.headers, self.template_headers), "profile")
+        df = detect.profile_from_cells(self.cells)
+        if not self.materialize:
+            return df
+        obs = Observation("sheet_profile")
+        landed = land(self.spark, df.observe(obs, *profile_metrics()), "profile")
+        self._profile_stats = stats_from_metrics(obs.get)
+        return landed
+
+    @cached_property
+    def matched(self) -> DataFrame:
+        return self.profile.select("file", "sheet")
 
     @cached_property
     def stats(self) -> SheetStats:
-        return measure_profile(self.profile)
+        profile = self.profile
+        return self._profile_stats if self._profile_stats is not None else measure_profile(profile)
 
     @cached_property
     def unmatched(self) -> DataFrame:
-        return match.unmatched_sheets(self.headers, self.template_headers)
+        return self.cells.where(~F.col("matched")).select("file", "sheet").distinct()
 
     @cached_property
     def missing(self) -> DataFrame:
-        return match.missing_columns(self.headers, self.template_headers)
+        wanted = template_slots(self.template_headers).select("sheet", "name").distinct()
+        return (
+            self.matched.join(F.broadcast(wanted), "sheet")
+            .join(self.occurrence.select("file", "sheet", "name"), ["file", "sheet", "name"], "left_anti")
+            .select("file", "sheet", "name")
+        )
 
     @cached_property
     def extra(self) -> DataFrame:
-        return match.extra_columns(self.headers, self.template_headers)
+        return self.cells.where(not_blank("name") & ~F.col("in_template") & F.col("matched")).select(
+            "file", "sheet", "col_idx", "name"
+        )
 
     @cached_property
     def blank(self) -> DataFrame:
-        return match.blank_headers(self.headers).join(
-            match.match_sheets(self.headers, self.template_headers), ["file", "sheet"], "left_semi"
+        return self.cells.where(is_blank("name") & (F.col("col_idx") < F.col("width")) & F.col("matched")).select(
+            "file", "sheet", "col_idx"
         )
 
     # -- the detection pass over rows ---------------------------------------------
@@ -156,20 +184,25 @@ class MergePlan:
     @cached_property
     def assignment(self) -> DataFrame:
         return resolve.slot_assignment(
-            self.headers, self.template_headers, self.occurrence, self.rules, self.choices
+            self.headers, self.template_headers, self.occurrence, self.rules, self.choices, self.matched
         )
 
-    @cached_property
-    def unselected(self) -> DataFrame:
-        return resolve.unselected_columns(self.occurrence, self.rules, self.assignment)
-
     @cached_property
     def cancelled(self) -> DataFrame:
         return dec.cancelled_files(self.decisions, self.headers)
 
+    @cached_property
+    def mapping_all(self) -> DataFrame:
+        """Column map of every matched sheet, cancelled files included (landed)."""
+        return self._keep(resolve.build_mapping(self.assignment), "mapping")
+
     @cached_property
     def mapping(self) -> DataFrame:
-        return self._keep(resolve.build_mapping(self.assignment, self.cancelled), "mapping")
+        return self.mapping_all.join(self.cancelled.select("file"), "file", "left_anti")
+
+    @cached_property
+    def unselected(self) -> DataFrame:
+        return resolve.unselected_columns(self.occurrence, self.rules, resolve.used_columns(self.mapping_all))
 
     # -- audit ------------------------------------------------------------------------
     @cached_property

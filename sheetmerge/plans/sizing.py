@@ -35,14 +35,23 @@ class SheetStats:
         return self.n_sheets * (_ROW_OVERHEAD + 16 + _INT_BYTES * template_width) + self.key_bytes
 
 
-def measure_profile(profile: DataFrame) -> SheetStats:
+def profile_metrics() -> list[F.Column]:
+    """Aggregates giving :class:`SheetStats`; usable in ``agg`` or ``observe``."""
     dup_ints = F.aggregate("dups", F.lit(0), lambda acc, d: acc + F.size(d["idxs"]) + 1)
-    row = profile.agg(
+    return [
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.length("file") + F.length("sheet")), F.lit(0)).alias("k"),
         F.coalesce(F.sum(F.size("probe") + dup_ints), F.lit(0)).alias("i"),
-    ).collect()[0]
-    return SheetStats(int(row["n"]), int(row["k"]), int(row["i"]))
+    ]
+
+
+def stats_from_metrics(row) -> SheetStats:
+    return SheetStats(int(row["n"]), int(row["k"] or 0), int(row["i"] or 0))
+
+
+def measure_profile(profile: DataFrame) -> SheetStats:
+    """Separate job; the merge plan instead observes these while landing the profile."""
+    return stats_from_metrics(profile.agg(*profile_metrics()).collect()[0])
 
 
 def maybe_broadcast(df: DataFrame, est_bytes: int, limit: int) -> DataFrame:

@@ -10,6 +10,8 @@ the CSV sink writes the template's own header text, duplicates included.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,23 +24,38 @@ def _template_names(df: DataFrame) -> list[str]:
     return [f.metadata.get("template_name", f.name) for f in df.schema.fields]
 
 
-def write_result(result: MergeResult, out_dir: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+def run_concurrently(actions: list[Callable[[], None]], max_parallel: int = 8) -> None:
+    """Submit independent Spark jobs from driver threads so small outputs
+    share the cluster instead of queueing one after another."""
+    if len(actions) <= 1 or max_parallel <= 1:
+        for act in actions:
+            act()
+        return
+    with ThreadPoolExecutor(max_workers=min(max_parallel, len(actions))) as pool:
+        for fut in [pool.submit(a) for a in actions]:
+            fut.result()
+
+
+def write_result(
+    result: MergeResult, out_dir: str, fmt: str = "parquet", mode: str = "errorifexists", max_parallel: int = 8
+) -> None:
     spark = result.exceptions.sparkSession
     out_dir = out_dir.rstrip("/")
-    manifest = []
+    manifest, actions = [], []
     for i, (sheet, df) in enumerate(result.sheets.items()):
         path = f"{out_dir}/sheets/{i:05d}"
         names = _template_names(df)
         writer = (df.toDF(*names) if fmt == "csv" else df).write.mode(mode).format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True).option("escape", '"').option("encoding", "UTF-8")
-        writer.save(path)
+        actions.append(lambda w=writer, p=path: w.save(p))
         manifest.append((i, sheet, json.dumps(names, ensure_ascii=False)))
     for name in AUDIT_TABLES:
         writer = getattr(result, name).write.mode(mode).format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True).option("escape", '"')
-        writer.save(f"{out_dir}/{name}")
+        actions.append(lambda w=writer, p=f"{out_dir}/{name}": w.save(p))
+    run_concurrently(actions, max_parallel)
     spark.createDataFrame(manifest, "idx int, sheet string, names string").coalesce(1).write.mode(mode).json(
         f"{out_dir}/manifest"
     )
@@ -64,4 +81,4 @@ def read_audit(spark: SparkSession, out_dir: str, name: str, fmt: str = "parquet
     return reader.load(f"{out_dir.rstrip('/')}/{name}")
 
 
-__all__ = ["AUDIT_TABLES", "read_audit", "read_result", "write_result"]
+__all__ = ["AUDIT_TABLES", "read_audit", "read_result", "run_concurrently", "write_result"]
