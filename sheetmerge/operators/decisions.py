@@ -85,5 +85,8 @@ def unresolved(with_actions: DataFrame) -> DataFrame:
 
 
 def cancel_files(rows: DataFrame, cancelled: DataFrame) -> DataFrame:
-    """Drop every row of a cancelled file (anti-join on the small cancel list)."""
-    return rows.join(F.broadcast(cancelled.select("file")), "file", "left_anti")
+    """Drop every row of a cancelled file (anti-join on the cancel list,
+    broadcast after a size check)."""
+    from sheetmerge.plans.sizing import broadcast_if_small
+
+    return rows.join(broadcast_if_small(cancelled.select("file")), "file", "left_anti")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from sheetmerge.functions import is_blank, not_blank, ordered_text, pick
 from sheetmerge.model import SAMPLE_ROWS
 from sheetmerge.operators.template import template_sheets, template_slots
+from sheetmerge.plans.sizing import template_side
 
 FACT_OVERFLOW = "overflow"
 FACT_DUP = "dup"
@@ -91,8 +92,8 @@ def annotate_headers(headers: DataFrame, template_headers: DataFrame) -> DataFra
     by_name = Window.partitionBy("file", "sheet", "name")
     named = not_blank("name")
     return (
-        headers.join(F.broadcast(tsheets), "sheet", "left")
-        .join(F.broadcast(tnames), ["sheet", "name"], "left")
+        headers.join(template_side(tsheets), "sheet", "left")
+        .join(template_side(tnames), ["sheet", "name"], "left")
         .select(
             "file",
             "sheet",

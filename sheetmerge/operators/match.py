@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sheetmerge.functions import is_blank, not_blank
 from sheetmerge.operators.template import template_sheets
+from sheetmerge.plans.sizing import template_side
 
 
 def header_width(headers: DataFrame) -> DataFrame:
@@ -33,14 +34,14 @@ def file_sheets(headers: DataFrame) -> DataFrame:
 def match_sheets(headers: DataFrame, template_headers: DataFrame) -> DataFrame:
     """Source sheets that have a same-named template sheet. -> (file, sheet)"""
     return file_sheets(headers).join(
-        F.broadcast(template_sheets(template_headers)), "sheet", "left_semi"
+        template_side(template_sheets(template_headers)), "sheet", "left_semi"
     ).select("file", "sheet")
 
 
 def unmatched_sheets(headers: DataFrame, template_headers: DataFrame) -> DataFrame:
     """Source sheets no template sheet is named after (not merged). -> (file, sheet)"""
     return file_sheets(headers).join(
-        F.broadcast(template_sheets(template_headers)), "sheet", "left_anti"
+        template_side(template_sheets(template_headers)), "sheet", "left_anti"
     ).select("file", "sheet")
 
 
@@ -55,7 +56,7 @@ def match_columns(headers: DataFrame, template_headers: DataFrame) -> DataFrame:
     )
     return (
         headers.where(not_blank("name"))
-        .join(F.broadcast(slots), ["sheet", "name"])
+        .join(template_side(slots), ["sheet", "name"])
         .select("file", "sheet", "col_idx", "name", "t_idx")
     )
 
@@ -68,8 +69,8 @@ def extra_columns(headers: DataFrame, template_headers: DataFrame) -> DataFrame:
     names = template_headers.where(not_blank("name")).select("sheet", "name").distinct()
     return (
         headers.where(not_blank("name"))
-        .join(F.broadcast(template_sheets(template_headers)), "sheet", "left_semi")
-        .join(F.broadcast(names), ["sheet", "name"], "left_anti")
+        .join(template_side(template_sheets(template_headers)), "sheet", "left_semi")
+        .join(template_side(names), ["sheet", "name"], "left_anti")
         .select("file", "sheet", "col_idx", "name")
     )
 
@@ -87,7 +88,7 @@ def missing_columns(headers: DataFrame, template_headers: DataFrame) -> DataFram
     present = headers.where(not_blank("name")).select("file", "sheet", "name")
     return (
         match_sheets(headers, template_headers)
-        .join(F.broadcast(wanted), "sheet")
+        .join(template_side(wanted), "sheet")
         .join(present, ["file", "sheet", "name"], "left_anti")
         .select("file", "sheet", "name")
     )

@@ -30,6 +30,7 @@ from sheetmerge.model import (
 from sheetmerge.operators.detect import dup_equality
 from sheetmerge.operators.match import match_sheets
 from sheetmerge.operators.template import template_slots
+from sheetmerge.plans.sizing import template_side
 
 
 def name_counts(occurrence: DataFrame, template_headers: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def name_counts(occurrence: DataFrame, template_headers: DataFrame) -> DataFrame
     return (
         occurrence.groupBy("file", "sheet", "name")
         .agg(F.max("n_s").alias("n_s"))
-        .join(F.broadcast(n_t), ["sheet", "name"])
+        .join(template_side(n_t), ["sheet", "name"])
         .select("file", "sheet", "name", "n_s", "n_t")
     )
 
@@ -110,7 +111,7 @@ def slot_assignment(
     )
     if matched is None:
         matched = match_sheets(headers, template_headers)
-    grid = matched.select("file", "sheet").join(F.broadcast(positions), "sheet")
+    grid = matched.select("file", "sheet").join(template_side(positions), "sheet")
     with_rule = grid.join(rules.select("file", "sheet", "name", "n_s", "rule"), ["file", "sheet", "name"], "left")
     want_occ = (
         F.when(F.col("rule") == RULE_FILL_ALL, F.lit(1))

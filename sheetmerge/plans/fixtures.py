@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetmerge import model
+from sheetmerge.operators.numbering import number_in_order
 
 
 @dataclass(frozen=True)
@@ -355,19 +356,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def part_rows(spark: SparkSession, sf_dir: str, part: Part) -> DataFrame:
     base = _table(spark, sf_dir, part.table)
-    if part.row_no is not None:
-        row_no = F.expr(part.row_no).cast("long")
-    else:
-        w = Window.partitionBy(*[F.expr(e) for e in part.row_partition]).orderBy(
-            *[F.expr(e) for e in part.row_order]
-        )
-        row_no = F.row_number().over(w).cast("long")
-    return base.select(
+    cols = [
         F.expr(part.file).alias("file"),
         F.expr(part.sheet).alias("sheet"),
-        row_no.alias("row_no"),
         F.expr(_case_array(part, _spark_vals)).alias("vals"),
-    )
+    ]
+    if part.row_no is not None:
+        return base.select(cols[0], cols[1], F.expr(part.row_no).cast("long").alias("row_no"), cols[2])
+    # dense numbers per (file, sheet) in the fixture's order; no per-group window
+    order = [F.expr(e).alias(f"_o{i}") for i, e in enumerate(part.row_order)]
+    keyed = base.select(*cols, *order)
+    numbered = number_in_order(spark, keyed, ["file", "sheet"], [f"_o{i}" for i in range(len(order))], "fixture-rows")
+    return numbered.select("file", "sheet", F.col("row_no").cast("long"), "vals")
 
 
 def part_headers(spark: SparkSession, sf_dir: str, part: Part) -> DataFrame:

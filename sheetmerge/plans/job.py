@@ -29,6 +29,7 @@ from sheetmerge.functions import is_blank, not_blank
 from sheetmerge.operators import audit, decisions as dec, detect, merge, resolve
 from sheetmerge.operators.template import check_layout, template_layout, template_slots
 from sheetmerge.plans.sizing import (
+    template_side,
     DEFAULT_MAX_BROADCAST_BYTES,
     SheetStats,
     maybe_broadcast,
@@ -145,7 +146,7 @@ class MergePlan:
     def missing(self) -> DataFrame:
         wanted = template_slots(self.template_headers).select("sheet", "name").distinct()
         return (
-            self.matched.join(F.broadcast(wanted), "sheet")
+            self.matched.join(template_side(wanted), "sheet")
             .join(self.occurrence.select("file", "sheet", "name"), ["file", "sheet", "name"], "left_anti")
             .select("file", "sheet", "name")
         )

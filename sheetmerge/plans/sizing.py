@@ -56,3 +56,28 @@ def measure_profile(profile: DataFrame) -> SheetStats:
 
 def maybe_broadcast(df: DataFrame, est_bytes: int, limit: int) -> DataFrame:
     return F.broadcast(df) if est_bytes <= limit else df
+
+
+XLSX_MAX_COLUMNS = 16_384
+
+
+def template_side(df: DataFrame) -> DataFrame:
+    """Broadcast a table derived from the template header alone.
+
+    Bound: a template sheet has at most 16,384 columns (the xlsx limit), so
+    such a table holds at most 16,384 rows per template sheet, whatever the
+    size of the sources.
+    """
+    return F.broadcast(df)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Measure a key table (one small job: row count and string bytes) and
+    broadcast it only under ``limit``; otherwise leave the join to Spark."""
+    strings = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    key_bytes = F.lit(0)
+    for c in strings:
+        key_bytes = key_bytes + F.coalesce(F.length(c), F.lit(0))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(key_bytes).alias("b")).collect()[0]
+    est = int(row["n"]) * _ROW_OVERHEAD + int(row["b"] or 0)
+    return maybe_broadcast(df, est, limit)

@@ -23,11 +23,13 @@ CSV file is the virtual sheet ``Sheet1``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetmerge.model import CSV_SHEET
-from sheetmerge.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, maybe_broadcast
+from sheetmerge.operators.numbering import block_row_numbers
+from sheetmerge.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES
+from sheetmerge.plans.sizing import broadcast_if_small
 from sheetmerge.sources.land import land
 
 _SLACK = 2
@@ -102,30 +104,19 @@ def scan_csv(
         _trim_trailing_nulls(cols).alias("vals"),
     )
     if sources is not None:
-        scanned = scanned.join(F.broadcast(sources.select("file").distinct()), "file", "left_semi")
+        scanned = scanned.join(broadcast_if_small(sources.select("file").distinct()), "file", "left_semi")
     cells = land(spark, scanned, "csv-cells", land_to)
     return number_rows(cells, max_broadcast_bytes)
 
 
 def number_rows(cells: DataFrame, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(file, split, rid, vals) in scan order -> numbered headers and rows."""
-    splits = cells.groupBy("file", "split").agg(
-        F.min("rid").alias("first_rid"), F.count(F.lit(1)).alias("n")
-    )
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "file", "split", "first_rid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
-    )
-    # one row per file split (reads only the small columns of the landed cells)
-    stats = offsets.agg(F.count(F.lit(1)), F.sum(F.length("file"))).collect()[0]
-    est = int(stats[0]) * 96 + int(stats[1] or 0)
-    offsets = maybe_broadcast(offsets, est, max_broadcast_bytes)
-    numbered = cells.join(offsets, ["file", "split"]).select(
-        "file",
-        F.lit(CSV_SHEET).alias("sheet"),
-        (F.col("offset") + F.col("rid") - F.col("first_rid")).alias("row_no"),
-        "vals",
-    )
+    """(file, split, rid, vals) in scan order -> numbered headers and rows.
+
+    Ids are consecutive within a file split and splits follow file order, so
+    the position in the file is a block offset (``operators.numbering``).
+    """
+    numbered = block_row_numbers(cells, ["file"], "split", "rid", base=0, max_broadcast_bytes=max_broadcast_bytes)
+    numbered = numbered.select("file", F.lit(CSV_SHEET).alias("sheet"), "row_no", "vals")
     unbom = F.transform(
         "vals", lambda x, i: F.when(i == 0, F.regexp_replace(x, "^" + _BOM, "")).otherwise(x)
     )

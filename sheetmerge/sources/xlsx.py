@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetmerge.plans.sizing import broadcast_if_small
 from sheetmerge.sources.land import land
 from sheetmerge.sources.listing import list_files
 
@@ -166,7 +167,7 @@ def workbook_cells(
         ~F.col("file").startswith("~$")
     )
     if sources is not None:
-        books = books.join(F.broadcast(sources.select("file").distinct()), "file", "left_semi")
+        books = books.join(broadcast_if_small(sources.select("file").distinct()), "file", "left_semi")
     return books.mapInPandas(_parser(header_only), CELLS_SCHEMA)
 
 
