@@ -14,10 +14,10 @@ table; their prefix sums are the only window, over that small table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheetmerge.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, broadcast_if_small
+from sheetmerge.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, maybe_broadcast
 
 
 def block_row_numbers(
@@ -40,7 +40,22 @@ def block_row_numbers(
     offsets = blocks.select(
         *group_cols, block_col, "_first_id", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
     )
-    offsets = broadcast_if_small(offsets, max_broadcast_bytes)
+    # landed once (every consumer of the numbered rows reuses it); its size is
+    # observed during that write and decides the broadcast
+    from sheetmerge.sources.land import land
+
+    obs = Observation("block_offsets")
+    key_bytes = F.lit(0)
+    for c in group_cols:
+        key_bytes = key_bytes + F.coalesce(F.length(F.col(c).cast("string")), F.lit(0))
+    offsets = land(
+        df.sparkSession,
+        offsets.observe(obs, F.count(F.lit(1)).alias("n"), F.sum(key_bytes).alias("b")),
+        "block-offsets",
+    )
+    got = obs.get
+    est = int(got["n"]) * 96 + int(got["b"] or 0)
+    offsets = maybe_broadcast(offsets, est, max_broadcast_bytes)
     return (
         df.join(offsets, [*group_cols, block_col])
         .withColumn("row_no", F.col("_offset") + F.col(id_col) - F.col("_first_id") + F.lit(base))
