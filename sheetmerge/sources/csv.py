@@ -4,10 +4,11 @@ Spark's CSV reader would rename duplicate/blank header names and silently
 cut rows wider than the schema, so the files are read *without* a header
 and with an over-wide all-string schema:
 
-1. a width bound from the physical lines (commas + 1, plus slack);
-2. read with that many columns; if the last column holds anything, a
-   quoted multi-line record was wider than any single line: double and
-   read again (an action on one column, not on the data);
+1. a width bound from a small sample of lines (twice the widest, plus
+   slack), read incrementally, not a pass over the data;
+2. read with that many columns and land; the landing write observes
+   whether the last column ever holds a value (a record may have been
+   cut): only then is the read redone at double width;
 3. each record becomes ``vals`` = its cells cut after the last non-null,
    so ragged rows keep their true width;
 4. rows are numbered per file from the scan order: within a file split the
@@ -23,16 +24,18 @@ CSV file is the virtual sheet ``Sheet1``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sheetmerge.model import CSV_SHEET
 from sheetmerge.operators.numbering import block_row_numbers
 from sheetmerge.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES
 from sheetmerge.plans.sizing import broadcast_if_small
+from sheetmerge.session import scratch_path
 from sheetmerge.sources.land import land
 
 _SLACK = 2
+_SAMPLE_LINES = 10_000
 _BOM = "﻿"
 
 
@@ -55,19 +58,17 @@ def _reader(spark: SparkSession, width: int, multi_line: bool):
     )
 
 
-def width_bound(spark: SparkSession, directory: str) -> int:
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(directory)
-    got = lines.agg(F.max(F.size(F.split("value", ",", -1)))).collect()[0][0]
-    return int(got or 1) + _SLACK
-
+def width_bound(spark: SparkSession, directory: str, sample_lines: int = _SAMPLE_LINES) -> int:
+    """Schema width to start with: twice the widest sampled line, plus slack.
 
-def _cells(spark: SparkSession, directory: str, width: int, multi_line: bool) -> tuple[DataFrame, int]:
-    while True:
-        raw = _reader(spark, width, multi_line).csv(directory)
-        last = f"c{width - 1}"
-        if raw.where(F.col(last).isNotNull()).limit(1).count() == 0:
-            return raw, width
-        width *= 2
+    ``limit(..).collect()`` reads incrementally (usually one split), so this
+    costs a fraction of one file, not a pass over the directory. A wider
+    record later is caught while landing and the read is redone wider.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(directory)
+    sample = lines.select(F.size(F.split("value", ",", -1)).alias("n")).limit(sample_lines).collect()
+    widest = max((r["n"] for r in sample), default=1)
+    return 2 * widest + _SLACK
 
 
 def _trim_trailing_nulls(cols: list[str]) -> F.Column:
@@ -95,18 +96,28 @@ def scan_csv(
     ``spark.checkpoint.dir``).
     -> (headers(file, sheet, col_idx, name), rows(file, sheet, row_no, vals))
     """
-    raw, width = _cells(spark, directory, width_bound(spark, directory), multi_line)
-    cols = [f"c{i}" for i in range(width)]
-    scanned = raw.select(
-        decoded_file_name().alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("rid"),
-        _trim_trailing_nulls(cols).alias("vals"),
-    )
-    if sources is not None:
-        scanned = scanned.join(broadcast_if_small(sources.select("file").distinct()), "file", "left_semi")
-    cells = land(spark, scanned, "csv-cells", land_to)
-    return number_rows(cells, max_broadcast_bytes)
+    chosen = broadcast_if_small(sources.select("file").distinct()) if sources is not None else None
+    width = width_bound(spark, directory)
+    while True:
+        raw = _reader(spark, width, multi_line).csv(directory)
+        cols = [f"c{i}" for i in range(width)]
+        wide = Observation("csv_width")
+        raw = raw.observe(wide, F.max(F.col(cols[-1]).isNotNull().cast("int")).alias("cut"))
+        scanned = raw.select(
+            decoded_file_name().alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("rid"),
+            _trim_trailing_nulls(cols).alias("vals"),
+        )
+        if chosen is not None:
+            scanned = scanned.join(chosen, "file", "left_semi")
+        target = land_to if land_to is not None else scratch_path(spark, "csv-cells")
+        cells = land(spark, scanned, "csv-cells", target)
+        if not (wide.get.get("cut") or 0):
+            return number_rows(cells, max_broadcast_bytes)
+        # a record filled the last column, so it may have been cut: read wider
+        width *= 2
+        land_to = None
 
 
 def number_rows(cells: DataFrame, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -180,3 +180,11 @@ def test_csv_sink_keeps_duplicate_template_names(spark, tmp_path):
     back = sink.read_result(spark, str(tmp_path / "pq"))
     assert back["NAME1"].columns == ["表名", "A", "T", "T__2", "B"] and back["NAME1"].count() == 7
     assert sink.read_audit(spark, str(tmp_path / "pq"), "exceptions").count() == 5
+
+
+def test_csv_record_wider_than_the_sampled_bound_is_read_again_wider(spark, tmp_path):
+    record = ",".join(['"v%d\n"' % i for i in range(10)]) + ",end"
+    write(tmp_path / "deep.csv", "A\n" + record + "\n")
+    _, rows = csv_source.scan_csv(spark, str(tmp_path))
+    (r,) = rows.collect()
+    assert list(r["vals"]) == [f"v{i}\n" for i in range(10)] + ["end"]
