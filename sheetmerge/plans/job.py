@@ -24,7 +24,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sheetmerge.model import DECISIONS
+from sheetmerge.model import DECISIONS, TEMPLATE_HEADERS
 from sheetmerge.functions import is_blank, not_blank
 from sheetmerge.operators import audit, decisions as dec, detect, merge, resolve
 from sheetmerge.operators.template import check_layout, template_layout, template_slots
@@ -84,6 +84,13 @@ class MergePlan:
         self._profile_stats: SheetStats | None = None
         if check_template:
             check_layout(self.layout)
+        # The template header is collected once anyway (it defines the output
+        # schema; bounded by 16,384 columns per sheet). Rebuilt as a local
+        # relation, every join with it is a planned broadcast and its source
+        # (a workbook parse) is never re-run.
+        self.template_headers = spark.createDataFrame(
+            [(s, i, n) for s, names in self.layout.items() for i, n in enumerate(names)], TEMPLATE_HEADERS
+        )
 
     # -- helpers -------------------------------------------------------------
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
