@@ -21,4 +21,6 @@ def land(spark: SparkSession, df: DataFrame, label: str, path: str | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(target)
-    return spark.read.parquet(target)
+    # read back with the written schema: partition values stay strings (a
+    # sheet named '01' or '2024' must not come back as a number)
+    return spark.read.schema(df.schema).parquet(target)

@@ -187,8 +187,9 @@ def scan_workbooks(
     sources: DataFrame | None = None,
     land_to: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Every sheet of every .xlsx in ``directory`` -> (headers, rows), landed once."""
-    cells = land(spark, workbook_cells(spark, directory, sources), "xlsx-cells", land_to)
+    """Every sheet of every .xlsx in ``directory`` -> (headers, rows), landed once,
+    partitioned by sheet (each output sheet later reads only its partition)."""
+    cells = land(spark, workbook_cells(spark, directory, sources), "xlsx-cells", land_to, partition_by=("sheet",))
     return split_cells(cells)
 
 

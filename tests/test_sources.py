@@ -188,3 +188,17 @@ def test_csv_record_wider_than_the_sampled_bound_is_read_again_wider(spark, tmp_
     _, rows = csv_source.scan_csv(spark, str(tmp_path))
     (r,) = rows.collect()
     assert list(r["vals"]) == [f"v{i}\n" for i in range(10)] + ["end"]
+
+
+def test_numeric_looking_sheet_names_stay_text(spark, tmp_path):
+    w = XlsxWriter(str(tmp_path / "n.xlsx"))
+    for name in ("01", "2024"):
+        w.start_sheet(name)
+        w.row(1, ["A"])
+        w.row(2, [f"v{name}"])
+    w.close()
+    headers, rows = xlsx.scan_workbooks(spark, str(tmp_path))
+    assert sorted((r["sheet"], tuple(r["vals"])) for r in rows.collect()) == [("01", ("v01",)), ("2024", ("v2024",))]
+    th = template_df(spark, {"01": ["表名", "A"]})
+    res = merge_tables(spark, th, headers, rows)
+    assert [tuple(r) for r in res.sheets["01"].collect()] == [("n.xlsx", "v01")]
