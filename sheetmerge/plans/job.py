@@ -197,16 +197,21 @@ class MergePlan:
 
     @cached_property
     def cancelled(self) -> DataFrame:
-        return dec.cancelled_files(self.decisions, self.headers)
+        return self._keep(dec.cancelled_files(self.decisions, self.cells), "cancelled")
 
     @cached_property
     def mapping_all(self) -> DataFrame:
-        """Column map of every matched sheet, cancelled files included (landed)."""
-        return self._keep(resolve.build_mapping(self.assignment), "mapping")
+        """Column map of every matched sheet, flagged when its file is cancelled (landed)."""
+        flag = self.cancelled.select("file", F.lit(True).alias("_c"))
+        mapping = resolve.build_mapping(self.assignment).join(flag, "file", "left")
+        return self._keep(
+            mapping.select("file", "sheet", "m", F.col("_c").isNotNull().alias("cancelled")), "mapping"
+        )
 
     @cached_property
     def mapping(self) -> DataFrame:
-        return self.mapping_all.join(self.cancelled.select("file"), "file", "left_anti")
+        """What the alignment joins: a pushed-down filter of the landed map."""
+        return self.mapping_all.where(~F.col("cancelled")).select("file", "sheet", "m")
 
     @cached_property
     def unselected(self) -> DataFrame:
