@@ -20,19 +20,20 @@ from pyspark.sql import functions as F
 from sheetmerge.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, maybe_broadcast
 
 
-def block_row_numbers(
+def block_offsets(
     df: DataFrame,
     group_cols: list[str],
     block_col: str,
     id_col: str,
-    base: int = 1,
     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add ``row_no`` (from ``base``) to rows whose ``id_col`` is consecutive
-    within each (group, block) and whose blocks are ordered by ``block_col``.
+    """Per (group, block): first id and rows of the group in earlier blocks.
 
-    ``df`` must be stable across evaluations (landed), since it is read twice.
+    -> (*group_cols, block_col, _first_id, _offset), landed once; its size is
+    observed during that write and decides the broadcast.
     """
+    from sheetmerge.sources.land import land
+
     blocks = df.groupBy(*group_cols, block_col).agg(
         F.min(id_col).alias("_first_id"), F.count(F.lit(1)).alias("_n")
     )
@@ -40,10 +41,6 @@ def block_row_numbers(
     offsets = blocks.select(
         *group_cols, block_col, "_first_id", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
     )
-    # landed once (every consumer of the numbered rows reuses it); its size is
-    # observed during that write and decides the broadcast
-    from sheetmerge.sources.land import land
-
     obs = Observation("block_offsets")
     key_bytes = F.lit(0)
     for c in group_cols:
@@ -55,7 +52,11 @@ def block_row_numbers(
     )
     got = obs.get
     est = int(got["n"]) * 96 + int(got["b"] or 0)
-    offsets = maybe_broadcast(offsets, est, max_broadcast_bytes)
+    return maybe_broadcast(offsets, est, max_broadcast_bytes)
+
+
+def apply_offsets(df: DataFrame, offsets: DataFrame, group_cols: list[str], block_col: str, id_col: str,
+                  base: int = 1) -> DataFrame:
     return (
         df.join(offsets, [*group_cols, block_col])
         .withColumn("row_no", F.col("_offset") + F.col(id_col) - F.col("_first_id") + F.lit(base))
@@ -63,6 +64,23 @@ def block_row_numbers(
     )
 
 
+def block_row_numbers(
+    df: DataFrame,
+    group_cols: list[str],
+    block_col: str,
+    id_col: str,
+    base: int = 1,
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """Add ``row_no`` (from ``base``) to rows whose ``id_col`` is consecutive
+    within each (group, block) and whose blocks are ordered by ``block_col``.
+
+    ``df`` must be stable across evaluations (landed), since it is read twice.
+    """
+    offsets = block_offsets(df, group_cols, block_col, id_col, max_broadcast_bytes)
+    return apply_offsets(df, offsets, group_cols, block_col, id_col, base)
+
+
 def number_in_order(
     spark: SparkSession,
     df: DataFrame,

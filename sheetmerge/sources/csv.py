@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sheetmerge.model import CSV_SHEET
-from sheetmerge.operators.numbering import block_row_numbers
+from sheetmerge.operators.numbering import apply_offsets, block_offsets
 from sheetmerge.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES
 from sheetmerge.plans.sizing import broadcast_if_small
 from sheetmerge.session import scratch_path
@@ -125,15 +125,24 @@ def number_rows(cells: DataFrame, max_broadcast_bytes: int = DEFAULT_MAX_BROADCA
 
     Ids are consecutive within a file split and splits follow file order, so
     the position in the file is a block offset (``operators.numbering``).
+    The header is the first record of each file's first split: found by a
+    join with the offsets of split 0 (the filter reaches the scan), not by
+    numbering every row.
     """
-    numbered = block_row_numbers(cells, ["file"], "split", "rid", base=0, max_broadcast_bytes=max_broadcast_bytes)
+    offsets = block_offsets(cells, ["file"], "split", "rid", max_broadcast_bytes)
+    numbered = apply_offsets(cells, offsets, ["file"], "split", "rid", base=0)
     numbered = numbered.select("file", F.lit(CSV_SHEET).alias("sheet"), "row_no", "vals")
+    first = offsets.where((F.col("split") == 0) & (F.col("_offset") == 0)).select(
+        "file", "split", F.col("_first_id").alias("rid")
+    )
+    header_vals = cells.join(first, ["file", "split", "rid"]).select(
+        "file", F.lit(CSV_SHEET).alias("sheet"), "vals"
+    )
     unbom = F.transform(
         "vals", lambda x, i: F.when(i == 0, F.regexp_replace(x, "^" + _BOM, "")).otherwise(x)
     )
     headers = (
-        numbered.where(F.col("row_no") == 0)
-        .select("file", "sheet", F.posexplode(unbom).alias("col_idx", "name"))
+        header_vals.select("file", "sheet", F.posexplode(unbom).alias("col_idx", "name"))
         .select(
             "file",
             "sheet",
