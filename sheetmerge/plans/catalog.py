@@ -441,3 +441,18 @@ def q_write_result(spark, sf_dir):
     out = scratch_path(spark, "result")
     sink.write_result(res, out)
     return sink.read_result(spark, out)[model.CSV_SHEET]
+
+
+@register("merge_files", oracle.sheet_select(CUSTOMER, MAIN_SHEET), fixture="customer")
+def q_merge_files(spark, sf_dir):
+    """The whole run from files: 25 workbooks + a template workbook in one folder."""
+    from sheetmerge.plans import flow
+
+    d = source_dir(spark, sf_dir, csv_files=False)
+    f = _fx(spark, sf_dir, "customer")
+    as_headers = f.template_headers.select(
+        F.lit("template.xlsx").alias("file"), "sheet", F.col("t_idx").alias("col_idx"), "name"
+    )
+    write_files(as_headers, spark.createDataFrame([], model.ROWS), d, "xlsx")
+    res = flow.merge_files(spark, f"{d}/template.xlsx", d, decisions=f.decisions)
+    return res.sheets[MAIN_SHEET]
