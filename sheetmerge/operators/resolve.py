@@ -107,7 +107,7 @@ def slot_assignment(
     """
     slots = template_slots(template_headers).select("sheet", "t_idx", "t_occ")
     positions = template_headers.select("sheet", "t_idx", "name").join(
-        slots, ["sheet", "t_idx"], "left"
+        template_side(slots), ["sheet", "t_idx"], "left"
     )
     if matched is None:
         matched = match_sheets(headers, template_headers)

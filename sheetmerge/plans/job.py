@@ -82,6 +82,7 @@ class MergePlan:
         self.materialize = materialize
         self.max_broadcast_bytes = max_broadcast_bytes
         self._profile_stats: SheetStats | None = None
+        self._header_bytes: int | None = None
         if check_template:
             check_layout(self.layout)
         # The template header is collected once anyway (it defines the output
@@ -110,7 +111,24 @@ class MergePlan:
     # -- header side: one annotated, landed table; the rest are filters of it ----
     @cached_property
     def cells(self) -> DataFrame:
-        return self._keep(detect.annotate_headers(self.headers, self.template_headers), "header-cells")
+        df = detect.annotate_headers(self.headers, self.template_headers)
+        if not self.materialize:
+            return df
+        obs = Observation("header_cells")
+        key_bytes = F.length("file") + F.length("sheet") + F.coalesce(F.length("name"), F.lit(0))
+        landed = land(self.spark, df.observe(obs, F.count(F.lit(1)).alias("n"), F.sum(key_bytes).alias("b")), "header-cells")
+        got = obs.get
+        self._header_bytes = int(got["n"]) * 96 + int(got["b"] or 0)
+        return landed
+
+    def _header_side(self, df: DataFrame) -> DataFrame:
+        """Broadcast a table derived from the header cells when their measured
+        size allows (without statistics the planner multiplies join inputs and
+        picks shuffle joins for these small tables)."""
+        self.cells
+        if self._header_bytes is None:
+            return df
+        return maybe_broadcast(df, self._header_bytes, self.max_broadcast_bytes)
 
     @cached_property
     def occurrence(self) -> DataFrame:
@@ -192,7 +210,12 @@ class MergePlan:
     @cached_property
     def assignment(self) -> DataFrame:
         return resolve.slot_assignment(
-            self.headers, self.template_headers, self.occurrence, self.rules, self.choices, self.matched
+            self.headers,
+            self.template_headers,
+            self._header_side(self.occurrence),
+            self._header_side(self.rules),
+            self._header_side(self.choices),
+            self.matched,
         )
 
     @cached_property
@@ -215,7 +238,9 @@ class MergePlan:
 
     @cached_property
     def unselected(self) -> DataFrame:
-        return resolve.unselected_columns(self.occurrence, self.rules, resolve.used_columns(self.mapping_all))
+        return resolve.unselected_columns(
+            self.occurrence, self._header_side(self.rules), self._header_side(resolve.used_columns(self.mapping_all))
+        )
 
     # -- audit ------------------------------------------------------------------------
     @cached_property
