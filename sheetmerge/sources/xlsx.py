@@ -1,10 +1,10 @@
 """Workbook scan (#6) and template scan (#8).
 
 No Spark source reads .xlsx, so this is the one place Python touches the
-data: ``binaryFile`` feeds workbook bytes to ``mapInPandas``; each input row
+data: ``binaryFile`` feeds workbook bytes to ``mapInArrow``; each input row
 is one workbook, parsed with the standard library (``zipfile`` +
-``xml.etree`` iterparse, streaming, element by element) and emitted in
-Arrow batches. Workbooks are not splittable, but Excel caps a sheet at
+``xml.etree`` iterparse, streaming, element by element) and emitted as
+Arrow record batches (no pandas in between). Workbooks are not splittable, but Excel caps a sheet at
 1,048,576 rows x 16,384 columns, so one task's work per file is bounded;
 parallelism comes from the number of files.
 
@@ -21,7 +21,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,18 +142,33 @@ def parse_workbook(data: bytes, header_only: bool = False) -> Iterator[tuple[str
                     yield name, r - 1, vals
 
 
+def _batch(buf: list[tuple]) -> pa.RecordBatch:
+    files, sheets, row_nos, vals = zip(*buf)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(files, pa.string()),
+            pa.array(sheets, pa.string()),
+            pa.array(row_nos, pa.int64()),
+            pa.array(vals, pa.list_(pa.string())),
+        ],
+        names=["file", "sheet", "row_no", "vals"],
+    )
+
+
 def _parser(header_only: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf: list[tuple] = []
         for batch in batches:
-            for file, content in zip(batch["file"], batch["content"]):
-                for sheet, row_no, vals in parse_workbook(bytes(content), header_only):
+            files = batch.column("file").to_pylist()
+            contents = batch.column("content")
+            for i, file in enumerate(files):
+                for sheet, row_no, vals in parse_workbook(contents[i].as_py(), header_only):
                     buf.append((file, sheet, row_no, vals))
                     if len(buf) >= _BATCH:
-                        yield pd.DataFrame(buf, columns=["file", "sheet", "row_no", "vals"])
+                        yield _batch(buf)
                         buf = []
         if buf:
-            yield pd.DataFrame(buf, columns=["file", "sheet", "row_no", "vals"])
+            yield _batch(buf)
 
     return run
 
@@ -168,7 +183,7 @@ def workbook_cells(
     )
     if sources is not None:
         books = books.join(broadcast_if_small(sources.select("file").distinct()), "file", "left_semi")
-    return books.mapInPandas(_parser(header_only), CELLS_SCHEMA)
+    return books.mapInArrow(_parser(header_only), CELLS_SCHEMA)
 
 
 def split_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
