@@ -33,19 +33,6 @@ from sheetmerge.operators.template import template_slots
 from sheetmerge.plans.sizing import template_side
 
 
-def name_counts(occurrence: DataFrame, template_headers: DataFrame) -> DataFrame:
-    """Names present on both sides. -> (file, sheet, name, n_s, n_t)"""
-    n_t = template_slots(template_headers).groupBy("sheet", "name").agg(
-        F.max("n_t").alias("n_t")
-    )
-    return (
-        occurrence.groupBy("file", "sheet", "name")
-        .agg(F.max("n_s").alias("n_s"))
-        .join(template_side(n_t), ["sheet", "name"])
-        .select("file", "sheet", "name", "n_s", "n_t")
-    )
-
-
 def dup_consistency(counts: DataFrame, facts: DataFrame) -> DataFrame:
     """Step 1 test for each duplicated template name.
 
