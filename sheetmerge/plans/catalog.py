@@ -404,13 +404,14 @@ def q_csv_virtual_sheet(spark, sf_dir):
 
 @register("row_numbers", _ROWS_TEXT, fixture="customer_csv")
 def q_row_numbers(spark, sf_dir):
-    """CSV read in splittable mode with tiny splits: numbering across splits."""
+    """CSV read with tiny splits: files above one split are checked for quoted
+    line breaks and read by several tasks; numbering runs across splits."""
     d = source_dir(spark, sf_dir, xlsx_files=False)
     key = "spark.sql.files.maxPartitionBytes"
     old = spark.conf.get(key)
     spark.conf.set(key, "2048")
     try:
-        _, rows = csv_source.scan_csv(spark, d, multi_line=False)
+        _, rows = csv_source.scan_csv(spark, d)
     finally:
         spark.conf.set(key, old)
     return _rows_text(rows)

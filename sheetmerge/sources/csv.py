@@ -15,8 +15,10 @@ and with an over-wide all-string schema:
    ids of ``monotonically_increasing_id`` are consecutive, so a row's
    position is (rows of the earlier splits of its file) + (offset inside
    its split). Per-split counts are one small aggregate; no window over a
-   whole file, so a file holding a third of all rows is still numbered by
-   many tasks when it is splittable (``multi_line=False``).
+   whole file.
+5. a file bigger than one split is read by many tasks unless it may hold a
+   quoted line break (found by a text pass over the big files only), so a
+   file holding a third of all rows does not become one task.
 
 Record 0 of each file is the header; data rows are numbered from 1. Every
 CSV file is the virtual sheet ``Sheet1``.
@@ -39,9 +41,10 @@ _SAMPLE_LINES = 10_000
 _BOM = "﻿"
 
 
-def decoded_file_name() -> F.Column:
+def decoded_file_name(raw: F.Column | None = None) -> F.Column:
     """Exact file name from ``_metadata.file_name`` (which is percent-encoded)."""
-    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    raw = F.col("_metadata.file_name") if raw is None else raw
+    return F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
 
 
 def _reader(spark: SparkSession, width: int, multi_line: bool):
@@ -79,19 +82,64 @@ def _trim_trailing_nulls(cols: list[str]) -> F.Column:
     return F.slice(arr, 1, last + 1)
 
 
+def _quoted_line_breaks(spark: SparkSession, directory: str, big: F.Column) -> list[str]:
+    """Raw (encoded) names of the big CSV files that may hold a quoted line break.
+
+    A quoted value can only span lines if some physical line has an odd
+    number of quote characters (escaped quotes come in pairs). One parallel
+    text pass over the big files only; the result is one name per such file.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(directory).where(big)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    odd = lines.where(quotes % 2 == 1).select(F.col("_metadata.file_name").alias("f")).distinct()
+    return [r["f"] for r in odd.collect()]
+
+
+def _with_source(df: DataFrame) -> DataFrame:
+    # metadata fields must be taken before a union (they belong to one scan)
+    return df.select(
+        "*",
+        F.col("_metadata.file_name").alias("_fname"),
+        F.col("_metadata.file_block_start").alias("_split"),
+    )
+
+
+def _raw_cells(spark: SparkSession, directory: str, width: int, multi_line: bool | None) -> DataFrame:
+    """All CSV records of the folder, read splittable wherever that is exact.
+
+    -> c0 .. c{width-1}, _fname (raw file name), _split (split offset)
+    """
+    if multi_line is not None:
+        return _with_source(_reader(spark, width, multi_line).csv(directory))
+    split_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes")).rstrip("b"))
+    size = F.col("_metadata.file_size")
+    small = _with_source(_reader(spark, width, True).csv(directory).where(size <= split_bytes))
+    dirty = _quoted_line_breaks(spark, directory, size > split_bytes)
+    name = F.col("_metadata.file_name")
+    big = _reader(spark, width, False).csv(directory).where(size > split_bytes)
+    if dirty:
+        big = big.where(~name.isin(dirty))
+        whole = _reader(spark, width, True).csv(directory).where((size > split_bytes) & name.isin(dirty))
+        small = small.unionByName(_with_source(whole))
+    return small.unionByName(_with_source(big))
+
+
 def scan_csv(
     spark: SparkSession,
     directory: str,
     sources: DataFrame | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     land_to: str | None = None,
     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """Read every ``*.csv`` in ``directory`` (restricted to ``sources.file``).
 
-    ``multi_line=True`` (default) keeps quoted line breaks inside a value,
-    at the price of reading each file in one task; ``False`` splits large
-    files across tasks and is exact for files without such values.
+    ``multi_line=None`` (default): files up to one split
+    (``spark.sql.files.maxPartitionBytes``) are read whole, so quoted line
+    breaks are kept; larger files are split across tasks unless a text pass
+    finds a line with an odd number of quotes in them, in which case that
+    file is read whole. Every read is pruned to its files by ``_metadata``
+    predicates, so no file is read twice. ``True`` / ``False`` force one mode.
     The parsed cells are landed once (``land_to`` or a fresh folder under
     ``spark.checkpoint.dir``).
     -> (headers(file, sheet, col_idx, name), rows(file, sheet, row_no, vals))
@@ -99,13 +147,13 @@ def scan_csv(
     chosen = broadcast_if_small(sources.select("file").distinct()) if sources is not None else None
     width = width_bound(spark, directory)
     while True:
-        raw = _reader(spark, width, multi_line).csv(directory)
+        raw = _raw_cells(spark, directory, width, multi_line)
         cols = [f"c{i}" for i in range(width)]
         wide = Observation("csv_width")
         raw = raw.observe(wide, F.max(F.col(cols[-1]).isNotNull().cast("int")).alias("cut"))
         scanned = raw.select(
-            decoded_file_name().alias("file"),
-            F.col("_metadata.file_block_start").alias("split"),
+            decoded_file_name(F.col("_fname")).alias("file"),
+            F.col("_split").alias("split"),
             F.monotonically_increasing_id().alias("rid"),
             _trim_trailing_nulls(cols).alias("vals"),
         )

@@ -202,3 +202,27 @@ def test_numeric_looking_sheet_names_stay_text(spark, tmp_path):
     th = template_df(spark, {"01": ["表名", "A"]})
     res = merge_tables(spark, th, headers, rows)
     assert [tuple(r) for r in res.sheets["01"].collect()] == [("n.xlsx", "v01")]
+
+
+def test_big_csv_files_split_unless_they_hold_quoted_line_breaks(spark, tmp_path):
+    clean = "A,B\n" + "".join(f"{i},x{i}\n" for i in range(3000))
+    dirty = 'A,B\n"first\nline",1\n' + "".join(f"{i},y{i}\n" for i in range(3000))
+    write(tmp_path / "clean.csv", clean)
+    write(tmp_path / "dirty.csv", dirty)
+    write(tmp_path / "small.csv", 'A,B\n"s\nt",2\n')
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        headers, rows = csv_source.scan_csv(spark, str(tmp_path))
+        got = {(r["file"], r["row_no"]): list(r["vals"]) for r in rows.collect()}
+    finally:
+        spark.conf.set(key, old)
+    assert len(got) == 3000 + 3001 + 1
+    assert got[("clean.csv", 1)] == ["0", "x0"] and got[("clean.csv", 3000)] == ["2999", "x2999"]
+    assert got[("dirty.csv", 1)] == ["first\nline", "1"] and got[("dirty.csv", 3001)] == ["2999", "y2999"]
+    assert got[("small.csv", 1)] == ["s\nt", "2"]
+    assert sorted((r["file"], r["col_idx"], r["name"]) for r in headers.collect()) == [
+        ("clean.csv", 0, "A"), ("clean.csv", 1, "B"), ("dirty.csv", 0, "A"), ("dirty.csv", 1, "B"),
+        ("small.csv", 0, "A"), ("small.csv", 1, "B"),
+    ]
