@@ -36,8 +36,11 @@ def align(rows: DataFrame, mapping: DataFrame, width: int) -> DataFrame:
 
 
 def truncate_rows(rows: DataFrame, widths: DataFrame) -> DataFrame:
-    """Cut values at or beyond the header width. ``widths`` = (file, sheet, width)."""
-    return rows.join(widths, ["file", "sheet"]).select(
+    """Cut values at or beyond the header width. ``widths`` = (file, sheet, width),
+    broadcast after a size check (it grows with the number of sheets)."""
+    from sheetmerge.plans.sizing import broadcast_if_small
+
+    return rows.join(broadcast_if_small(widths), ["file", "sheet"]).select(
         "file",
         "sheet",
         "row_no",
