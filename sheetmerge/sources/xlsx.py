@@ -187,12 +187,15 @@ def workbook_cells(
 
 
 def split_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed cells -> (headers, rows). With a ``part`` partition column
+    (landed cells) each side reads only its own partition."""
+    is_header = (F.col("part") == "h") if "part" in cells.columns else (F.col("row_no") == 0)
     headers = (
-        cells.where(F.col("row_no") == 0)
+        cells.where(is_header)
         .select("file", "sheet", F.posexplode("vals").alias("col_idx", "name"))
         .select("file", "sheet", F.col("col_idx").cast("int"), "name")
     )
-    rows = cells.where((F.col("row_no") > 0) & (F.size("vals") > 0))
+    rows = cells.where(~is_header & (F.size("vals") > 0)).select("file", "sheet", "row_no", "vals")
     return headers, rows
 
 
@@ -203,9 +206,12 @@ def scan_workbooks(
     land_to: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Every sheet of every .xlsx in ``directory`` -> (headers, rows), landed once,
-    partitioned by sheet (each output sheet later reads only its partition)."""
-    cells = land(spark, workbook_cells(spark, directory, sources), "xlsx-cells", land_to, partition_by=("sheet",))
-    return split_cells(cells)
+    partitioned by sheet and by header/data part: each output sheet reads only
+    its partition, and the header side never reads data rows."""
+    cells = workbook_cells(spark, directory, sources)
+    cells = cells.withColumn("part", F.when(F.col("row_no") == 0, F.lit("h")).otherwise(F.lit("d")))
+    landed = land(spark, cells, "xlsx-cells", land_to, partition_by=("sheet", "part"))
+    return split_cells(landed)
 
 
 def read_template(spark: SparkSession, path: str) -> DataFrame:
