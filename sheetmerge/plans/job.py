@@ -9,11 +9,13 @@ Stages (each a DataFrame; nothing is collected except the template header):
    column map is broadcast)
 
 With ``materialize=True`` the intermediate tables that later stages reuse
-(sheet profile, detection facts, column map; all header-sized) are written
-once as Parquet to the shared folder named by ``spark.checkpoint.dir`` and
-read back, so lineage is cut, a lost executor never re-runs the detection
-pass, and each is computed exactly once (``DataFrame.checkpoint`` would
-compute its input twice: once to count, once to save).
+(annotated header cells, sheet profile, detection facts, cancel list,
+column map; all header-sized) are written once as Parquet to the shared
+folder named by ``spark.checkpoint.dir`` and read back, so lineage is cut,
+a lost executor never re-runs the detection pass, and each is computed
+exactly once (``DataFrame.checkpoint`` would compute its input twice: once
+to count, once to save). Sizes needed for broadcast decisions are observed
+during those writes (``Observation``), not by extra jobs.
 """
 
 from __future__ import annotations
@@ -24,18 +26,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sheetmerge.model import DECISIONS, TEMPLATE_HEADERS
 from sheetmerge.functions import is_blank, not_blank
+from sheetmerge.model import DECISIONS, TEMPLATE_HEADERS
 from sheetmerge.operators import audit, decisions as dec, detect, merge, resolve
 from sheetmerge.operators.template import check_layout, template_layout, template_slots
 from sheetmerge.plans.sizing import (
-    template_side,
     DEFAULT_MAX_BROADCAST_BYTES,
     SheetStats,
     maybe_broadcast,
     measure_profile,
     profile_metrics,
     stats_from_metrics,
+    template_side,
 )
 from sheetmerge.sources.land import land
 
