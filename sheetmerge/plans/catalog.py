@@ -457,3 +457,15 @@ def q_merge_files(spark, sf_dir):
     write_files(as_headers, spark.createDataFrame([], model.ROWS), d, "xlsx")
     res = flow.merge_files(spark, f"{d}/template.xlsx", d, decisions=f.decisions)
     return res.sheets[MAIN_SHEET]
+
+
+@register(
+    "choices_needed",
+    "SELECT file, sheet, name, t_idx, t_occ, col_idx FROM assign WHERE rule = 'choose' AND col_idx IS NULL",
+)
+def q_choices_needed(spark, sf_dir):
+    """Pass 1 of the two-pass run: duplicate slots still waiting for a choice."""
+    f = _fx(spark, sf_dir)
+    from sheetmerge.plans.job import detect_anomalies
+
+    return detect_anomalies(spark, f.template_headers, f.headers, f.rows, f.decisions).choices_needed

@@ -92,3 +92,21 @@ def test_detect_then_choose_subset_from_the_command_line(spark, tmp_path):
     assert sorted((r["file"], r["name"], r["t_occ"]) for r in needed) == [("小表1.xlsx", "T", "1"), ("小表1.xlsx", "T", "2")]
     res = flow.merge_files(spark, str(src / "大表.xlsx"), str(src), chosen=["小表3.xlsx"])
     assert {r["表名"] for r in res.sheets["NAME1"].collect()} == {"小表3.xlsx"}
+
+
+def test_merge_command_writes_the_result_folder(spark, tmp_path):
+    from sheetmerge.__main__ import main
+
+    src = tmp_path / "src"
+    src.mkdir()
+    write_golden(src)
+    out = tmp_path / "result"
+    argv = ["merge", "--template", str(src / "大表.xlsx"), "--sources", str(src), "--out", str(out),
+            "--decisions", str(tmp_path / "decisions.csv"), "--format", "csv"]
+    assert main(argv) == 0
+    back = sink.read_result(spark, str(out), fmt="csv")
+    first_sheet = sorted((out / "sheets" / "00000").glob("*.csv"))
+    assert "".join(p.read_text(encoding="utf-8") for p in first_sheet).splitlines()[0] == "表名,A,T,T,B"
+    assert back["NAME1"].count() == 7 and back["NAME2"].count() == 1
+    cancelled = sink.read_audit(spark, str(out), "cancelled", fmt="csv").collect()
+    assert [tuple(r) for r in cancelled] == [("小表5.xlsx", "unexpected column Z")]
