@@ -14,6 +14,7 @@ The parsed cells are landed once; headers (sheet row 1) and data rows
 
 from __future__ import annotations
 
+import functools
 import io
 import posixpath
 import re
@@ -36,7 +37,6 @@ _M = "{%s}" % NS_MAIN
 
 CELLS_SCHEMA = "file string, sheet string, row_no long, vals array<string>"
 _BATCH = 4096
-_REF = re.compile(r"([A-Z]+)(\d+)")
 
 
 def letters_to_index(letters: str) -> int:
@@ -46,6 +46,13 @@ def letters_to_index(letters: str) -> int:
     return n - 1
 
 
+@functools.lru_cache(maxsize=16384)
+def _ref_column(letters: str) -> int:
+    """Column index of the letter part of a cell reference (cached: the same
+    few letters repeat on every row)."""
+    return letters_to_index(letters)
+
+
 def _text_of(elem) -> str:
     """Text of a string item: plain <t> or rich-text runs; phonetic guides skipped."""
     parts = []
@@ -117,8 +124,7 @@ def sheet_rows(fh, shared: list[str], max_row: int | None = None) -> Iterator[tu
         pos = -1
         for c in elem.iter(_M + "c"):
             ref = c.get("r")
-            m = _REF.match(ref) if ref else None
-            pos = letters_to_index(m.group(1)) if m else pos + 1
+            pos = _ref_column(ref.rstrip("0123456789")) if ref else pos + 1
             val = _cell_value(c, shared)
             if val is not None:
                 cells[pos] = val
