@@ -17,7 +17,6 @@ from __future__ import annotations
 import functools
 import io
 import posixpath
-import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
