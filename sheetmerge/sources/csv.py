@@ -82,6 +82,17 @@ def _trim_trailing_nulls(cols: list[str]) -> F.Column:
     return F.slice(arr, 1, last + 1)
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+          "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
+def size_in_bytes(value: str) -> int:
+    """A Spark size setting ('134217728b', '128m', '128MB', '1g') in bytes."""
+    text = str(value).strip().lower()
+    digits = text.rstrip("kmgtb")
+    return int(float(digits) * _UNITS[text[len(digits):]])
+
+
 def _quoted_line_breaks(spark: SparkSession, directory: str, big: F.Column) -> list[str]:
     """Raw (encoded) names of the big CSV files that may hold a quoted line break.
 
@@ -111,7 +122,7 @@ def _raw_cells(spark: SparkSession, directory: str, width: int, multi_line: bool
     """
     if multi_line is not None:
         return _with_source(_reader(spark, width, multi_line).csv(directory))
-    split_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes")).rstrip("b"))
+    split_bytes = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = F.col("_metadata.file_size")
     small = _with_source(_reader(spark, width, True).csv(directory).where(size <= split_bytes))
     dirty = _quoted_line_breaks(spark, directory, size > split_bytes)

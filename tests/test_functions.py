@@ -19,3 +19,11 @@ def test_col_letter_agrees_with_python_everywhere(spark):
 def test_col_letter_null_and_negative(spark):
     df = spark.createDataFrame([(None,), (-1,)], "i int").select(col_letter("i").alias("l"))
     assert [r["l"] for r in df.collect()] == [None, None]
+
+
+def test_spark_size_settings_parse():
+    from sheetmerge.sources.csv import size_in_bytes
+
+    assert size_in_bytes("134217728b") == 134217728
+    assert size_in_bytes("128m") == size_in_bytes("128MB") == 128 << 20
+    assert size_in_bytes("1g") == 1 << 30 and size_in_bytes("2048") == 2048
