@@ -95,7 +95,10 @@ def number_in_order(
     """
     from sheetmerge.sources.land import land
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except ValueError:  # a non-numeric setting: let the default decide
+        n = 200
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keyed = (
         df.repartitionByRange(n, *keys)

@@ -41,22 +41,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster it is set by the cluster and only read here. Where it is
-    unset (local tests) a private folder is created and registered once.
+    unset (local tests) a private folder is created and used for the rest
+    of the session.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
+    found = None
+    try:
+        found = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Connect session)
+        found = None
+    if not found:
         try:
-            configured = spark.conf.get("spark.checkpoint.dir")
+            found = spark.conf.get("spark.checkpoint.dir")
         except Exception:  # noqa: BLE001 - unset key
-            configured = None
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="sheetmerge-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+            found = None
+    if found:
+        return found
+    local = tempfile.mkdtemp(prefix="sheetmerge-ckpt-")
+    try:
+        spark.sparkContext.setCheckpointDir(local)
+        return spark.sparkContext.getCheckpointDir() or local
+    except Exception:  # noqa: BLE001
+        spark.conf.set("spark.checkpoint.dir", local)
+        return local
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
