@@ -269,8 +269,23 @@ class MergePlan:
         )
         return merge.align(self.rows, mapping, self.width)
 
+    @cached_property
+    def sheet_stats(self) -> dict[str, SheetStats]:
+        """Per template sheet: how many source sheets map into it (one small
+        job over the landed profile; one row per template sheet comes back)."""
+        got = self.profile.groupBy("sheet").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.length("file") + F.length("sheet")).alias("k")
+        )
+        return {r["sheet"]: SheetStats(int(r["n"]), int(r["k"] or 0), 0) for r in got.collect()}
+
     def sheet(self, sheet: str) -> DataFrame:
-        return merge.sheet_frame(self.aligned, sheet, self.layout[sheet])
+        """One template sheet: its slice of the column map is broadcast when
+        that slice is small enough, whatever the size of the whole map."""
+        names = self.layout[sheet]
+        est = self.sheet_stats.get(sheet, SheetStats(0, 0, 0)).mapping_bytes(len(names))
+        mapping = maybe_broadcast(self.mapping.where(F.col("sheet") == sheet), est, self.max_broadcast_bytes)
+        aligned = merge.align(self.rows.where(F.col("sheet") == sheet), mapping, len(names))
+        return merge.sheet_frame(aligned, sheet, names)
 
     def result(self) -> MergeResult:
         if self.policy == dec.POLICY_FAIL:
