@@ -282,7 +282,9 @@ class MergePlan:
         """One template sheet: its slice of the column map is broadcast when
         that slice is small enough, whatever the size of the whole map."""
         names = self.layout[sheet]
-        est = self.sheet_stats.get(sheet, SheetStats(0, 0, 0)).mapping_bytes(len(names))
+        est = self.stats.mapping_bytes(self.width)  # a slice is never bigger than the whole
+        if est > self.max_broadcast_bytes:  # only then is it worth counting per sheet
+            est = self.sheet_stats.get(sheet, SheetStats(0, 0, 0)).mapping_bytes(len(names))
         mapping = maybe_broadcast(self.mapping.where(F.col("sheet") == sheet), est, self.max_broadcast_bytes)
         aligned = merge.align(self.rows.where(F.col("sheet") == sheet), mapping, len(names))
         return merge.sheet_frame(aligned, sheet, names)
