@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sheetmerge.llm import mixing, simhash, toxicity
+from sheetmerge.llm import decontam, mixing, secrets, simhash, toxicity
 from sheetmerge.session import scratch_path
 
 
@@ -19,6 +20,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontam.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text, and ``n_chars`` follows it; all documents stay."""
+    masked = secrets.mask_secrets(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes; ``taken`` has the words taken of each, repeats counted."""
     return mixing.mixed_documents(docs)
@@ -27,6 +39,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", clean_language),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("secrets", without_secrets),
     ("mixture", mixture),
 ]
 
