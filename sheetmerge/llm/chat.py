@@ -96,7 +96,8 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     members = chosen.select("leaf", F.col("leaf").alias("node"))
     for state in reversed(rounds[:-1] or rounds):
         ups = state.filter("up is not null").select("node", "up")
-        members = members.union(members.join(ups, "node").select("leaf", F.col("up").alias("node")))
+        # written each time: a union of itself and its own join would double the plan with every round
+        members = land(spark, members.union(members.join(ups, "node").select("leaf", F.col("up").alias("node"))), "reply-members")
     depths = placed.select("node", "depth")
     turns = members.join(nodes.select("node", "role", "text"), "node").join(depths, "node")
     turns = turns.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
