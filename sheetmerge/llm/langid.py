@@ -135,12 +135,12 @@ def _phrases(x: np.ndarray, offsets: np.ndarray, symbol: np.ndarray, table: np.n
     steps = int(min(STRETCH, size.max(initial=0)))
     for k in range(steps):
         at = start + k
-        c = np.where(at < end, code[np.minimum(at, len(code) - 1)], count - 1)
+        inside = at < end
+        c = np.where(inside, code[np.minimum(at, len(code) - 1)], count - 1)
         to = table[state * count + c]
-        ends = to < 0
-        phrases += ends
-        state = np.where(ends, ~to, to).astype(np.int64)
-    phrases += state != 0
+        # a phrase begins after a byte the language doesn't have, and where the last one can't go on
+        phrases += inside & ((state == 0) | (to < 0))
+        state = np.where(to < 0, ~to, to).astype(np.int64)
     return np.bincount(row, weights=phrases, minlength=len(size))
 
 
