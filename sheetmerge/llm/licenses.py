@@ -59,7 +59,7 @@ def _words(text: str) -> list[str]:
 
 def anchors(bigrams: Sequence[str], threshold: float) -> list[str]:
     """Words, the longest first, that occur in more bigrams than a match may miss."""
-    spare = len(bigrams) * (1 - threshold / (2 - threshold))
+    spare = len(bigrams) * (1 - threshold / (2 - threshold)) + 1e-9
     words = sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w))
     for n in range(1, len(words) + 1):
         if sum(any(w in b.split() for w in words[:n]) for b in bigrams) > spare:
