@@ -131,7 +131,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
             soft -= RATE * d_soft / np.sqrt(soft_sq)
             bias_sq += d_bias**2
             bias -= RATE * d_bias / np.sqrt(bias_sq)
-    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
 def _clean_pieces(text: bytes, rng: np.random.Generator) -> list[bytes]:
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(set(ys)) < 2:
         share = float(np.mean(ys)) if ys else 0.0
         odds = np.clip(share, 0.0, 1.0)
-        return Model(np.zeros(1 << BUCKET_BITS, dtype=np.float32), 500.0 if odds == 1.0 else -500.0)
+        return Model(np.zeros(1 << BUCKET_BITS), 500.0 if odds == 1.0 else -500.0)
     return fit(bags, np.array(ys))
 
 
