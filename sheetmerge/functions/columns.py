@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EXCEL_MAX_LETTERS = 4  # XFD (16384) needs 3; 4 covers 475,254 columns
+_MAX_LETTERS = 7  # the largest int (2,147,483,646) is FXSHRXW
 
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def col_letter(idx: Column | str, max_letters: int = _EXCEL_MAX_LETTERS) -> Column:
+def col_letter(idx: Column | str, max_letters: int = _MAX_LETTERS) -> Column:
     """0-based column index -> spreadsheet letters (0 -> A, 25 -> Z, 26 -> AA).
 
     Bijective base-26, unrolled to ``max_letters`` digits so it is a plain

@@ -44,7 +44,7 @@ def block_offsets(
     obs = Observation("block_offsets")
     key_bytes = F.lit(0)
     for c in group_cols:
-        key_bytes = key_bytes + F.coalesce(F.length(F.col(c).cast("string")), F.lit(0))
+        key_bytes = key_bytes + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
     offsets = land(
         df.sparkSession,
         offsets.observe(obs, F.count(F.lit(1)).alias("n"), F.sum(key_bytes).alias("b")),

@@ -9,10 +9,12 @@ columns) plus a default policy, and the result workbook is a result folder.
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetmerge import model
 from sheetmerge.model import DECISIONS
 from sheetmerge.plans.job import DetectReport, MergePlan, MergeResult
 from sheetmerge.sources import csv as csv_source, listing, sink, xlsx
@@ -21,29 +23,40 @@ from sheetmerge.sources import csv as csv_source, listing, sink, xlsx
 def load_sources(
     spark: SparkSession,
     directory: str,
-    chosen: DataFrame | None = None,
+    chosen: Sequence[str] | None = None,
     invert: bool = False,
-    exclude: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """List, choose and scan the .xlsx and .csv files of a folder (each landed once).
+    exclude: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Choose and scan the .xlsx and .csv files of a folder (each landed once).
 
-    -> (headers, rows) over both formats.
+    The choice is a predicate on file metadata, so files left out are never
+    opened. Chosen names that match no file raise.
+    -> (headers, rows, failed(file, reason)) over both formats.
     """
-    sources = listing.select_sources(listing.list_sources(spark, directory, exclude=exclude), chosen, invert)
-    formats = {r["format"]: r["n"] for r in sources.groupBy("format").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = []
-    if formats.get("xlsx"):
-        parts.append(xlsx.scan_workbooks(spark, directory, sources.where(F.col("format") == "xlsx")))
-    if formats.get("csv"):
-        parts.append(csv_source.scan_csv(spark, directory, sources.where(F.col("format") == "csv")))
-    if not parts:
-        from sheetmerge import model
-
-        return spark.createDataFrame([], model.HEADERS), spark.createDataFrame([], model.ROWS)
-    headers, rows = parts[0]
-    for h, r in parts[1:]:
+    sources = listing.list_sources(spark, directory)
+    if chosen:
+        found = {r["file"] for r in sources.where(F.col("file").isin(list(chosen))).select("file").collect()}
+        if set(chosen) - found:
+            raise ValueError(f"chosen files that are not in {directory}: {sorted(set(chosen) - found)}")
+    formats = {r["format"] for r in sources.select("format").distinct().collect()}
+    where = listing.file_filter(chosen, invert, exclude)
+    headers = spark.createDataFrame([], model.HEADERS)
+    rows = spark.createDataFrame([], model.ROWS)
+    failed = spark.createDataFrame([], model.CANCELLED)
+    if "xlsx" in formats:
+        h, r, failed = xlsx.scan_workbooks_with_failures(spark, directory, where=where)
         headers, rows = headers.unionByName(h), rows.unionByName(r)
-    return headers, rows
+    if "csv" in formats:
+        h, r = csv_source.scan_csv(spark, directory, where=where)
+        headers, rows = headers.unionByName(h), rows.unionByName(r)
+    return headers, rows, failed
+
+
+def _folder(spark: SparkSession, path: str) -> str:
+    """Fully qualified, normalised form of a folder path."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
 
 
 def read_decisions(spark: SparkSession, path: str | None) -> DataFrame | None:
@@ -64,10 +77,9 @@ def plan_from_files(
 ) -> MergePlan:
     template = xlsx.read_template(spark, template_path)
     t_dir, t_name = posixpath.split(template_path.rstrip("/"))
-    same_dir = posixpath.normpath(t_dir) == posixpath.normpath(source_dir.rstrip("/"))
-    chosen_df = spark.createDataFrame([(c,) for c in chosen], "file string") if chosen else None
-    headers, rows = load_sources(spark, source_dir, chosen_df, invert, exclude=t_name if same_dir else None)
-    return MergePlan(spark, template, headers, rows, decisions, policy, **kwargs)
+    same_dir = _folder(spark, t_dir or ".") == _folder(spark, source_dir)
+    headers, rows, failed = load_sources(spark, source_dir, chosen, invert, exclude=[t_name] if same_dir else [])
+    return MergePlan(spark, template, headers, rows, decisions, policy, failed=failed, **kwargs)
 
 
 def merge_files(spark: SparkSession, template_path: str, source_dir: str, out_dir: str | None = None,

@@ -117,7 +117,7 @@ class MergePlan:
         if not self.materialize:
             return df
         obs = Observation("header_cells")
-        key_bytes = F.length("file") + F.length("sheet") + F.coalesce(F.length("name"), F.lit(0))
+        key_bytes = F.octet_length("file") + F.octet_length("sheet") + F.coalesce(F.octet_length("name"), F.lit(0))
         landed = land(self.spark, df.observe(obs, F.count(F.lit(1)).alias("n"), F.sum(key_bytes).alias("b")), "header-cells")
         got = obs.get
         self._header_bytes = int(got["n"]) * 96 + int(got["b"] or 0)
@@ -274,7 +274,7 @@ class MergePlan:
         """Per template sheet: how many source sheets map into it (one small
         job over the landed profile; one row per template sheet comes back)."""
         got = self.profile.groupBy("sheet").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.length("file") + F.length("sheet")).alias("k")
+            F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("file") + F.octet_length("sheet")).alias("k")
         )
         return {r["sheet"]: SheetStats(int(r["n"]), int(r["k"] or 0), 0) for r in got.collect()}
 

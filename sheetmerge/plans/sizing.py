@@ -25,7 +25,7 @@ class SheetStats:
     """Measured once per job from the (header-sized) sheet profile."""
 
     n_sheets: int
-    key_bytes: int  # sum of len(file) + len(sheet)
+    key_bytes: int  # sum of the bytes of file and sheet
     profile_ints: int  # sum of probe + duplicate index entries
 
     def profile_bytes(self) -> int:
@@ -40,7 +40,7 @@ def profile_metrics() -> list[F.Column]:
     dup_ints = F.aggregate("dups", F.lit(0), lambda acc, d: acc + F.size(d["idxs"]) + 1)
     return [
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.length("file") + F.length("sheet")), F.lit(0)).alias("k"),
+        F.coalesce(F.sum(F.octet_length("file") + F.octet_length("sheet")), F.lit(0)).alias("k"),
         F.coalesce(F.sum(F.size("probe") + dup_ints), F.lit(0)).alias("i"),
     ]
 
@@ -71,13 +71,21 @@ def template_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """Measure a key table (one small job: row count and string bytes) and
-    broadcast it only under ``limit``; otherwise leave the join to Spark."""
+def small_enough(df: DataFrame, limit: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """A key table, written once, and whether its measured size (rows and
+    string bytes) allows a broadcast."""
+    from sheetmerge.sources.land import land
+
     strings = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     key_bytes = F.lit(0)
     for c in strings:
-        key_bytes = key_bytes + F.coalesce(F.length(c), F.lit(0))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(key_bytes).alias("b")).collect()[0]
-    est = int(row["n"]) * _ROW_OVERHEAD + int(row["b"] or 0)
-    return maybe_broadcast(df, est, limit)
+        key_bytes = key_bytes + F.coalesce(F.octet_length(c), F.lit(0))
+    landed = land(df.sparkSession, df, "keys")
+    got = landed.agg(F.count(F.lit(1)).alias("n"), F.sum(key_bytes).alias("b")).collect()[0]
+    return landed, int(got["n"]) * _ROW_OVERHEAD + int(got["b"] or 0) <= limit
+
+
+def broadcast_if_small(df: DataFrame, limit: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a key table only under ``limit``; otherwise leave the join to Spark."""
+    landed, small = small_enough(df, limit)
+    return F.broadcast(landed) if small else landed

@@ -56,6 +56,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
             found = None
     if found:
         return found
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="sheetmerge-ckpt-")
     try:
         spark.sparkContext.setCheckpointDir(local)

@@ -1,182 +1,218 @@
 """CSV scan (#4, #5, #7): UTF-8 CSV files -> ``headers`` + ``rows``.
 
-Spark's CSV reader would rename duplicate/blank header names and silently
-cut rows wider than the schema, so the files are read *without* a header
-and with an over-wide all-string schema:
-
-1. a width bound from a small sample of lines (twice the widest, plus
-   slack), read incrementally, not a pass over the data;
-2. read with that many columns and land; the landing write observes
-   whether the last column ever holds a value (a record may have been
-   cut): only then is the read redone at double width;
-3. each record becomes ``vals`` = its cells cut after the last non-null,
-   so ragged rows keep their true width;
-4. rows are numbered per file from the scan order: within a file split the
-   ids of ``monotonically_increasing_id`` are consecutive, so a row's
-   position is (rows of the earlier splits of its file) + (offset inside
-   its split). Per-split counts are one small aggregate; no window over a
-   whole file.
-5. a file bigger than one split is read by many tasks unless it may hold a
-   quoted line break (found by a text pass over the big files only), so a
-   file holding a third of all rows does not become one task.
-
-Record 0 of each file is the header; data rows are numbered from 1. Every
-CSV file is the virtual sheet ``Sheet1``.
+Spark's CSV reader would rename duplicate or blank header names and needs a
+width before it reads; files here are ragged. So files are read as text,
+always splittable, and every record is cut into an array of its own width:
+there is no schema to outgrow and one path for files of any size.
+
+1. *Which lines belong together.* A record spans lines where a quoted value
+   does. A line's effect is a function of the state it starts in (outside or
+   inside a quoted value). A first pass looks, among lines with a quote
+   character, for those that open a value and don't close it; files without
+   one (nearly all) have one record per line. In the others, line effects are
+   composed within each split by running aggregates, and over the splits of
+   a file by prefix, so a big file stays split across tasks; the lines of a
+   record are then joined.
+2. *Cells.* A record without a quote character is cut at its commas by Spark.
+   One with quotes goes through Python's ``csv`` module, which has the
+   quoting rules files like these are written by: a quote opens a value only
+   at the start of a field, ``5"`` is text.
+3. *Numbers.* Records are numbered per file from the scan order: (records of
+   the earlier splits) + (place in the split). Record 0 is the header, data
+   rows count from 1, empty lines don't.
+
+An empty cell is null. Cells after the last value of a record are cut. A
+U+FEFF that starts a line is dropped. A line break inside a value is ``\\n``.
+A quoted value that is never closed runs to the end of its file.
+
+Every CSV file is the virtual sheet ``Sheet1``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import csv
+import sys
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheetmerge.model import CSV_SHEET
 from sheetmerge.operators.numbering import apply_offsets, block_offsets
-from sheetmerge.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES
-from sheetmerge.plans.sizing import broadcast_if_small
+from sheetmerge.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, broadcast_if_small
 from sheetmerge.session import scratch_path
 from sheetmerge.sources.land import land
+from sheetmerge.sources.listing import decoded_file_name, file_filter
 
-_SLACK = 2
-_SAMPLE_LINES = 10_000
 _BOM = "﻿"
+_QUOTE = '"'
 
 
-def decoded_file_name(raw: F.Column | None = None) -> F.Column:
-    """Exact file name from ``_metadata.file_name`` (which is percent-encoded)."""
-    raw = F.col("_metadata.file_name") if raw is None else raw
-    return F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+@F.arrow_udf(T.IntegerType())
+def _line_effect(lines: pa.Array) -> pa.Array:
+    """Whether a line ends inside a quoted value: bit 0 if it starts outside one, bit 1 if inside."""
+    csv.field_size_limit(sys.maxsize)
 
+    def consumed(parts: list[str]) -> int:
+        reader = csv.reader(iter(parts))
+        next(reader)
+        return reader.line_num
 
-def _reader(spark: SparkSession, width: int, multi_line: bool):
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    return (
-        spark.read.schema(schema)
-        .option("header", False)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("quote", '"')
-        .option("encoding", "UTF-8")
-        .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "*.csv")
-    )
+    def effect(line: str | None) -> int | None:
+        if line is None:
+            return None
+        # a record that takes the empty line after it hasn't ended
+        return (consumed([line + "\n", ""]) > 1) + 2 * (consumed([_QUOTE + "\n", line + "\n", ""]) > 2)
 
+    return pa.array([effect(x.as_py()) for x in lines], pa.int32())
 
-def width_bound(spark: SparkSession, directory: str, sample_lines: int = _SAMPLE_LINES) -> int:
-    """Schema width to start with: twice the widest sampled line, plus slack.
 
-    ``limit(..).collect()`` reads incrementally (usually one split), so this
-    costs a fraction of one file, not a pass over the directory. A wider
-    record later is caught while landing and the read is redone wider.
-    """
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(directory)
-    sample = lines.select(F.size(F.split("value", ",", -1)).alias("n")).limit(sample_lines).collect()
-    widest = max((r["n"] for r in sample), default=1)
-    return 2 * widest + _SLACK
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _quoted_cells(records: pa.Array) -> pa.Array:
+    csv.field_size_limit(sys.maxsize)
+    return pa.array(
+        [None if not x.is_valid else [c or None for c in next(csv.reader([x.as_py()]), [])] for x in records],
+        pa.list_(pa.string()),
+    )
 
 
-def _trim_trailing_nulls(cols: list[str]) -> F.Column:
-    arr = F.array(*[F.col(c) for c in cols])
-    last = F.lit(-1)
-    for i, c in enumerate(cols):
-        last = F.when(F.col(c).isNotNull(), F.lit(i)).otherwise(last)
-    return F.slice(arr, 1, last + 1)
+def _has_quote(value: str = "value") -> Column:
+    return F.col(value).contains(_QUOTE)
 
 
-_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
-          "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+def read_lines(spark: SparkSession, directory: str, where: Column) -> DataFrame:
+    """(file, split, value) of every line, in scan order; ``where`` prunes files."""
+    return (
+        spark.read.option("pathGlobFilter", "*.csv")
+        .text(directory)
+        .where(where)
+        .select(
+            decoded_file_name().alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.regexp_replace("value", "^" + _BOM, "").alias("value"),
+        )
+    )
 
 
-def size_in_bytes(value: str) -> int:
-    """A Spark size setting ('134217728b', '128m', '128MB', '1g') in bytes."""
-    text = str(value).strip().lower()
-    digits = text.rstrip("kmgtb")
-    return int(float(digits) * _UNITS[text[len(digits):]])
+def _composed(by: Window, effect: str) -> tuple[Column, Column]:
+    """State after each row if the first starts outside, and if it starts inside.
 
+    An effect (0-3, as :func:`_line_effect`; null changes nothing) sets the
+    state (0, 3), keeps it (2) or swaps it (1): the state is what the last
+    setting row left, swapped as often as rows since swap it.
+    """
+    swaps = F.sum(F.when(F.col(effect) == 1, 1).otherwise(0)).over(by)
+    sets = F.col(effect).isin(0, 3)
+    left = F.last(F.when(sets, (F.col(effect) == 3).cast("int")), ignorenulls=True).over(by)
+    return swaps, left
 
-def _quoted_line_breaks(spark: SparkSession, directory: str, big: F.Column) -> list[str]:
-    """Raw (encoded) names of the big CSV files that may hold a quoted line break.
 
-    A quoted value can only span lines if some physical line has an odd
-    number of quote characters (escaped quotes come in pairs). One parallel
-    text pass over the big files only; the result is one name per such file.
-    """
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(directory).where(big)
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    odd = lines.where(quotes % 2 == 1).select(F.col("_metadata.file_name").alias("f")).distinct()
-    return [r["f"] for r in odd.collect()]
-
-
-def _with_source(df: DataFrame) -> DataFrame:
-    # metadata fields must be taken before a union (they belong to one scan)
-    return df.select(
-        "*",
-        F.col("_metadata.file_name").alias("_fname"),
-        F.col("_metadata.file_block_start").alias("_split"),
-    )
+def _states(df: DataFrame, by_cols: list[str], order: str, effect: str) -> DataFrame:
+    """Adds ``after0`` / ``after1``: the state after a row that began outside / inside."""
+    by = Window.partitionBy(*by_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swaps, left = _composed(by, effect)
+    df = df.withColumn("_swaps", swaps).withColumn("_left", left)
+    at = F.last(F.when(F.col(effect).isin(0, 3), F.col("_swaps")), ignorenulls=True).over(by)
+    df = df.withColumn("_since", F.col("_swaps") - F.coalesce(at, F.lit(0)))
+    odd = F.col("_since") % 2
+
+    def state(start: int) -> Column:
+        return F.coalesce(F.col("_left"), F.lit(start)).bitwiseXOR(odd.cast("int"))
+
+    return df.withColumn("after0", state(0)).withColumn("after1", state(1)).drop("_swaps", "_left", "_since")
 
 
-def _raw_cells(spark: SparkSession, directory: str, width: int, multi_line: bool | None) -> DataFrame:
-    """All CSV records of the folder, read splittable wherever that is exact.
+def _joined_records(spark: SparkSession, lines: DataFrame, max_broadcast_bytes: int) -> DataFrame:
+    """Records of files whose values span lines. -> (file, split, rid, value)
 
-    -> c0 .. c{width-1}, _fname (raw file name), _split (split offset)
+    The windows are per split (a split has a bounded size) and per file over
+    its splits; the lines of one record meet in one row.
     """
-    if multi_line is not None:
-        return _with_source(_reader(spark, width, multi_line).csv(directory))
-    split_bytes = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = F.col("_metadata.file_size")
-    small = _with_source(_reader(spark, width, True).csv(directory).where(size <= split_bytes))
-    dirty = _quoted_line_breaks(spark, directory, size > split_bytes)
-    name = F.col("_metadata.file_name")
-    big = _reader(spark, width, False).csv(directory).where(size > split_bytes)
-    if dirty:
-        big = big.where(~name.isin(dirty))
-        whole = _reader(spark, width, True).csv(directory).where((size > split_bytes) & name.isin(dirty))
-        small = small.unionByName(_with_source(whole))
-    return small.unionByName(_with_source(big))
+    lines = lines.withColumn("rid", F.monotonically_increasing_id())
+    lines = land(spark, lines.withColumn("effect", _line_effect(F.when(_has_quote(), F.col("value")))), "csv-lines")
+    split = ["file", "split"]
+    lines = _states(lines, split, "rid", "effect")
+    splits = lines.groupBy(*split).agg(F.max_by(F.struct("after0", "after1"), "rid").alias("end"))
+    splits = splits.withColumn("effect", F.col("end.after0") + 2 * F.col("end.after1"))
+    earlier = Window.partitionBy("file").orderBy("split")
+    splits = _states(splits, ["file"], "split", "effect").select(
+        *split, F.coalesce(F.lag("after0").over(earlier), F.lit(0)).alias("start")
+    )
+    splits = land(spark, splits, "csv-splits")
+    in_split = Window.partitionBy(*split).orderBy("rid")
+    before = F.when(
+        F.col("start") == 0, F.coalesce(F.lag("after0").over(in_split), F.lit(0))
+    ).otherwise(F.coalesce(F.lag("after1").over(in_split), F.lit(1)))
+    lines = lines.join(broadcast_if_small(splits, max_broadcast_bytes), split).withColumn("before", before)
+    begins = (F.col("before") == 0) & (F.col("value") != "")
+    running = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("nth", F.sum(begins.cast("int")).over(running)).where((F.col("before") == 1) | begins)
+    lines = land(spark, lines.select(*split, "rid", "value", "nth"), "csv-lines")
+    # what continues a record of an earlier split belongs to the last record there
+    counts = lines.groupBy(*split).agg(F.max("nth").alias("n"))
+    upto = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("n") > 0, F.struct("split", "n")), ignorenulls=True).over(upto)
+    owners = broadcast_if_small(counts.select(*split, last.alias("last")), max_broadcast_bytes)
+    own = F.when(F.col("nth") > 0, F.struct("split", F.col("nth").alias("n"))).otherwise(F.col("last"))
+    keyed = lines.join(owners, split).select("file", own.alias("own"), F.struct("split", "rid", "value").alias("line"))
+    texts = F.transform(F.sort_array(F.collect_list("line")), lambda x: x["value"])
+    records = keyed.groupBy("file", "own").agg(F.array_join(texts, "\n").alias("value"))
+    return records.select("file", F.col("own.split").alias("split"), F.col("own.n").cast("long").alias("rid"), "value")
+
+
+def _cells(value: str, quotes: bool) -> Column:
+    """A record as its cells, cut after the last value."""
+    cells = F.transform(F.split(F.col(value), ",", -1), lambda x: F.when(x != "", x))
+    if quotes:
+        cells = F.when(_has_quote(value), _quoted_cells(F.when(_has_quote(value), F.col(value)))).otherwise(cells)
+    return cells
+
+
+def _cut(cells: str) -> Column:
+    last = F.array_max(F.transform(F.col(cells), lambda x, i: F.when(x.isNotNull(), i + 1)))
+    return F.slice(F.col(cells), F.lit(1), F.coalesce(last, F.lit(0)))
 
 
 def scan_csv(
     spark: SparkSession,
     directory: str,
     sources: DataFrame | None = None,
-    multi_line: bool | None = None,
     land_to: str | None = None,
     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+    where: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Read every ``*.csv`` in ``directory`` (restricted to ``sources.file``).
-
-    ``multi_line=None`` (default): files up to one split
-    (``spark.sql.files.maxPartitionBytes``) are read whole, so quoted line
-    breaks are kept; larger files are split across tasks unless a text pass
-    finds a line with an odd number of quotes in them, in which case that
-    file is read whole. Every read is pruned to its files by ``_metadata``
-    predicates, so no file is read twice. ``True`` / ``False`` force one mode.
-    The parsed cells are landed once (``land_to`` or a fresh folder under
-    ``spark.checkpoint.dir``).
+    """Read every ``*.csv`` in ``directory``.
+
+    ``where`` is a predicate on ``_metadata`` (``listing.file_filter``):
+    files that fail it aren't read. ``sources`` (a table of ``file``)
+    restricts the files by a join. The cells are landed once (``land_to`` or
+    a fresh folder under ``spark.checkpoint.dir``).
     -> (headers(file, sheet, col_idx, name), rows(file, sheet, row_no, vals))
     """
-    chosen = broadcast_if_small(sources.select("file").distinct()) if sources is not None else None
-    width = width_bound(spark, directory)
-    while True:
-        raw = _raw_cells(spark, directory, width, multi_line)
-        cols = [f"c{i}" for i in range(width)]
-        wide = Observation("csv_width")
-        raw = raw.observe(wide, F.max(F.col(cols[-1]).isNotNull().cast("int")).alias("cut"))
-        scanned = raw.select(
-            decoded_file_name(F.col("_fname")).alias("file"),
-            F.col("_split").alias("split"),
-            F.monotonically_increasing_id().alias("rid"),
-            _trim_trailing_nulls(cols).alias("vals"),
+    lines = read_lines(spark, directory, file_filter() if where is None else where)
+    if sources is not None:
+        lines = lines.join(broadcast_if_small(sources.select("file").distinct(), max_broadcast_bytes), "file", "left_semi")
+    # per file with a quote character: does a line open a value that it doesn't close
+    opens = (_line_effect(F.col("value")).bitwiseAND(F.lit(1)) == 1).alias("open")
+    quoted = lines.where(_has_quote()).select("file", opens).groupBy("file").agg(F.max("open").alias("open"))
+    quoted = land(spark, quoted, "csv-quotes")
+    quotes = quoted.limit(1).count() > 0
+    open_files = quoted.where("open").select("file")
+    spanning = open_files.limit(1).count() > 0
+    single = lines.where(F.col("value") != "").withColumn("rid", F.monotonically_increasing_id())
+    if spanning:
+        named = broadcast_if_small(open_files, max_broadcast_bytes)
+        single = single.join(named, "file", "left_anti")
+    columns = ["file", "split", "rid"]
+    records = single.select(*columns, "value")
+    if spanning:
+        records = records.unionByName(
+            _joined_records(spark, lines.join(named, "file", "left_semi"), max_broadcast_bytes).select(*columns, "value")
         )
-        if chosen is not None:
-            scanned = scanned.join(chosen, "file", "left_semi")
-        target = land_to if land_to is not None else scratch_path(spark, "csv-cells")
-        cells = land(spark, scanned, "csv-cells", target)
-        if not (wide.get.get("cut") or 0):
-            return number_rows(cells, max_broadcast_bytes)
-        # a record filled the last column, so it may have been cut: read wider
-        width *= 2
-        land_to = None
+    cells = records.select(*columns, _cells("value", quotes).alias("cells")).select(*columns, _cut("cells").alias("vals"))
+    target = land_to if land_to is not None else scratch_path(spark, "csv-cells")
+    return number_rows(land(spark, cells, "csv-cells", target), max_broadcast_bytes)
 
 
 def number_rows(cells: DataFrame, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -184,30 +220,18 @@ def number_rows(cells: DataFrame, max_broadcast_bytes: int = DEFAULT_MAX_BROADCA
 
     Ids are consecutive within a file split and splits follow file order, so
     the position in the file is a block offset (``operators.numbering``).
-    The header is the first record of each file's first split: found by a
-    join with the offsets of split 0 (the filter reaches the scan), not by
-    numbering every row.
+    The header is the first record of each file: found by a join with the
+    offset 0 (the filter reaches the scan), not by numbering every row. A
+    file without names in its first record has one header cell, without a
+    name, at column 0: its sheet exists for every later step, with width 0.
     """
     offsets = block_offsets(cells, ["file"], "split", "rid", max_broadcast_bytes)
     numbered = apply_offsets(cells, offsets, ["file"], "split", "rid", base=0)
     numbered = numbered.select("file", F.lit(CSV_SHEET).alias("sheet"), "row_no", "vals")
-    first = offsets.where((F.col("split") == 0) & (F.col("_offset") == 0)).select(
-        "file", "split", F.col("_first_id").alias("rid")
-    )
-    header_vals = cells.join(first, ["file", "split", "rid"]).select(
-        "file", F.lit(CSV_SHEET).alias("sheet"), "vals"
-    )
-    unbom = F.transform(
-        "vals", lambda x, i: F.when(i == 0, F.regexp_replace(x, "^" + _BOM, "")).otherwise(x)
-    )
-    headers = (
-        header_vals.select("file", "sheet", F.posexplode(unbom).alias("col_idx", "name"))
-        .select(
-            "file",
-            "sheet",
-            F.col("col_idx").cast("int"),
-            F.when(F.col("name") != "", F.col("name")).alias("name"),
-        )
+    first = offsets.where(F.col("_offset") == 0).select("file", "split", F.col("_first_id").alias("rid"))
+    header_vals = cells.join(first, ["file", "split", "rid"]).select("file", F.lit(CSV_SHEET).alias("sheet"), "vals")
+    headers = header_vals.select("file", "sheet", F.posexplode_outer("vals").alias("col_idx", "name")).select(
+        "file", "sheet", F.coalesce("col_idx", F.lit(0)).cast("int").alias("col_idx"), "name"
     )
     rows = numbered.where((F.col("row_no") > 0) & (F.size("vals") > 0))
     return headers, rows

@@ -9,7 +9,9 @@ the file name (the value of 表名) is exact for names with spaces, ``+``,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetmerge.model import LOCK_FILE_PREFIX, SOURCE_EXTENSIONS
@@ -19,6 +21,31 @@ def _file_name(path: F.Column) -> F.Column:
     return F.substring_index(path, "/", -1)
 
 
+def decoded_file_name(raw: Column | None = None) -> Column:
+    """Exact file name from ``_metadata.file_name`` (which is percent-encoded)."""
+    raw = F.col("_metadata.file_name") if raw is None else raw
+    return F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+
+
+def file_filter(chosen: Sequence[str] | None = None, invert: bool = False, exclude: Sequence[str] = ()) -> Column:
+    """The choice of source files as a predicate on ``_metadata``.
+
+    It prunes files before they are read, whatever the scan; the names are
+    an argument of the run. ``chosen=[]`` chooses nothing; no list at all
+    chooses every file (inverted: none). Lock files never pass.
+    """
+    name = decoded_file_name()
+    cond = ~name.startswith(LOCK_FILE_PREFIX)
+    if chosen is None:
+        hit = F.lit(True)
+    elif len(chosen):
+        hit = name.isin(list(chosen))
+    else:
+        hit = F.lit(False)
+    cond &= ~hit if invert else hit
+    return cond & ~name.isin(list(exclude)) if exclude else cond
+
+
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
     """Every file directly inside ``directory``. -> (path, file, length)"""
     listed = spark.read.format("binaryFile").load(directory)

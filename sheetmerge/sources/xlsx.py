@@ -18,21 +18,17 @@ import functools
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetmerge.plans.sizing import broadcast_if_small
+from sheetmerge.plans.sizing import small_enough
 from sheetmerge.sources.land import land
-from sheetmerge.sources.listing import list_files
-
-NS_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-NS_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-NS_PKG_REL = "http://schemas.openxmlformats.org/package/2006/relationships"
-_M = "{%s}" % NS_MAIN
+from sheetmerge.sources.listing import decoded_file_name, file_filter
 
 CELLS_SCHEMA = "file string, sheet string, row_no long, vals array<string>"
 _BATCH = 4096
@@ -52,56 +48,85 @@ def _ref_column(letters: str) -> int:
     return letters_to_index(letters)
 
 
+def _local(tag: str) -> str:
+    """Tag without its namespace (Transitional and Strict workbooks differ in it)."""
+    return tag.rpartition("}")[2]
+
+
+def _child(elem, name: str):
+    return next((c for c in elem if _local(c.tag) == name), None)
+
+
 def _text_of(elem) -> str:
     """Text of a string item: plain <t> or rich-text runs; phonetic guides skipped."""
     parts = []
     for child in elem:
-        if child.tag == _M + "t":
+        if _local(child.tag) == "t":
             parts.append(child.text or "")
-        elif child.tag == _M + "r":
-            parts.extend(t.text or "" for t in child.iter(_M + "t"))
+        elif _local(child.tag) == "r":
+            parts.extend(t.text or "" for t in child if _local(t.tag) == "t")
     return "".join(parts)
 
 
-def _shared_strings(z: zipfile.ZipFile) -> list[str]:
+def _relations(z: zipfile.ZipFile, part: str) -> list[tuple[str, str, str]]:
+    """[(id, kind, zip member)] of a part's relationships; kind = last piece of the type."""
+    folder, name = posixpath.split(part)
     try:
-        fh = z.open("xl/sharedStrings.xml")
+        fh = z.open(posixpath.join(folder, "_rels", name + ".rels"))
     except KeyError:
         return []
-    out = []
     with fh:
-        for _, elem in ET.iterparse(fh, events=("end",)):
-            if elem.tag == _M + "si":
+        out = []
+        for rel in ET.parse(fh).getroot():
+            target = rel.get("Target", "")
+            member = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(folder, target))
+            out.append((rel.get("Id"), rel.get("Type", "").rpartition("/")[2], member))
+        return out
+
+
+def _shared_strings(z: zipfile.ZipFile, member: str | None) -> list[str]:
+    if member is None or member not in z.namelist():
+        return []
+    out = []
+    with z.open(member) as fh:
+        parent = None
+        for event, elem in ET.iterparse(fh, events=("start", "end")):
+            if event == "start":
+                parent = elem if parent is None else parent
+            elif _local(elem.tag) == "si":
                 out.append(_text_of(elem))
-                elem.clear()
+                parent.clear()
     return out
 
 
-def _sheet_parts(z: zipfile.ZipFile) -> list[tuple[str, str]]:
-    """[(sheet name, zip member)] in workbook order."""
-    rels = {}
-    with z.open("xl/_rels/workbook.xml.rels") as fh:
-        for rel in ET.parse(fh).getroot():
-            target = rel.get("Target", "")
-            member = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
-            rels[rel.get("Id")] = member
-    with z.open("xl/workbook.xml") as fh:
+def _sheet_parts(z: zipfile.ZipFile) -> tuple[list[tuple[str, str]], str | None]:
+    """([(sheet name, zip member)] in workbook order, member of the shared strings)."""
+    book = next((m for _, kind, m in _relations(z, "") if kind == "officeDocument"), "xl/workbook.xml")
+    members, strings = {}, None
+    for rid, kind, member in _relations(z, book):
+        members[rid] = member
+        if kind == "sharedStrings":
+            strings = member
+    if strings is None:
+        strings = posixpath.join(posixpath.dirname(book), "sharedStrings.xml")
+    with z.open(book) as fh:
         root = ET.parse(fh).getroot()
     out = []
-    for sheet in root.iter(_M + "sheet"):
-        rid = sheet.get("{%s}id" % NS_REL)
-        if rid in rels:
-            out.append((sheet.get("name"), rels[rid]))
-    return out
+    for sheet in root.iter():
+        if _local(sheet.tag) == "sheet":
+            rid = next((v for k, v in sheet.attrib.items() if k.endswith("}id")), None)
+            if rid in members:
+                out.append((sheet.get("name"), members[rid]))
+    return out, strings
 
 
 def _cell_value(c, shared: list[str]) -> str | None:
     t = c.get("t")
     if t == "inlineStr":
-        is_ = c.find(_M + "is")
+        is_ = _child(c, "is")
         val = _text_of(is_) if is_ is not None else None
     else:
-        v = c.find(_M + "v")
+        v = _child(c, "v")
         val = v.text if v is not None else None
         if val is not None:
             if t == "s":
@@ -112,22 +137,35 @@ def _cell_value(c, shared: list[str]) -> str | None:
 
 
 def sheet_rows(fh, shared: list[str], max_row: int | None = None) -> Iterator[tuple[int, list[str | None]]]:
-    """(sheet row number, values by column) for every non-empty row, streaming."""
-    next_r = 1
-    for _, elem in ET.iterparse(fh, events=("end",)):
-        if elem.tag != _M + "row":
+    """(sheet row number, values by column) for every non-empty row, streaming.
+
+    Finished rows are detached from their parent, so memory doesn't grow
+    with the number of rows. Numbers are given as stored: a date cell is its
+    serial number, since what it means depends on the workbook's styles.
+    """
+    next_r, parent = 1, None
+    for event, elem in ET.iterparse(fh, events=("start", "end")):
+        name = _local(elem.tag)
+        if event == "start":
+            if name == "sheetData":
+                parent = elem
+            continue
+        if name != "row":
             continue
         r = int(elem.get("r") or next_r)
         next_r = r + 1
         cells: dict[int, str] = {}
         pos = -1
-        for c in elem.iter(_M + "c"):
+        for c in elem:
+            if _local(c.tag) != "c":
+                continue
             ref = c.get("r")
             pos = _ref_column(ref.rstrip("0123456789")) if ref else pos + 1
             val = _cell_value(c, shared)
             if val is not None:
                 cells[pos] = val
-        elem.clear()
+        if parent is not None:
+            parent.clear()
         if cells:
             width = max(cells) + 1
             yield r, [cells.get(i) for i in range(width)]
@@ -136,15 +174,28 @@ def sheet_rows(fh, shared: list[str], max_row: int | None = None) -> Iterator[tu
 
 
 def parse_workbook(data: bytes, header_only: bool = False) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(sheet, row_no, vals): row_no 0 = sheet row 1 (the header)."""
+    """(sheet, row_no, vals): row_no 0 = sheet row 1 (the header).
+
+    Every sheet gives a row 0, an empty one where its row 1 is empty or
+    missing, so no sheet goes unseen.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = _shared_strings(z)
-        for name, member in _sheet_parts(z):
+        sheets, strings = _sheet_parts(z)
+        if not sheets:
+            raise ValueError("no readable sheet")
+        shared = _shared_strings(z, strings)
+        for name, member in sheets:
+            seen = False
             with z.open(member) as fh:
                 for r, vals in sheet_rows(fh, shared, 1 if header_only else None):
+                    if r != 1 and not seen:
+                        yield name, 0, []
+                    seen = True
                     if header_only and r != 1:
                         break
                     yield name, r - 1, vals
+            if not seen:
+                yield name, 0, []
 
 
 def _batch(buf: list[tuple]) -> pa.RecordBatch:
@@ -160,6 +211,9 @@ def _batch(buf: list[tuple]) -> pa.RecordBatch:
     )
 
 
+FAILED = -1  # row_no of the row that says why a workbook couldn't be read
+
+
 def _parser(header_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf: list[tuple] = []
@@ -167,11 +221,15 @@ def _parser(header_only: bool):
             files = batch.column("file").to_pylist()
             contents = batch.column("content")
             for i, file in enumerate(files):
-                for sheet, row_no, vals in parse_workbook(contents[i].as_py(), header_only):
-                    buf.append((file, sheet, row_no, vals))
-                    if len(buf) >= _BATCH:
-                        yield _batch(buf)
-                        buf = []
+                try:
+                    for sheet, row_no, vals in parse_workbook(contents[i].as_py(), header_only):
+                        buf.append((file, sheet, row_no, vals))
+                        if len(buf) >= _BATCH:
+                            yield _batch(buf)
+                            buf = []
+                except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, NotImplementedError, RuntimeError, zlib.error, EOFError) as e:
+                    # damaged, encrypted or not a workbook: one row with the reason, the run goes on
+                    buf.append((file, None, FAILED, [f"{type(e).__name__}: {e}"]))
         if buf:
             yield _batch(buf)
 
@@ -179,65 +237,106 @@ def _parser(header_only: bool):
 
 
 def workbook_cells(
-    spark: SparkSession, directory: str, sources: DataFrame | None = None, header_only: bool = False
+    spark: SparkSession,
+    directory: str,
+    sources: DataFrame | None = None,
+    header_only: bool = False,
+    where: Column | None = None,
 ) -> DataFrame:
-    """Parsed cells of every .xlsx in ``directory`` (lazy). -> CELLS_SCHEMA"""
+    """Parsed cells of every .xlsx in ``directory`` (lazy). -> CELLS_SCHEMA
+
+    ``where`` is a predicate on ``_metadata`` (``listing.file_filter``):
+    files that fail it aren't read. ``sources`` (a table of ``file``) is
+    matched by path before contents are taken, too, where it is small enough
+    to broadcast; contents never go through a shuffle.
+    """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(directory)
-    books = listed.select(F.substring_index("path", "/", -1).alias("file"), "content").where(
-        ~F.col("file").startswith("~$")
-    )
-    if sources is not None:
-        books = books.join(broadcast_if_small(sources.select("file").distinct()), "file", "left_semi")
-    return books.mapInArrow(_parser(header_only), CELLS_SCHEMA)
+    name = decoded_file_name()
+    listed = listed.where(~name.startswith("~$") if where is None else where)
+    books = listed.select(F.substring_index("path", "/", -1).alias("file"), "content")
+    cells = books.mapInArrow(_parser(header_only), CELLS_SCHEMA)
+    if sources is None:
+        return cells
+    chosen, small = small_enough(sources.select("file").distinct())
+    if small:
+        return books.join(F.broadcast(chosen), "file", "left_semi").mapInArrow(_parser(header_only), CELLS_SCHEMA)
+    return cells.join(chosen, "file", "left_semi")
 
 
 def split_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed cells -> (headers, rows). With a ``part`` partition column
-    (landed cells) each side reads only its own partition."""
+    (landed cells) each side reads only its own partition.
+
+    A sheet without names in its first row has one header cell, without a
+    name, at column 0: it exists for every later step, with width 0.
+    """
     is_header = (F.col("part") == "h") if "part" in cells.columns else (F.col("row_no") == 0)
+    is_row = (F.col("part") == "d") if "part" in cells.columns else (F.col("row_no") > 0)
     headers = (
         cells.where(is_header)
-        .select("file", "sheet", F.posexplode("vals").alias("col_idx", "name"))
-        .select("file", "sheet", F.col("col_idx").cast("int"), "name")
+        .select("file", "sheet", F.posexplode_outer("vals").alias("col_idx", "name"))
+        .select("file", "sheet", F.coalesce("col_idx", F.lit(0)).cast("int").alias("col_idx"), "name")
     )
-    rows = cells.where(~is_header & (F.size("vals") > 0)).select("file", "sheet", "row_no", "vals")
+    rows = cells.where(is_row & (F.size("vals") > 0)).select("file", "sheet", "row_no", "vals")
     return headers, rows
 
 
+def scan_workbooks_with_failures(
+    spark: SparkSession,
+    directory: str,
+    sources: DataFrame | None = None,
+    land_to: str | None = None,
+    where: Column | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every sheet of every .xlsx in ``directory`` -> (headers, rows, failed).
+
+    Landed once, partitioned by sheet and by header/data part: each output
+    sheet reads only its partition, and the header side never reads data
+    rows. failed(file, reason) has the workbooks that couldn't be read.
+    """
+    cells = workbook_cells(spark, directory, sources, where=where)
+    part = F.when(F.col("row_no") == 0, F.lit("h")).when(F.col("row_no") == FAILED, F.lit("f")).otherwise(F.lit("d"))
+    landed = land(spark, cells.withColumn("part", part), "xlsx-cells", land_to, partition_by=("sheet", "part"))
+    failed = landed.where(F.col("part") == "f").select("file", F.get("vals", F.lit(0)).alias("reason"))
+    return (*split_cells(landed), failed)
+
+
 def scan_workbooks(
     spark: SparkSession,
     directory: str,
     sources: DataFrame | None = None,
     land_to: str | None = None,
+    where: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Every sheet of every .xlsx in ``directory`` -> (headers, rows), landed once,
-    partitioned by sheet and by header/data part: each output sheet reads only
-    its partition, and the header side never reads data rows."""
-    cells = workbook_cells(spark, directory, sources)
-    cells = cells.withColumn("part", F.when(F.col("row_no") == 0, F.lit("h")).otherwise(F.lit("d")))
-    landed = land(spark, cells, "xlsx-cells", land_to, partition_by=("sheet", "part"))
-    return split_cells(landed)
+    """As :func:`scan_workbooks_with_failures`, without the failures. -> (headers, rows)"""
+    return scan_workbooks_with_failures(spark, directory, sources, land_to, where)[:2]
 
 
 def read_template(spark: SparkSession, path: str) -> DataFrame:
-    """Template workbook (or CSV) -> template_headers (sheet, t_idx, name)."""
+    """Template workbook (or CSV) -> template_headers (sheet, t_idx, name).
+
+    Only that file is read: its name is a predicate on file metadata.
+    """
     directory, name = posixpath.split(path.rstrip("/"))
-    chosen = spark.createDataFrame([(name,)], "file string")
+    only = file_filter([name])
     if name.endswith(".csv"):
         from sheetmerge.sources.csv import scan_csv
 
-        headers, _ = scan_csv(spark, directory, chosen)
+        headers, _ = scan_csv(spark, directory or ".", where=only)
     else:
-        cells = workbook_cells(spark, directory, chosen, header_only=True)
+        cells = workbook_cells(spark, directory or ".", header_only=True, where=only)
+        reason = cells.where(F.col("row_no") == FAILED).limit(1).collect()
+        if reason:
+            raise ValueError(f"template {name} can't be read: {reason[0]['vals'][0]}")
         headers, _ = split_cells(cells)
     return headers.select("sheet", F.col("col_idx").alias("t_idx"), "name")
 
 
 __all__ = [
-    "list_files",
     "parse_workbook",
     "read_template",
     "scan_workbooks",
+    "scan_workbooks_with_failures",
     "split_cells",
     "workbook_cells",
 ]

@@ -137,7 +137,7 @@ def test_xlsx_sparse_cells_shared_strings_two_sheets(spark, tmp_path):
     _shared_strings_book(str(tmp_path / "book.xlsx"))
     headers, rows = xlsx.scan_workbooks(spark, str(tmp_path))
     assert sorted((r["sheet"], r["col_idx"], r["name"]) for r in headers.collect()) == [
-        ("NAME1", 0, "A"), ("NAME1", 1, None), ("NAME1", 2, "Tx")
+        ("NAME1", 0, "A"), ("NAME1", 1, None), ("NAME1", 2, "Tx"), ("空表", 0, None)
     ]
     got = sorted((r["row_no"], tuple(r["vals"])) for r in rows.collect())
     assert got == [(1, ("45", "v", "TRUE")), (3, (None, None, None, "far"))]
@@ -226,3 +226,127 @@ def test_big_csv_files_split_unless_they_hold_quoted_line_breaks(spark, tmp_path
         ("clean.csv", 0, "A"), ("clean.csv", 1, "B"), ("dirty.csv", 0, "A"), ("dirty.csv", 1, "B"),
         ("small.csv", 0, "A"), ("small.csv", 1, "B"),
     ]
+
+
+def test_csv_late_wide_record_with_an_empty_cell_where_the_widest_ended(spark, tmp_path):
+    write(tmp_path / "late.csv", "A,B\n" + "1,2\n" * 10_050 + "1,2,,,,,LOST,ALSO\n")
+    headers, rows = csv_source.scan_csv(spark, str(tmp_path))
+    last = rows.where(F.col("row_no") == 10_051).collect()[0]
+    assert list(last["vals"]) == ["1", "2", None, None, None, None, "LOST", "ALSO"]
+    res = merge_tables(spark, template_df(spark, {"Sheet1": ["表名", "A", "B"]}), headers, rows)
+    found = {(r["kind"], r["col_pos"]) for r in res.exceptions.collect()}
+    assert found == {(model.KIND_OVERFLOW, "G"), (model.KIND_OVERFLOW, "H")}
+
+
+HARD = [
+    'A,B,C',
+    '   ',
+    '',
+    '5","a',
+    'b",6"',
+    '"x,""q""","a',
+    '',
+    'b, c"d"',
+    '"lone ""quotes"" here",2',
+    '\ufeffBOM,"3"',
+    'é漢字,"',
+    '",""',
+    ',,,',
+    'a"b,"c',
+    'd"tail,e',
+    '"w","x","y","z"',
+    'last,"one',
+    'and "" two',
+    'three",end',
+]
+
+
+def _python_rows(text):
+    import csv as pycsv
+
+    out = []
+    for row in pycsv.reader([x + "\n" for x in text.split("\n")]):
+        if row:
+            cells = [c or None for c in row]
+            while cells and cells[-1] is None:
+                cells.pop()
+            out.append(cells)
+    return out
+
+
+def test_csv_gives_equal_rows_at_any_split_size(spark, tmp_path):
+    text = "\n".join(HARD * 7 + ["plain,%d" % k for k in range(300)] + HARD)
+    write(tmp_path / "hard.csv", text)
+    write(tmp_path / "plain.csv", "A,B\n" + "".join(f"{k},x\n" for k in range(400)))
+    want = _python_rows(text.replace("\ufeff", ""))
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    for size in ("64b", "2048b", old):
+        spark.conf.set(key, size)
+        try:
+            headers, rows = csv_source.scan_csv(spark, str(tmp_path))
+            got = {(r["file"], r["row_no"]): list(r["vals"]) for r in rows.collect()}
+            names = [(r["file"], r["name"]) for r in headers.orderBy("file", "col_idx").collect()]
+        finally:
+            spark.conf.set(key, old)
+        assert names == [("hard.csv", "A"), ("hard.csv", "B"), ("hard.csv", "C"), ("plain.csv", "A"), ("plain.csv", "B")]
+        assert {k[1]: v for k, v in got.items() if k[0] == "hard.csv"} == {n: v for n, v in enumerate(want) if n and v}
+        assert {k[1]: v for k, v in got.items() if k[0] == "plain.csv"} == {n + 1: [str(n), "x"] for n in range(400)}
+
+
+def test_csv_of_sixteen_thousand_columns(spark, tmp_path):
+    n = 16_384
+    write(tmp_path / "wide.csv", ",".join(f"h{k}" for k in range(n)) + "\n" + ",".join(f'"v,{k}"' for k in range(n)) + "\n" + "x" + "," * (n - 1) + "\n")
+    headers, rows = csv_source.scan_csv(spark, str(tmp_path))
+    assert headers.count() == n
+    got = {r["row_no"]: list(r["vals"]) for r in rows.collect()}
+    assert got[1] == [f"v,{k}" for k in range(n)] and got[2] == ["x"]
+
+
+def test_sheets_without_names_are_not_lost(spark, tmp_path):
+    write(tmp_path / "blank.csv", ",,\n1,2\n3\n")
+    w = XlsxWriter(str(tmp_path / "late.xlsx"))
+    for name in ("Sheet1", "Other"):
+        w.start_sheet(name)
+        w.row(3, ["a", "b"])
+    w.close()
+    h1, r1 = csv_source.scan_csv(spark, str(tmp_path))
+    h2, r2 = xlsx.scan_workbooks(spark, str(tmp_path))
+    th = template_df(spark, {"Sheet1": ["表名", "A"]})
+    res = merge_tables(spark, th, h1.unionByName(h2), r1.unionByName(r2))
+    assert sorted((r["表名"], r["A"]) for r in res.sheets["Sheet1"].collect()) == [("blank.csv", None), ("blank.csv", None), ("late.xlsx", None)]
+    assert sorted((r["file"], r["name"]) for r in res.missing.collect()) == [("blank.csv", "A"), ("late.xlsx", "A")]
+    assert [tuple(r) for r in res.unmatched.collect()] == [("late.xlsx", "Other")]
+    found = sorted((r["file"], r["kind"], r["col_pos"], r["sample_values"]) for r in res.exceptions.collect())
+    assert found == [
+        ("blank.csv", model.KIND_OVERFLOW, "A", "1,3"), ("blank.csv", model.KIND_OVERFLOW, "B", "2"),
+        ("late.xlsx", model.KIND_OVERFLOW, "A", "a"), ("late.xlsx", model.KIND_OVERFLOW, "B", "b"),
+    ]
+
+
+def _strict(path):
+    _shared_strings_book(path)
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n).decode() for n in z.namelist()}
+    swaps = (
+        ("http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://purl.oclc.org/ooxml/spreadsheetml/main"),
+        ("http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://purl.oclc.org/ooxml/officeDocument/relationships"),
+    )
+    with zipfile.ZipFile(path, "w") as z:
+        for name, text in parts.items():
+            for a, b in swaps:
+                text = text.replace(a, b)
+            if name.endswith("workbook.xml.rels"):
+                text = text.replace("</Relationships>", '<Relationship Id="rId9" Type="http://x/sharedStrings" Target="texts/own.xml"/></Relationships>')
+            z.writestr("xl/texts/own.xml" if name == "xl/sharedStrings.xml" else name, text)
+
+
+def test_strict_workbook_and_unreadable_ones(spark, tmp_path):
+    _strict(str(tmp_path / "strict.xlsx"))
+    write(tmp_path / "broken.xlsx", "not a zip")
+    with zipfile.ZipFile(tmp_path / "hollow.xlsx", "w") as z:
+        z.writestr("x", "y")
+    headers, rows, failed = xlsx.scan_workbooks_with_failures(spark, str(tmp_path))
+    assert sorted((r["row_no"], tuple(r["vals"])) for r in rows.collect()) == [(1, ("45", "v", "TRUE")), (3, (None, None, None, "far"))]
+    assert sorted(r["file"] for r in failed.collect()) == ["broken.xlsx", "hollow.xlsx"]
+    assert all(r["reason"] for r in failed.collect())
