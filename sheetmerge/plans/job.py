@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sheetmerge.functions import is_blank, not_blank
-from sheetmerge.model import DECISIONS, TEMPLATE_HEADERS
+from sheetmerge.model import DECISIONS, KIND_UNSELECTED, TEMPLATE_HEADERS
 from sheetmerge.operators import audit, decisions as dec, detect, merge, resolve
 from sheetmerge.operators.template import check_layout, template_layout, template_slots
 from sheetmerge.plans.sizing import (
@@ -74,6 +74,7 @@ class MergePlan:
         materialize: bool = True,
         max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
         check_template: bool = True,
+        failed: DataFrame | None = None,
     ):
         self.spark = spark
         self.template_headers = template_headers
@@ -81,6 +82,7 @@ class MergePlan:
         self.rows = rows
         self.decisions = decisions if decisions is not None else spark.createDataFrame([], DECISIONS)
         self.policy = policy
+        self.failed = failed  # (file, reason) of sources that couldn't be read
         self.materialize = materialize
         self.max_broadcast_bytes = max_broadcast_bytes
         self._profile_stats: SheetStats | None = None
@@ -221,22 +223,28 @@ class MergePlan:
         )
 
     @cached_property
-    def cancelled(self) -> DataFrame:
-        return self._keep(dec.cancelled_files(self.decisions, self.cells), "cancelled")
+    def mapping_all(self) -> DataFrame:
+        """Column map of every matched sheet, cancelled files included (landed)."""
+        return self._keep(resolve.build_mapping(self.assignment).select("file", "sheet", "m"), "mapping")
 
     @cached_property
-    def mapping_all(self) -> DataFrame:
-        """Column map of every matched sheet, flagged when its file is cancelled (landed)."""
-        flag = self.cancelled.select("file", F.lit(True).alias("_c"))
-        mapping = resolve.build_mapping(self.assignment).join(flag, "file", "left")
-        return self._keep(
-            mapping.select("file", "sheet", "m", F.col("_c").isNotNull().alias("cancelled")), "mapping"
-        )
+    def actions(self) -> DataFrame:
+        """Every anomaly with what is done about it, before files are cancelled."""
+        return dec.resolve_actions(self.anomalies, self.decisions, self.policy)
+
+    @cached_property
+    def cancelled(self) -> DataFrame:
+        decided = dec.cancelled_files(self.decisions, self.cells)
+        return self._keep(dec.files_to_cancel(decided, self.actions, self.failed), "cancelled")
 
     @cached_property
     def mapping(self) -> DataFrame:
-        """What the alignment joins: a pushed-down filter of the landed map."""
-        return self.mapping_all.where(~F.col("cancelled")).select("file", "sheet", "m")
+        """What the alignment joins: the maps of files that aren't cancelled."""
+        return self.mapping_all.join(self._header_side(self.cancelled.select("file")), "file", "left_anti")
+
+    @cached_property
+    def choices_needed(self) -> DataFrame:
+        return resolve.dup_by_choice(self.assignment).where(F.col("col_idx").isNull())
 
     @cached_property
     def unselected(self) -> DataFrame:
@@ -292,8 +300,12 @@ class MergePlan:
     def result(self) -> MergeResult:
         if self.policy == dec.POLICY_FAIL:
             bad = dec.unresolved(self.with_operations).limit(5).collect()
-            if bad:
-                raise ValueError(f"anomalies without a decision: {[r.asDict() for r in bad]}")
+            # a slot without a choice is decided only where every column of its name has an answer
+            undecided = self.actions.where((F.col("kind") == KIND_UNSELECTED) & F.col("decided").isNull())
+            open_slots = self.choices_needed.join(undecided.select("file", "sheet", "name").distinct(), ["file", "sheet", "name"], "left_semi")
+            open_slots = open_slots.join(self.cancelled.select("file"), "file", "left_anti").limit(5).collect()
+            if bad or open_slots:
+                raise ValueError(f"anomalies without a decision: {[r.asDict() for r in bad + open_slots]}")
         return MergeResult(
             sheets={s: self.sheet(s) for s in self.layout},
             merged_all=self.aligned,
@@ -304,8 +316,7 @@ class MergePlan:
         )
 
     def report(self) -> DetectReport:
-        needed = resolve.dup_by_choice(self.assignment).where(F.col("col_idx").isNull())
-        return DetectReport(self.exceptions, needed, self.missing, self.unmatched)
+        return DetectReport(self.exceptions, self.choices_needed, self.missing, self.unmatched)
 
 
 def merge_tables(

@@ -33,7 +33,7 @@ def frames(spark, template=TEMPLATE, sources=SOURCES, decisions=DECISIONS):
         [(s, i, n) for s, names in template.items() for i, n in enumerate(names)], model.TEMPLATE_HEADERS
     )
     headers = spark.createDataFrame(
-        [(f, s, i, n) for f, s, names, _ in sources for i, n in enumerate(names)], model.HEADERS
+        [(f, s, i, n) for f, s, names, _ in sources for i, n in enumerate(names or [None])], model.HEADERS
     )
     rows = spark.createDataFrame(
         [(f, s, r + 1, vals) for f, s, _, data in sources for r, vals in enumerate(data)], model.ROWS

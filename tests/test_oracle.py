@@ -21,16 +21,18 @@ def con():
 
 
 def _names():
-    from __spark_entry__ import queries
+    from sheetmerge.plans import catalog
 
-    return sorted(queries())
+    return sorted(catalog.QUERIES)
 
 
 def test_every_query_has_an_oracle():
     from __spark_entry__ import oracle_sql, queries
+    from sheetmerge.plans import catalog
 
-    assert set(queries()) == set(oracle_sql())
-    assert len(queries()) >= 37
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    assert len(catalog.QUERIES) >= 37
+    assert set(catalog.QUERIES) <= set(queries()) and set(catalog.ORACLE) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", _names())

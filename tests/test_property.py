@@ -28,8 +28,6 @@ def make_case(seed):
             header = [rnd.choice(NAMES) for _ in range(rnd.randint(1, 6))]
             while header and header[-1] is None:
                 header.pop()
-            if not header:
-                header = ["A"]
             data = []
             for r in range(rnd.randint(0, 7)):
                 width = len(header) + rnd.choice([0, 0, 0, -1, 1, 2])

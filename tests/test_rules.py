@@ -1,5 +1,7 @@
 """The three-step duplicate rule (the reference's four unit tests, plus the short case)."""
 
+import pytest
+
 from sheetmerge import merge_tables, model
 from tests.golden import frames
 
@@ -79,3 +81,67 @@ def test_template_without_source_name_column_is_rejected(spark):
     th, h, r, d = frames(spark, template={"S": ["A", "B"]}, sources=[("f.xlsx", "S", ["A"], [["1"]])], decisions=[])
     with pytest.raises(ValueError):
         merge_tables(spark, th, h, r, d)
+
+
+def _three_kinds(spark, decisions):
+    sources = [
+        ("a.xlsx", "S", ["A", "Z"], [["1", "z", "over"]]),
+        ("b.xlsx", "S", ["A", "Y", "X"], [["2", "y", "x"]]),
+        ("c.xlsx", "S", ["A"], [["3"]]),
+    ]
+    return frames(spark, template={"S": ["表名", "A"]}, sources=sources, decisions=decisions)
+
+
+def test_a_policy_that_cancels_removes_the_rows_and_lists_the_file(spark):
+    th, h, r, d = _three_kinds(spark, [])
+    res = merge_tables(spark, th, h, r, d, policy={model.KIND_OVERFLOW: model.CANCEL_FILE})
+    assert sorted(x["表名"] for x in res.sheets["S"].collect()) == ["b.xlsx", "c.xlsx"]
+    assert [tuple(x) for x in res.cancelled.collect()] == [("a.xlsx", model.KIND_OVERFLOW)]
+    ops = {(x["file"], x["kind"]): x["operation"] for x in res.exceptions.collect()}
+    assert ops == {
+        ("a.xlsx", model.KIND_OVERFLOW): model.CANCEL_FILE,
+        ("a.xlsx", model.KIND_EXTRA): model.CANCEL_FILE,
+        ("b.xlsx", model.KIND_EXTRA): model.DROP,
+    }
+
+
+def test_a_decision_for_one_column_overrides_a_cancelling_policy(spark):
+    th, h, r, d = _three_kinds(spark, [("b.xlsx", "S", model.KIND_EXTRA, None, None, None, model.DROP, None)])
+    res = merge_tables(spark, th, h, r, d, policy={model.KIND_EXTRA: model.CANCEL_FILE})
+    assert sorted(x["表名"] for x in res.sheets["S"].collect()) == ["b.xlsx", "c.xlsx"]
+    assert [x["file"] for x in res.cancelled.collect()] == ["a.xlsx"]
+
+
+def test_policy_fail_takes_an_answer_for_all_columns_of_a_kind(spark):
+    answers = [
+        ("a.xlsx", "S", model.KIND_EXTRA, None, None, None, model.DROP, None),
+        ("a.xlsx", "S", model.KIND_OVERFLOW, None, None, None, model.TRUNCATE, None),
+        ("b.xlsx", "S", model.KIND_EXTRA, None, None, None, model.DROP, None),
+    ]
+    th, h, r, d = _three_kinds(spark, answers)
+    assert merge_tables(spark, th, h, r, d, policy="fail").sheets["S"].count() == 3
+    th, h, r, d = _three_kinds(spark, answers[:2])
+    with pytest.raises(ValueError):
+        merge_tables(spark, th, h, r, d, policy="fail")
+
+
+def test_policy_fail_accepts_a_full_choice_and_rejects_an_open_slot(spark):
+    sources = [("f.xlsx", "S", ["T", "T", "T"], [["1", "2", "3"]])]
+    chosen = [("f.xlsx", "S", model.KIND_UNSELECTED, "T", k, k + 1, model.SELECT, None) for k in (0, 1)]
+    for decisions, good in ((chosen, True), (chosen[:1], False), ([], False)):
+        th, h, r, d = frames(spark, template={"S": ["表名", "T", "T"]}, sources=sources, decisions=decisions)
+        if good:
+            res = merge_tables(spark, th, h, r, d, policy="fail")
+            assert [tuple(x) for x in res.sheets["S"].collect()] == [("f.xlsx", "1", "2")]
+            assert [x["operation"] for x in res.exceptions.collect()] == [model.DROP]
+        else:
+            with pytest.raises(ValueError):
+                merge_tables(spark, th, h, r, d, policy="fail")
+
+
+def test_a_file_that_could_not_be_read_is_listed(spark):
+    th, h, r, d = _three_kinds(spark, [])
+    failed = spark.createDataFrame([("bad.xlsx", "BadZipFile: not a zip")], model.CANCELLED)
+    res = merge_tables(spark, th, h, r, d, failed=failed)
+    assert [tuple(x) for x in res.cancelled.collect()] == [("bad.xlsx", "BadZipFile: not a zip")]
+    assert res.sheets["S"].count() == 3
