@@ -21,6 +21,9 @@ SCOPE_ALL_ROWS = "全部行"  # row_scope for blank / overflow records
 SCOPE_NONE = "-"  # row_scope for extra / unselected; col_name for overflow
 LOCK_FILE_PREFIX = "~$"
 SOURCE_EXTENSIONS = (".xlsx", ".csv")
+EXCEPTIONS_TITLE = "异常记录"  # name of the exception output
+CANCELLED_TITLE = "取消合并的表名"  # name of the output that lists cancelled files
+EXCEPTION_FIELDS = ("文件名", "Sheet", "行号", "列名", "列1位置", "列1值", "异常类型")
 SAMPLE_ROWS = 5  # "first five rows" of an anomalous column
 # --- end of fixed values ---
 
@@ -33,6 +36,13 @@ SELECT = "select"
 CANCEL_FILE = "cancel_file"
 ACTIONS = (DROP, TRUNCATE, SELECT, CANCEL_FILE)
 
+# Outputs beside the sheets: title, and titles of the fields (the operation
+# and the reason have no title given; these are ours).
+AUDIT_TITLES = {
+    "exceptions": (EXCEPTIONS_TITLE, (*EXCEPTION_FIELDS, "操作")),
+    "cancelled": (CANCELLED_TITLE, (EXCEPTION_FIELDS[0], "原因")),
+}
+
 DEFAULT_POLICY = {
     KIND_BLANK: DROP,
     KIND_OVERFLOW: TRUNCATE,

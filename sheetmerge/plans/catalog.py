@@ -255,6 +255,38 @@ def q_merge_all(spark, sf_dir):
     return out
 
 
+def whole_result(sheets: dict[str, DataFrame], tables: dict[str, DataFrame]) -> DataFrame:
+    """Every merged sheet and every audit table of a merge, one text line a row."""
+
+    def lines(df: DataFrame, part: str, sheet: F.Column, cols: list[str]) -> DataFrame:
+        cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")) for c in cols]
+        return df.select(F.lit(part).alias("part"), sheet.alias("sheet"), F.concat_ws("|", *cells).alias("line"))
+
+    parts = [lines(df, "sheet", F.lit(name), df.columns) for name, df in sheets.items()]
+    for name, df in tables.items():
+        sheet = F.col("sheet") if "sheet" in df.columns else F.lit("")
+        parts.append(lines(df, name, sheet, [c for c in df.columns if c != "sheet"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _whole(res) -> DataFrame:
+    names = ("exceptions", "cancelled", "missing", "unmatched")
+    return whole_result(res.sheets, {n: getattr(res, n) for n in names})
+
+
+@register("merge_lineitem_whole", oracle.whole_result(LINEITEM), fixture="lineitem")
+def q_merge_lineitem_whole(spark, sf_dir):
+    return _whole(_plan(spark, sf_dir, "lineitem").result())
+
+
+@register("merge_customer_whole", oracle.whole_result(CUSTOMER))
+def q_merge_customer_whole(spark, sf_dir):
+    return _whole(_plan(spark, sf_dir).result())
+
+
 @register("merge_sheet_lineitem", oracle.sheet_select(LINEITEM, LINEITEM_SHEET), fixture="lineitem")
 def q_merge_sheet_lineitem(spark, sf_dir):
     return _plan(spark, sf_dir, "lineitem").sheet(LINEITEM_SHEET)
@@ -272,13 +304,19 @@ def q_first_five_values(spark, sf_dir):
     return audit.first_values(f.rows, f.headers)
 
 
+# indexes around the first of two to seven letters, moved by each customer's key
+_LETTER_STEPS = (0, 702, 18_278, 475_254, 12_356_630, 321_272_406)
+
+
 @register(
     "column_letters",
-    f"SELECT CAST(c_custkey AS INTEGER) AS col_idx, {oracle.letters_sql('c_custkey')} AS col_pos FROM customer",
+    f"SELECT CAST(i AS INTEGER) AS col_idx, {oracle.letters_sql('i')} AS col_pos "
+    f"FROM (SELECT unnest([{', '.join(f'{x} + c_custkey - 2' for x in _LETTER_STEPS)}]) AS i FROM customer)",
 )
 def q_column_letters(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet")
-    return c.select(F.col("c_custkey").cast("int").alias("col_idx"), col_letter("c_custkey").alias("col_pos"))
+    near = F.explode(F.array(*[(F.lit(x) + F.col("c_custkey") - 2).cast("int") for x in _LETTER_STEPS]))
+    return c.select(near.alias("col_idx")).select("col_idx", col_letter("col_idx").alias("col_pos"))
 
 
 @register(
@@ -295,6 +333,12 @@ def q_cancelled_files(spark, sf_dir):
 
 
 # --- 2.9 end to end -----------------------------------------------------------------------
+@register("merge_job_whole", oracle.whole_result(THREE), fixture="three")
+def q_merge_job_whole(spark, sf_dir):
+    f = _fx(spark, sf_dir, "three")
+    return _whole(merge_tables(spark, f.template_headers, f.headers, f.rows, f.decisions))
+
+
 @register("merge_job", oracle.sheet_select(THREE, model.CSV_SHEET), fixture="three")
 def q_merge_job(spark, sf_dir):
     f = _fx(spark, sf_dir, "three")
@@ -433,7 +477,7 @@ def q_read_template(spark, sf_dir):
     return xlsx.read_template(spark, f"{out}/template.xlsx")
 
 
-@register("write_result", oracle.sheet_select("customer_csv", model.CSV_SHEET), fixture="customer_csv")
+@register("write_result", oracle.whole_result("customer_csv"), fixture="customer_csv")
 def q_write_result(spark, sf_dir):
     d = source_dir(spark, sf_dir, xlsx_files=False)
     headers, rows = csv_source.scan_csv(spark, d, listing.list_sources(spark, d))
@@ -441,10 +485,10 @@ def q_write_result(spark, sf_dir):
     res = merge_tables(spark, f.template_headers, headers, rows, f.decisions)
     out = scratch_path(spark, "result")
     sink.write_result(res, out)
-    return sink.read_result(spark, out)[model.CSV_SHEET]
+    return whole_result(sink.read_result(spark, out), {n: sink.read_audit(spark, out, n) for n in sink.AUDIT_TABLES})
 
 
-@register("merge_files", oracle.sheet_select(CUSTOMER, MAIN_SHEET), fixture="customer")
+@register("merge_files", oracle.whole_result(CUSTOMER), fixture="customer")
 def q_merge_files(spark, sf_dir):
     """The whole run from files: 25 workbooks + a template workbook in one folder."""
     from sheetmerge.plans import flow
@@ -456,7 +500,7 @@ def q_merge_files(spark, sf_dir):
     )
     write_files(as_headers, spark.createDataFrame([], model.ROWS), d, "xlsx")
     res = flow.merge_files(spark, f"{d}/template.xlsx", d, decisions=f.decisions)
-    return res.sheets[MAIN_SHEET]
+    return _whole(res)
 
 
 @register(

@@ -97,14 +97,36 @@ def _decisions_sql(fx: Fixture) -> str:
     return typed + f"(VALUES {values}) d({cols})"
 
 
-def letters_sql(idx: str, max_letters: int = 4) -> str:
-    """0-based index -> A, B, .. Z, AA .. (bijective base 26) in DuckDB SQL."""
-    n = f"(CAST({idx} AS BIGINT) + 1)"
-    parts = []
-    for _ in range(max_letters):
-        parts.append(f"CASE WHEN {n} >= 1 THEN chr(CAST(65 + ({n} - 1) % 26 AS INTEGER)) ELSE '' END")
-        n = f"(({n} - 1) // 26)"
-    return f"CASE WHEN {idx} >= 0 THEN " + " || ".join(reversed(parts)) + " END"
+def letters_sql(idx: str) -> str:
+    """0-based index -> A, B, .. Z, AA .. in DuckDB SQL.
+
+    There are 26^n names of n letters, so the first of them has the index
+    26 + .. + 26^(n-1); the distance from it is a plain base-26 number of n
+    digits.
+    """
+    starts = [sum(26**k for k in range(1, n)) for n in range(1, 9)]
+    whens = []
+    for n in range(1, 8):
+        digits = " || ".join(f"chr(CAST(65 + ((CAST({idx} AS BIGINT) - {starts[n - 1]}) // {26**k}) % 26 AS INTEGER))" for k in reversed(range(n)))
+        whens.append(f"WHEN {idx} >= {starts[n - 1]} AND {idx} < {starts[n]} THEN {digits}")
+    return "CASE " + " ".join(whens) + " END"
+
+
+def whole_result(fx: Fixture | str) -> str:
+    """Every merged sheet and every audit table of a merge, one text line a row."""
+    fx = FIXTURES[fx] if isinstance(fx, str) else fx
+
+    def line(*cols: str) -> str:
+        return " || '|' || ".join(f"coalesce({c}, '-')" for c in cols)
+
+    slots = [f"c{k}" for k in range(1, max(len(fx.template.names), 1))]
+    return (
+        f"SELECT 'sheet' AS part, sheet, {line(ident(model.SOURCE_NAME_COLUMN), *slots)} AS line FROM merged "
+        f"UNION ALL SELECT 'exceptions', sheet, {line('file', 'row_scope', 'col_name', 'col_pos', 'sample_values', 'kind', 'operation')} FROM exceptions "
+        f"UNION ALL SELECT 'cancelled', '', {line('file', 'reason')} FROM cancelled "
+        f"UNION ALL SELECT 'missing', sheet, {line('file', 'name')} FROM missing "
+        f"UNION ALL SELECT 'unmatched', sheet, {line('file')} FROM unmatched"
+    )
 
 
 BLANK = "(name IS NULL OR name = '')"

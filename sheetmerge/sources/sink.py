@@ -3,8 +3,10 @@
 One folder per template sheet plus the audit tables, each written by
 executors in parallel. Sheet folders are numbered (sheet names may hold
 characters a path should not) and ``manifest`` maps number -> sheet name ->
-template column names. Parquet needs unique column names (``T``, ``T__2``);
-the CSV sink writes the template's own header text, duplicates included.
+template column names; it also maps the audit folders to the output's fixed
+titles. Parquet needs unique column names (``T``, ``T__2``); the CSV sink
+writes the template's own header text, duplicates included, and the fixed
+field titles of the audit tables.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheetmerge.model import AUDIT_TITLES
 from sheetmerge.plans.job import MergeResult
 
 AUDIT_TABLES = ("exceptions", "cancelled", "missing", "unmatched")
@@ -41,7 +44,7 @@ def write_result(
 ) -> None:
     spark = result.exceptions.sparkSession
     out_dir = out_dir.rstrip("/")
-    manifest, actions = [], []
+    manifest, actions = [], []  # (number, folder, sheet or title, column names)
     for i, (sheet, df) in enumerate(result.sheets.items()):
         path = f"{out_dir}/sheets/{i:05d}"
         names = _template_names(df)
@@ -49,14 +52,17 @@ def write_result(
         if fmt == "csv":
             writer = writer.option("header", True).option("escape", '"').option("encoding", "UTF-8")
         actions.append(lambda w=writer, p=path: w.save(p))
-        manifest.append((i, sheet, json.dumps(names, ensure_ascii=False)))
+        manifest.append((i, f"sheets/{i:05d}", sheet, json.dumps(names, ensure_ascii=False)))
     for name in AUDIT_TABLES:
-        writer = getattr(result, name).write.mode(mode).format(fmt)
+        table = getattr(result, name)
+        title, fields = AUDIT_TITLES.get(name, (name, tuple(table.columns)))
+        manifest.append((None, name, title, json.dumps(fields, ensure_ascii=False)))
+        writer = (table.toDF(*fields) if fmt == "csv" else table).write.mode(mode).format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True).option("escape", '"')
         actions.append(lambda w=writer, p=f"{out_dir}/{name}": w.save(p))
     run_concurrently(actions, max_parallel)
-    spark.createDataFrame(manifest, "idx int, sheet string, names string").coalesce(1).write.mode(mode).json(
+    spark.createDataFrame(manifest, "idx int, folder string, sheet string, names string").coalesce(1).write.mode(mode).json(
         f"{out_dir}/manifest"
     )
 
@@ -64,7 +70,7 @@ def write_result(
 def read_result(spark: SparkSession, out_dir: str, fmt: str = "parquet") -> dict[str, DataFrame]:
     """Sheets written by ``write_result``: sheet -> DataFrame."""
     out_dir = out_dir.rstrip("/")
-    entries = spark.read.json(f"{out_dir}/manifest").collect()
+    entries = spark.read.json(f"{out_dir}/manifest").where("idx is not null").collect()
     sheets = {}
     for e in sorted(entries, key=lambda r: r["idx"]):
         reader = spark.read.format(fmt)
