@@ -513,3 +513,90 @@ def q_choices_needed(spark, sf_dir):
     from sheetmerge.plans.job import detect_anomalies
 
     return detect_anomalies(spark, f.template_headers, f.headers, f.rows, f.decisions).choices_needed
+
+
+# --- CSV quirks over whole tables: files written by Spark, read back by the scan ---------------
+
+
+def _scan_with_splits(spark: SparkSession, path: str, split_bytes: str) -> DataFrame:
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, split_bytes)
+    try:
+        return csv_source.scan_csv(spark, path)[1]
+    finally:
+        spark.conf.set(key, old)
+
+
+@_register_raw(
+    "scan_csv_wide_late",
+    "SELECT CAST(l_orderkey AS VARCHAR) AS k, CASE WHEN l_linenumber = 6 THEN 9 ELSE 2 END AS cells, "
+    "CASE WHEN l_linenumber = 6 THEN 'LOST' END AS far FROM lineitem",
+)
+def q_scan_csv_wide_late(spark, sf_dir):
+    """Two columns, and now and then a record with values far to the right
+    and nothing where the usual record ends."""
+    li = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    wide = F.when(F.col("l_linenumber") == 6, F.lit(",,,,,LOST,,x")).otherwise("")
+    line = F.concat(F.col("l_orderkey").cast("string"), F.lit(","), F.col("l_linenumber").cast("string"), wide)
+    out = scratch_path(spark, "wide-late")
+    raw = li.select(line.alias("A,B")).write.option("header", True)
+    raw.option("sep", "\u0001").option("quote", "\u0000").csv(out)
+    rows = _scan_with_splits(spark, out, "64k")
+    return rows.select(
+        F.get("vals", F.lit(0)).alias("k"), F.size("vals").alias("cells"), F.get("vals", F.lit(6)).alias("far")
+    )
+
+
+@_register_raw(
+    "scan_csv_split_parity",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS k, "
+    "'say \"' || o_orderstatus || '\", then' || chr(10) || chr(10) || o_orderkey || ',' AS v, '5\"' AS w FROM orders",
+)
+def q_scan_csv_split_parity(spark, sf_dir):
+    """Values with quotes, commas and line breaks, in splits smaller than the files."""
+    o = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    key = F.col("o_orderkey").cast("string")
+    value = F.concat(F.lit('say "'), F.col("o_orderstatus"), F.lit('", then\n\n'), key, F.lit(","))
+    out = scratch_path(spark, "parity")
+    o.select(key.alias("K"), value.alias("V"), F.lit('5"').alias("W")).write.option("header", True).option("escape", '"').csv(out)
+    rows = _scan_with_splits(spark, out, "64k")
+    return rows.select(*[F.get("vals", F.lit(i)).alias(c) for i, c in enumerate("kvw")])
+
+
+def _merge_chosen(spark: SparkSession, sf_dir: str, invert: bool) -> DataFrame:
+    from sheetmerge.plans import flow
+
+    d = source_dir(spark, sf_dir, csv_files=False)
+    f = _fx(spark, sf_dir, "customer")
+    t = f.template_headers.select(F.lit("template.xlsx").alias("file"), "sheet", F.col("t_idx").alias("col_idx"), "name")
+    write_files(t, spark.createDataFrame([], model.ROWS), d, "xlsx")
+    low = listing.list_sources(spark, d).where(F.col("file").startswith("nation_0")).select("file")
+    chosen = [r["file"] for r in low.collect()]  # at most ten files
+    # the template lies in the source folder, spelt another way
+    template_path = f"{d}/../{d.rsplit('/', 1)[1]}/template.xlsx"
+    return _whole(flow.merge_files(spark, template_path, d, chosen=chosen, invert=invert, decisions=f.decisions))
+
+
+@register("merge_chosen_files", f"SELECT * FROM ({oracle.whole_result(CUSTOMER)}) WHERE line LIKE 'nation_0%'")
+def q_merge_chosen_files(spark, sf_dir):
+    return _merge_chosen(spark, sf_dir, invert=False)
+
+
+@register("merge_other_files", f"SELECT * FROM ({oracle.whole_result(CUSTOMER)}) WHERE line NOT LIKE 'nation_0%'")
+def q_merge_other_files(spark, sf_dir):
+    return _merge_chosen(spark, sf_dir, invert=True)
+
+
+@register(
+    "cancel_by_policy",
+    "SELECT file, reason FROM cancelled UNION ALL "
+    f"SELECT DISTINCT a.file, {oracle.q(model.KIND_EXTRA)} FROM anomalies a LEFT JOIN adec d ON d.file = a.file "
+    "AND d.sheet = a.sheet AND d.kind = a.kind AND d.col_idx = a.col_idx "
+    f"WHERE a.kind = {oracle.q(model.KIND_EXTRA)} AND coalesce(d.action, 'cancel_file') = 'cancel_file' "
+    "AND a.file NOT IN (SELECT file FROM cancelled)",
+)
+def q_cancel_by_policy(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    policy = {model.KIND_EXTRA: model.CANCEL_FILE}
+    return merge_tables(spark, f.template_headers, f.headers, f.rows, f.decisions, policy=policy).cancelled
