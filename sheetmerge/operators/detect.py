@@ -3,18 +3,16 @@
 Header-side checks (duplicates, occurrence numbers, blanks) run on
 ``headers``. The checks that need cell values (does a row overflow its
 header, are same-named columns equal on every row, what are the first five
-values of a flagged column) are folded into ONE scan of ``rows``
-(:func:`scan_rows`): each row is joined to its sheet's profile, emits a few
-small events and the events are aggregated with map-side combine, so the
-shuffle is proportional to the number of flagged columns, not to the data,
-and a file holding a third of all rows only means more map-side combining.
+values of a flagged column) are in :func:`scan_rows`: each row is joined to
+its sheet's profile and gives a boolean per flagged column, combined
+map-side, so the shuffle is proportional to the number of flagged columns,
+not to the data; texts come from the first five rows alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sheetmerge.functions import is_blank, not_blank, ordered_text, pick
 from sheetmerge.model import SAMPLE_ROWS
@@ -25,17 +23,6 @@ FACT_OVERFLOW = "overflow"
 FACT_DUP = "dup"
 FACT_SAMPLE = "sample"
 
-_EVENT = T.StructType(
-    [
-        T.StructField("fact", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("col_idx", T.IntegerType()),
-        T.StructField("eq", T.BooleanType()),
-        T.StructField("v", T.StringType()),
-    ]
-)
-
-
 def column_occurrence(headers: DataFrame) -> DataFrame:
     """k-th column of each name within its header, and the name's count.
 
@@ -148,7 +135,7 @@ def sheet_profile(headers: DataFrame, template_headers: DataFrame) -> DataFrame:
 
 
 def scan_rows(rows: DataFrame, profile: DataFrame) -> DataFrame:
-    """The single detection pass over the data rows.
+    """The detection pass over the data rows.
 
     ``profile`` must already carry its join strategy (see ``plans.sizing``).
     -> (file, sheet, fact, name, col_idx, eq, sample)
@@ -157,55 +144,71 @@ def scan_rows(rows: DataFrame, profile: DataFrame) -> DataFrame:
       sample = its first-five-rows text
     * fact 'dup': name of a same-named group; eq = equal on every row
     * fact 'sample': first-five-rows text of a probed position
-    """
-    n = F.size("vals")
-    width = F.col("width")
-    first = F.col("row_no") <= SAMPLE_ROWS
-    no_events = F.array().cast(T.ArrayType(_EVENT))
-
-    def event(fact, name, col_idx, eq, v):
-        return F.struct(
-            F.lit(fact).alias("fact"),
-            name.cast("string").alias("name"),
-            col_idx.cast("int").alias("col_idx"),
-            eq.alias("eq"),
-            v.cast("string").alias("v"),
-        )
 
-    beyond = F.filter(
-        F.sequence(width, n - 1), lambda p: pick("vals", p).isNotNull()
+    Two branches: what every row decides (is there a value, are the columns
+    equal) is a boolean per flagged column, combined map-side in a hash
+    aggregate; texts are gathered from the first five rows alone, a filter
+    that reaches the scan.
+    """
+    checks = _row_checks(rows, profile)
+    texts = _first_texts(rows, profile)
+    no_text, no_name = F.lit("").alias("sample"), F.lit(None).cast("string").alias("name")
+    columns = ["file", "sheet", "fact", "name", "col_idx", "eq", "sample"]
+    dups = checks.where(F.col("fact") == FACT_DUP).withColumn("sample", no_text)
+    overflow = (
+        checks.where(F.col("fact") == FACT_OVERFLOW)
+        .join(texts.select("file", "sheet", "col_idx", "sample"), ["file", "sheet", "col_idx"], "left")
+        .withColumn("sample", F.coalesce("sample", F.lit("")))
+    )
+    probed = texts.where("probed").select(
+        "file", "sheet", F.lit(FACT_SAMPLE).alias("fact"), no_name, "col_idx", F.lit(True).alias("eq"), "sample"
     )
-    overflow = F.when(
-        n > width,
-        F.transform(
-            beyond,
-            lambda p: event(FACT_OVERFLOW, F.lit(None), p, F.lit(True), F.when(first, pick("vals", p))),
+    return dups.select(columns).unionByName(overflow.select(columns)).unionByName(probed.select(columns))
+
+
+def _beyond(width: F.Column, n: F.Column) -> F.Column:
+    """Positions at or beyond the header that hold a value in this row."""
+    none = F.array().cast("array<int>")
+    held = F.filter(F.sequence(width, n - 1), lambda p: pick("vals", p).isNotNull())
+    return F.when(n > width, held).otherwise(none)
+
+
+def _row_checks(rows: DataFrame, profile: DataFrame) -> DataFrame:
+    """(file, sheet, fact, name, col_idx, eq) over all rows."""
+    n, width = F.size("vals"), F.col("width")
+    overflow = F.transform(
+        _beyond(width, n),
+        lambda p: F.struct(
+            F.lit(FACT_OVERFLOW).alias("fact"), F.lit(None).cast("string").alias("name"), p.alias("col_idx"), F.lit(True).alias("eq")
         ),
-    ).otherwise(no_events)
+    )
     dups = F.transform(
         "dups",
-        lambda d: event(
-            FACT_DUP,
-            d["name"],
-            F.lit(-1),
-            F.size(F.array_distinct(F.transform(d["idxs"], lambda i: pick("vals", i)))) <= 1,
-            F.lit(None),
+        lambda d: F.struct(
+            F.lit(FACT_DUP).alias("fact"),
+            d["name"].alias("name"),
+            F.lit(-1).alias("col_idx"),
+            (F.size(F.array_distinct(F.transform(d["idxs"], lambda i: pick("vals", i)))) <= 1).alias("eq"),
         ),
     )
-    samples = F.when(
-        first,
-        F.transform("probe", lambda p: event(FACT_SAMPLE, F.lit(None), p, F.lit(True), pick("vals", p))),
-    ).otherwise(no_events)
-
-    events = (
+    return (
         rows.join(profile, ["file", "sheet"])
-        .where((n > width) | (F.size("dups") > 0) | (first & (F.size("probe") > 0)))
-        .select("file", "sheet", "row_no", F.explode(F.concat(overflow, dups, samples)).alias("e"))
-        .select("file", "sheet", "row_no", "e.*")
+        .where((n > width) | (F.size("dups") > 0))
+        .select("file", "sheet", F.explode(F.concat(overflow, dups)).alias("e"))
+        .groupBy("file", "sheet", F.col("e.fact").alias("fact"), F.col("e.name").alias("name"), F.col("e.col_idx").alias("col_idx"))
+        .agg(F.bool_and("e.eq").alias("eq"))
     )
-    return events.groupBy("file", "sheet", "fact", "name", "col_idx").agg(
-        F.bool_and("eq").alias("eq"),
-        ordered_text("v", "row_no").alias("sample"),
+
+
+def _first_texts(rows: DataFrame, profile: DataFrame) -> DataFrame:
+    """(file, sheet, col_idx, probed, sample) from the first rows of each sheet."""
+    n, width = F.size("vals"), F.col("width")
+    first = rows.where(F.col("row_no") <= SAMPLE_ROWS).join(profile, ["file", "sheet"])
+    at = F.explode(F.concat("probe", _beyond(width, n))).alias("col_idx")
+    values = first.select("file", "sheet", "row_no", "vals", "width", at)
+    return values.groupBy("file", "sheet", "col_idx").agg(
+        F.bool_or(F.col("col_idx") < width).alias("probed"),
+        ordered_text(pick("vals", "col_idx"), "row_no").alias("sample"),
     )
 
 
