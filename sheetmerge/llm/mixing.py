@@ -6,10 +6,12 @@ the source is cut where its budget is spent. A budget above the size of the
 source takes the whole source again (epochs) and cuts in the last one.
 
 The key is uniform, so its top bits are range partitions of equal size
-without sampling: words are summed per (source, key range) with map-side
-combine, prefix sums run over those few sums, and only the one range in
-which a source's budget ends is sorted document by document. No source is
-ever sorted in one task, and texts are read once and never shuffled.
+without sampling. Words are summed per (source, key range) with map-side
+combine and prefix sums run over those few sums, at most 2^``LEVEL_BITS`` a
+source; the range in which a source's budget ends is cut into ranges in the
+same way, level by level, until single keys are reached. That is the order
+of a full sort where the cut needs it and nowhere else: no source is ever
+sorted or added up in one task, and texts are read once and never shuffled.
 
 Defined results: a null text has size 0; a null source is a source of its
 own, after all others; documents with equal id and text have equal keys
@@ -30,7 +32,8 @@ from sheetmerge.sources.land import land
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
-RANGE_BITS = 14
+LEVEL_BITS = 7
+LEVELS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -45,8 +48,11 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit("mix"), F.col(id_col), F.col(text_col))
 
 
-def _range(key: Column) -> Column:
-    return F.shiftrightunsigned(key, 64 - RANGE_BITS)
+def _range(key: Column, bits: int) -> Column:
+    """The top bits of a key; all of them in unsigned order."""
+    if bits == 0:
+        return F.lit(0).cast("long")
+    return _unsigned(key) if bits >= 64 else F.shiftrightunsigned(key, 64 - bits)
 
 
 def _source_order(sizes: DataFrame) -> Window:
@@ -108,34 +114,25 @@ def plan(
         ),
         "mix-sizes",
     )
-    ranges = land(spark, sizes.groupBy("source", _range(F.col("key")).alias("range")).agg(F.sum("size").alias("words")), "mix-ranges")
-    targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(land(spark, totals, "mix-sources"), weights, share, max_epochs)
     budget = F.floor(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     targets = land(spark, targets, "mix-targets")
-    # the key range in which the rest of the budget ends
-    by_range = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    t, r = targets.alias("t"), ranges.withColumn("before", F.coalesce(F.sum("words").over(by_range), F.lit(0))).alias("r")
-    cut_range = (
-        r.join(t, F.col("r.source").eqNullSafe(F.col("t.source")))
-        .filter("before <= rest and rest < before + words")
-        .select(F.col("t.source").alias("source"), "range", "before", "rest")
-    )
-    # the documents of that range, by key
-    s, c = sizes.alias("s"), cut_range.alias("c")
-    keys = (
-        s.join(c, F.col("s.source").eqNullSafe(F.col("c.source")) & (_range(F.col("s.key")) == F.col("c.range")))
-        .groupBy(F.col("c.source").alias("source"), "key", "before", "rest")
-        .agg(F.sum("size").alias("cut_size"))
-    )
-    # keys are signed: shifted so that they order like the ranges
-    by_key = Window.partitionBy("source").orderBy(_unsigned(F.col("key"))).rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        keys.withColumn("at", F.col("before") + F.coalesce(F.sum("cut_size").over(by_key), F.lit(0)))
-        .filter("at <= rest and rest < at + cut_size")
-        .select("source", F.col("key").alias("cut_key"), (F.col("rest") - F.col("at")).alias("left"), "cut_size")
-    )
+    # where the rest of the budget ends: a range of keys, then a range of that, down to a key
+    cut = targets.select("source", F.lit(0).cast("long").alias("range"), F.lit(0).cast("long").alias("before"), "rest")
+    done = 0
+    for bits in (*(LEVEL_BITS * n for n in range(1, LEVELS + 1)), 64):
+        s, c = sizes.alias("s"), cut.alias("c")
+        inside = F.col("s.source").eqNullSafe(F.col("c.source")) & (_range(F.col("s.key"), done) == F.col("c.range"))
+        sums = s.join(c, inside).groupBy(F.col("c.source").alias("source"), _range(F.col("s.key"), bits).alias("range"), "before", "rest")
+        earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        at = F.col("before") + F.coalesce(F.sum("words").over(earlier), F.lit(0))
+        found = sums.agg(F.sum("size").alias("words")).withColumn("at", at).filter("at <= rest and rest < at + words")
+        cut = land(spark, found.select("source", "range", F.col("at").alias("before"), "rest", "words"), "mix-cut")
+        done = bits
+    cut = cut.select("source", _unsigned(F.col("range")).alias("cut_key"), (F.col("rest") - F.col("before")).alias("left"), F.col("words").alias("cut_size"))
     t, k = targets.alias("t"), cut.alias("k")
     cuts = t.join(k, F.col("t.source").eqNullSafe(F.col("k.source")), "left").select(
         "t.source", "source_size", "target", "epochs", "cut_key", "left", "cut_size"
@@ -144,7 +141,7 @@ def plan(
 
 
 def _unsigned(key: Column) -> Column:
-    """Orders signed longs like unsigned ones."""
+    """Orders signed longs like unsigned ones; its own inverse."""
     return key.bitwiseXOR(F.lit(-(1 << 63)))
 
 
@@ -186,6 +183,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     _, cuts = plan(docs, id_col, text_col, source_col, **how)
     cut = F.col("_mix_cut")
-    met = docs.join(_as_struct(cuts), F.col(f"`{source_col}`").eqNullSafe(cut["source"]))
-    size, key = word_count(F.col(f"`{text_col}`")), _key(f"`{id_col}`", f"`{text_col}`")
-    return met.withColumn("taken", _taken(size, key, cut)).drop("_mix_cut").filter("taken > 0")
+    doc = F.struct(word_count(F.col(f"`{text_col}`")).alias("size"), _key(f"`{id_col}`", f"`{text_col}`").alias("key"))
+    met = docs.withColumn("_mix_doc", doc).join(_as_struct(cuts), F.col(f"`{source_col}`").eqNullSafe(cut["source"]))
+    taken = _taken(F.col("_mix_doc.size"), F.col("_mix_doc.key"), cut)
+    return met.withColumn("taken", taken).drop("_mix_cut", "_mix_doc").filter("taken > 0")
