@@ -7,8 +7,9 @@ and landing the fixture, writing the fixture files) is not timed; each
 timed query runs the real engine end to end into a ``noop`` sink.
 
   merge_lineitem   detect pass + duplicate rule + align + exceptions, landed input
-  scan_xlsx        parse 200 .xlsx files (mapInPandas) and land the cells
-  scan_csv         read 600 CSV files (JVM reader) and land the cells
+  scan_xlsx        parse 200 .xlsx files (mapInArrow) and land the cells
+  scan_csv         read 600 CSV files as text and land the cells
+  xlsx_to_result   200 .xlsx files -> scan -> merge -> result folder, audit tables included
   csv_to_result    CSV files -> scan -> merge -> sheets + exceptions
   merge_customer   FIXTURES 2.2 merge (derived input, every rule exercised)
   merge_job        FIXTURES 2.3 flagship merge (three tables)
@@ -31,7 +32,7 @@ def noop(df) -> None:
 def run_result(res) -> None:
     from sheetmerge.sources.sink import run_concurrently
 
-    outputs = list(res.sheets.values()) + [res.exceptions, res.cancelled]
+    outputs = list(res.sheets.values()) + [res.exceptions, res.cancelled, res.missing, res.unmatched]
     run_concurrently([lambda d=df: noop(d) for df in outputs])
 
 
@@ -42,7 +43,7 @@ def main() -> None:
     from sheetmerge.plans.fixtures import frames
     from sheetmerge.plans.job import MergePlan
     from sheetmerge.session import SCALE_CONF, scratch_path
-    from sheetmerge.sources import csv as csv_source, xlsx
+    from sheetmerge.sources import csv as csv_source, sink, xlsx
     from sheetmerge.sources.land import land
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
@@ -99,6 +100,11 @@ def main() -> None:
         h, r = csv_source.scan_csv(spark, csv_dir)
         run_result(MergePlan(spark, lc.template_headers, h, r, lc.decisions).result())
 
+    def xlsx_result():
+        h, r = xlsx.scan_workbooks(spark, xlsx_dir)
+        sink.write_result(MergePlan(spark, li.template_headers, h, r, li.decisions).result(), scratch_path(spark, "bench-out"))
+
+    timed("xlsx_to_result", xlsx_result)
     timed("scan_csv", lambda: csv_source.scan_csv(spark, csv_dir))
     timed("csv_to_result", csv_result)
     timed(

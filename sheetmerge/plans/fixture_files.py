@@ -206,7 +206,7 @@ def write_files(
     rows: DataFrame,
     out_dir: str,
     fmt: str,
-    partitions: int = 8,
+    partitions: int | None = None,
     stubs: tuple[str, ...] = (),
 ) -> int:
     """Write one file per ``file`` value into ``out_dir``; returns the file count.
@@ -218,6 +218,7 @@ def write_files(
         raise ValueError("fixture files are written with Python I/O; use a mounted folder")
     local = local_fs_path(out_dir)
     os.makedirs(local, exist_ok=True)
+    partitions = partitions or int(headers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     data = (
         with_header_rows(headers, rows)
         .repartition(partitions, "file")

@@ -3,7 +3,8 @@
 Stages (each a DataFrame; nothing is collected except the template header):
 
 1. header-side matching and detection on ``headers``
-2. ONE detection pass over ``rows`` (overflow, duplicate equality, samples)
+2. one detection pass over ``rows`` (overflow, duplicate equality), and the
+   first five rows of each sheet for samples
 3. duplicate rule, decisions, column map, all header-sized
 4. ONE alignment pass over ``rows`` per output (narrow, no shuffle when the
    column map is broadcast)
