@@ -21,9 +21,7 @@ def test_col_letter_null_and_negative(spark):
     assert [r["l"] for r in df.collect()] == [None, None]
 
 
-def test_spark_size_settings_parse():
-    from sheetmerge.sources.csv import size_in_bytes
-
-    assert size_in_bytes("134217728b") == 134217728
-    assert size_in_bytes("128m") == size_in_bytes("128MB") == 128 << 20
-    assert size_in_bytes("1g") == 1 << 30 and size_in_bytes("2048") == 2048
+def test_col_letter_over_the_whole_int_range(spark):
+    cases = {475_253: "ZZZZ", 475_254: "AAAAA", 12_356_629: "ZZZZZ", 321_272_405: "ZZZZZZ", 2_147_483_646: "FXSHRXW"}
+    df = spark.createDataFrame([(k,) for k in cases], "i int").select("i", col_letter("i").alias("l"))
+    assert {r["i"]: r["l"] for r in df.collect()} == cases == {k: col_letters(k) for k in cases}
