@@ -20,7 +20,7 @@ scoring needs, whatever the size of the corpus.
 Defined results: a text without words, or null, has an empty bag and scores
 the model's bias; a null label doesn't train, of several labels of one
 document the mean decides (0.5: toxic). Where the sample lacks a class,
-every text scores the share of toxic documents in it (0.0 without labels).
+every text scores as the class it has (0.0 without labels).
 Ids may be null or repeat; repeated rows score alike.
 """
 
@@ -174,9 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 bags.append(_bag(piece))
                 ys.append(0)
     if len(set(ys)) < 2:
-        share = float(np.mean(ys)) if ys else 0.0
-        odds = np.clip(share, 0.0, 1.0)
-        return Model(np.zeros(1 << BUCKET_BITS), 500.0 if odds == 1.0 else -500.0)
+        return Model(np.zeros(1 << BUCKET_BITS), 500.0 if 1 in ys else -500.0)
     return fit(bags, np.array(ys))
 
 
