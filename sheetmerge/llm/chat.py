@@ -58,24 +58,33 @@ def _clean(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _doubled(nodes: DataFrame) -> list[DataFrame]:
-    """Rounds of (node, up, root, depth, total); up is 2^k nodes above, null beyond the root."""
+def _doubled(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(steps, placed). Step k has (node, up): 2^k nodes above, for nodes that deep.
+
+    placed has (node, root, depth, total) of every node below a root. A node
+    takes part in a round only while something is above what it has added
+    up, so a few long conversations cost the many short ones nothing.
+    """
     spark = nodes.sparkSession
-    state = nodes.select("node", F.col("parent").alias("up"), F.coalesce("parent", "node").alias("root"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
-    rounds = [land(spark, state, "reply-steps")]
-    count = rounds[0].count()
-    while 1 << (len(rounds) - 1) < max(1, count) and rounds[-1].filter("up is not null").limit(1).count():
-        here = rounds[-1].alias("h")
-        above = rounds[-1].select(F.col("node").alias("up"), F.struct("up", "root", "depth", "total").alias("a"))
-        joined = here.join(above, "up", "left").select(
+    start = nodes.select("node", F.col("parent").alias("up"), F.coalesce("parent", "node").alias("root"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
+    step = land(spark, start, "reply-steps")
+    limit = step.count()
+    steps, placed = [], step.where("up is null")
+    while True:
+        open_ = step.where("up is not null")
+        if 1 << len(steps) > limit or open_.limit(1).count() == 0:  # only circles are longer than the table
+            return steps, placed.drop("up")
+        steps.append(open_.select("node", "up"))
+        above = placed.unionByName(open_).select(F.col("node").alias("up"), F.struct("up", "root", "depth", "total").alias("a"))
+        joined = open_.join(above, "up").select(
             "node",
             F.col("a.up").alias("up"),
-            F.coalesce("a.root", "root").alias("root"),
-            (F.col("depth") + F.coalesce("a.depth", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("a.total", F.lit(0.0))).alias("total"),
+            F.col("a.root").alias("root"),
+            (F.col("depth") + F.col("a.depth")).alias("depth"),
+            (F.col("total") + F.col("a.total")).alias("total"),
         )
-        rounds.append(land(spark, joined, "reply-steps"))
-    return rounds
+        step = land(spark, joined, "reply-steps")
+        placed = placed.unionByName(step.where("up is null"))
 
 
 def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
@@ -86,20 +95,18 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     """
     spark = nodes.sparkSession
     nodes = land(spark, _clean(nodes), "reply-nodes")
-    rounds = _doubled(nodes)
-    placed = rounds[-1].filter("up is null")
+    steps, placed = _doubled(nodes)
     leaves = placed.join(nodes.select(F.col("parent").alias("node")).filter("node is not null"), "node", "left_anti")
     leaves = leaves.withColumn("score", F.col("total") / F.col("depth"))
     order = Window.partitionBy("root").orderBy(F.col("score").desc(), F.col("depth").desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= paths)
     chosen = land(spark, chosen.select("root", F.col("node").alias("leaf"), "rank", "score"), "reply-leaves")
     members = chosen.select("leaf", F.col("leaf").alias("node"))
-    for state in reversed(rounds[:-1] or rounds):
-        ups = state.filter("up is not null").select("node", "up")
-        # written each time: a union of itself and its own join would double the plan with every round
-        members = land(spark, members.union(members.join(ups, "node").select("leaf", F.col("up").alias("node"))), "reply-members")
-    depths = placed.select("node", "depth")
-    turns = members.join(nodes.select("node", "role", "text"), "node").join(depths, "node")
+    for ups in reversed(steps):
+        # written each time: a union with its own join would double the plan with every round
+        higher = members.join(ups, "node").select("leaf", F.col("up").alias("node"))
+        members = members.unionByName(land(spark, higher, "reply-members"))
+    turns = members.join(nodes.select("node", "role", "text"), "node").join(placed.select("node", "depth"), "node")
     turns = turns.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     return chosen.join(turns, "leaf").select("root", "leaf", "rank", "score", "turns")
 
