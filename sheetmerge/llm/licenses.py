@@ -10,7 +10,8 @@ max) of both sizes, so a unit meets only the templates within a factor of
 t / (2 - t), by an equi-join on the size. Words: a unit that reaches the
 threshold holds at least t / (2 - t) of the template's bigrams, so it holds
 one of any words that occur in more of its bigrams than may be missing;
-such anchors (the longest words) are looked for before a text is taken apart.
+such anchors (long words, or bigrams where there are none) are looked for
+before a text is taken apart.
 
 Everything is DataFrame functions. Matches alone are shuffled, for their
 counts per document and licence.
@@ -29,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+LONG_WORD = 6
+GAP = r"[^\p{L}\p{N}]+"
 
 #: Fixed texts: licence and a notice or the opening of the licence.
 TEMPLATES = (
@@ -58,13 +61,22 @@ def _words(text: str) -> list[str]:
 
 
 def anchors(bigrams: Sequence[str], threshold: float) -> list[str]:
-    """Words, the longest first, that occur in more bigrams than a match may miss."""
+    """Patterns of which every match holds one: long words, then bigrams, that
+    cover more of the bigrams than a match may miss."""
     spare = len(bigrams) * (1 - threshold / (2 - threshold)) + 1e-9
-    words = sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w))
-    for n in range(1, len(words) + 1):
-        if sum(any(w in b.split() for w in words[:n]) for b in bigrams) > spare:
-            return words[:n]
-    return words
+    covered: set[str] = set()
+    found = []
+    words = {w for b in bigrams for w in b.split() if len(w) >= LONG_WORD}
+    for word in sorted(words, key=lambda w: (-len(w), w)):
+        fresh = {b for b in bigrams if word in b.split()} - covered
+        if fresh and len(covered) <= spare:
+            covered |= fresh
+            found.append(re.escape(word))
+    for bigram in sorted(set(bigrams) - covered, key=lambda b: (-len(b), b)):
+        if len(covered) <= spare:
+            covered.add(bigram)
+            found.append(GAP.join(map(re.escape, bigram.split())))
+    return found
 
 
 def _template_sizes(docs: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
@@ -93,7 +105,7 @@ def find_licenses(
     """One row per document and licence: id, license, units that carry it, best score."""
     grams = [_bigrams(_words(text)) for _, text in templates]
     signs = sorted({a for g in grams if g for a in anchors(g, threshold)})
-    anchor = "|".join(map(re.escape, signs)) or "$^"
+    anchor = "|".join(signs) or "$^"
     text = F.lower(F.col(text_col))
     units = (
         docs.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -101,7 +113,7 @@ def find_licenses(
         .select("id", F.explode(_units(F.col("text"))).alias("unit"))
         .filter(F.col("unit").rlike(anchor))
     )
-    words = F.filter(F.split("unit", r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split("unit", GAP), lambda w: w != "")
     units = units.select("id", words.alias("words")).filter(F.size("words") > 1)
     count = F.size("words")
     pairs = F.arrays_zip(F.slice("words", F.lit(1), count - 1).alias("a"), F.slice("words", F.lit(2), count - 1).alias("b"))
