@@ -2,11 +2,14 @@
 
 Texts and test items become sequences of words (lower case, letters and
 digits). Seeds are n-grams of ``SEED_WORDS`` words of the items. A first
-pass over all documents counts in how many of them each n-gram occurs; of
-any ``SEED_WINDOW`` n-grams in a row of an item the rarest becomes a seed.
-So every run of SEED_WORDS + SEED_WINDOW - 1 = 5 words that a document
-shares with an item holds a seed of that item, however frequent the passage
-is in the corpus, while stop-word n-grams rarely are seeds.
+pass over all documents counts in how many of them each n-gram occurs. Those
+that no document holds can't match and are left out. Of any ``SEED_WINDOW``
+n-grams in a row of an item the rarest of the others becomes a seed. So every
+run of SEED_WORDS + SEED_WINDOW - 1 = 5 words that a document shares with an
+item holds a seed of that item, however frequent the passage is in the
+corpus, while stop-word n-grams rarely are seeds. All n-grams of at most
+``RARE_DOCS`` documents are seeds, too: where a corpus holds an item and
+edited copies of it, the n-grams the edits broke are rarer than those left.
 
 The second pass looks up the seeds in every document, cuts a window around
 the place where the item would lie, and aligns item and window word by word
@@ -42,6 +45,7 @@ from sheetmerge.llm.textblocks import blocks, marked, scramble, words
 
 SEED_WORDS = 3
 SEED_WINDOW = 3
+RARE_DOCS = 64
 THRESHOLD = 0.5
 LONG_MATCH = 50
 MIN_ITEM_WORDS = 5
@@ -49,6 +53,7 @@ BLOCK_WORDS = 1 << 20
 
 _FILTER_BITS = 22
 _MAX_CELLS = 1 << 22
+_ABSENT = np.iinfo(np.int64).max
 
 
 def _rows_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -120,9 +125,11 @@ class Items:
                 if len(g):
                     at = np.minimum(np.searchsorted(chosen, g), max(0, len(chosen) - 1))
                     count = np.where(chosen[at] == g, docs[at], 0) if len(chosen) else np.zeros(len(g), np.int64)
+                    keep[lo : lo + len(g)] = (count > 0) & (count <= RARE_DOCS)
                     wide = min(SEED_WINDOW, len(g))
-                    runs = np.lib.stride_tricks.sliding_window_view(count, wide)
-                    keep[lo + np.arange(len(runs)) + runs.argmin(axis=1)] = True
+                    runs = np.lib.stride_tricks.sliding_window_view(np.where(count > 0, count, _ABSENT), wide)
+                    rarest = np.arange(len(runs)) + runs.argmin(axis=1)
+                    keep[lo + rarest[count[rarest] > 0]] = True
                 lo += len(g)
             item, place, flat = item[keep], place[keep], flat[keep]
         order = np.argsort(flat, kind="stable")

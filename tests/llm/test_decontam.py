@@ -129,3 +129,17 @@ def test_words_across_buffer_steps():
     both = [c for _, c, _ in decontam._rows_words(column)]
     flat = np.concatenate(both)
     assert flat[1] == flat[-1] and len(set(flat.tolist())) == 4
+
+
+@pytest.mark.parametrize("verbatim", [0, 1, 20])
+def test_copies_with_every_fifth_word_replaced(spark, verbatim):
+    items = [(k, " ".join(f"i{k}w{n}" for n in range(size))) for k, size in enumerate((14, 20, 33, 59))]
+    docs = [(100 + k, " ".join(f"d{k}w{n}" for n in range(60))) for k in range(20)]
+    for k, text in items:
+        words = text.split()
+        words[4::5] = [f"x{k}y{n}" for n in range(len(words[4::5]))]
+        docs.append((k, "before it " + " ".join(words) + " after it"))
+        docs += [(1000 + n, text) for n in range(verbatim)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontam.find_items(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.doc_id < 1000} == {(k, k) for k, _ in items}
