@@ -16,7 +16,9 @@ the place where the item would lie, and aligns item and window word by word
 (match +1, other word -1, gap -1). The score is the best local alignment
 over the length of the item: 1 for a verbatim copy. A document holds an
 item if the score is ``THRESHOLD`` or more, or if ``LONG_MATCH`` words align,
-so that a long excerpt of a much longer item counts, too. Windows that can't
+so that a long excerpt of a much longer item counts, too. At least
+``SHORT_MATCH`` words must align, or all of a shorter item, since a phrase of
+three or four words is no copy of a short question. Windows that can't
 reach this, by the number of words they share with the item, aren't aligned.
 
 Test items are the small, stated side: they are read in blocks of about
@@ -48,6 +50,7 @@ SEED_WINDOW = 3
 RARE_DOCS = 64
 THRESHOLD = 0.5
 LONG_MATCH = 50
+SHORT_MATCH = 7
 MIN_ITEM_WORDS = 5
 BLOCK_WORDS = 1 << 20
 
@@ -165,7 +168,7 @@ class Items:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for i in np.unique(item):
             seq = self.codes[i]
-            need = int(min(np.ceil(THRESHOLD * len(seq)), LONG_MATCH))
+            need = least_match(len(seq))
             mine = np.flatnonzero(item == i)
             mine = mine[np.argsort(hi[mine] - lo[mine], kind="stable")]
             while len(mine):
@@ -189,6 +192,11 @@ class Items:
             yield r, i, matched, -begin, -end
 
 
+def least_match(words: int) -> int:
+    """The net number of aligned words that makes a document hold an item of so many words."""
+    return max(int(min(np.ceil(THRESHOLD * words), LONG_MATCH)), min(words, SHORT_MATCH))
+
+
 def _views(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The stretches as rows of equal length, filled up with 0."""
     at = lo[:, None] + np.arange(int((hi - lo).max(initial=0)))[None, :]

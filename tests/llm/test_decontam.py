@@ -143,3 +143,13 @@ def test_copies_with_every_fifth_word_replaced(spark, verbatim):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     found = decontam.find_items(d, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found if r.doc_id < 1000} == {(k, k) for k, _ in items}
+
+
+def test_a_common_phrase_is_no_copy_of_a_short_item(spark):
+    items = [(1, "What is the capital of France?"), (2, "the capital of Peru is"), (3, "who wrote the book of the seven hills")]
+    clean = ["Oslo is the capital of Norway", "Lima is the capital", "what is the matter", "the book of the week", "he wrote the book of the year"]
+    docs = [(10 + k, t) for k, t in enumerate(clean)] + [(k, f"so: {t} yes") for k, t in items]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_items(d, i).collect()} == {(1, 1), (2, 2), (3, 3)}
+    assert {r.doc_id for r in decontam.keep_uncontaminated(d, i).collect()} == {10, 11, 12, 13, 14}
