@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Texts and test items become sequences of words (lower case, letters and
-digits). Seeds are n-grams of ``SEED_WORDS`` words of the items. A first
+Texts and test items become sequences of words (lower case; letters, digits
+and their marks by Unicode, anything else is a gap). In scripts written
+without spaces every character is a word. Seeds are n-grams of ``SEED_WORDS`` words of the items. A first
 pass over all documents counts in how many of them each n-gram occurs. Those
 that no document holds can't match and are left out. Of any ``SEED_WINDOW``
 n-grams in a row of an item the rarest of the others becomes a seed. So every
@@ -26,8 +27,11 @@ Test items are the small, stated side: they are read in blocks of about
 every block is held against all documents. Both passes are narrow, apart
 from the sums of the n-gram counts, and texts are never shuffled.
 
-Defined results: null texts hold no words. Items under ``MIN_ITEM_WORDS``
-words can't be told from chance and take part in nothing. Every row of
+Items under ``MIN_ITEM_WORDS`` words are too short to align: a document holds
+one if all its words stand in it in a row, however common they are.
+
+Defined results: null texts hold no words, items without a word are in no
+document. Every row of
 ``docs`` is judged by itself, whatever its id; an item given in several rows
 is found once for each. Empty tables give no rows.
 """
@@ -39,6 +43,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,21 +60,44 @@ MIN_ITEM_WORDS = 5
 BLOCK_WORDS = 1 << 20
 
 _FILTER_BITS = 22
+_SPACED_BYTES = 4 << 20
 _MAX_CELLS = 1 << 22
+#: Scripts without spaces between words, as RE2 and as Java write them.
+_SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+_SINGLES = "[" + "".join(rf"\p{{{x}}}" for x in _SCRIPTS) + "]"
+_SINGLES_JAVA = "[" + "".join(rf"\p{{Is{x}}}" for x in _SCRIPTS) + "]"
+_NO_WORD = r"[^\x00-\x7F\p{L}\p{N}\p{M}]+"
 _ABSENT = np.iinfo(np.int64).max
 
 
-def _rows_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, hash of every word, first word of every row and the end), block by block."""
-    for lo, _, data, offsets in blocks(column):
-        x, offsets = marked(data, offsets)
-        start, _, codes = words(x)
-        yield lo, codes, np.searchsorted(start, offsets)
+def _spaced(column: pa.Array) -> pa.Array:
+    """Spaces for what is above ASCII and in no word, and around characters that are words."""
+    column = column.cast(pa.large_string())
+    ascii_ = pc.fill_null(pc.string_is_ascii(column), True)
+    other = pc.invert(ascii_)
+    if not pc.any(other).as_py():
+        return column
+    some = pc.replace_substring_regex(column.filter(other), _NO_WORD, " ")
+    some = pc.replace_substring_regex(some, f"({_SINGLES})", r" \1 ")
+    return pc.replace_with_mask(column, other, some)
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    out = np.zeros(max(0, len(codes) - SEED_WORDS + 1), dtype=np.uint64)
-    for k in range(SEED_WORDS):
+def _rows_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, hash of every word, first word of every row and the end), block by block."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    step = pc.sum(pc.binary_length(column)).as_py() or 0
+    step = max(1, len(column) * _SPACED_BYTES // max(1, step))
+    for first in range(0, len(column), step):
+        for lo, _, data, offsets in blocks(_spaced(column.slice(first, step))):
+            x, offsets = marked(data, offsets)
+            start, _, codes = words(x)
+            yield first + lo, codes, np.searchsorted(start, offsets)
+
+
+def _grams(codes: np.ndarray, size: int = SEED_WORDS) -> np.ndarray:
+    out = np.zeros(max(0, len(codes) - size + 1), dtype=np.uint64)
+    for k in range(size):
         out = out * np.uint64(0xD6E8FEB86659FD93) + codes[k : k + len(out)]
     return scramble(out)
 
@@ -95,11 +123,11 @@ class _Lookup:
         return at[same], number[same]
 
 
-def _hits(lookup: _Lookup, codes: np.ndarray, firsts: np.ndarray):
+def _hits(lookup: _Lookup, codes: np.ndarray, firsts: np.ndarray, size: int = SEED_WORDS):
     """(row, place, number) of the n-grams of the set that lie within one row."""
-    place, number = lookup.find(_grams(codes))
+    place, number = lookup.find(_grams(codes, size)) if len(lookup.grams) else (np.zeros(0, np.int64),) * 2
     row = np.searchsorted(firsts, place, side="right") - 1
-    inside = place + SEED_WORDS <= firsts[row + 1]
+    inside = place + size <= firsts[row + 1]
     return row[inside], place[inside], number[inside]
 
 
@@ -113,11 +141,12 @@ class Items:
     item: np.ndarray  # by n-gram: items and places that have it, as stretches
     place: np.ndarray
     first: np.ndarray
+    short: list[tuple[int, _Lookup, list[list[int]]]]  # length, n-grams, items of each: those looked up whole
 
     @staticmethod
     def of(ids: pa.Table, codes: list[np.ndarray], chosen: np.ndarray | None = None, docs: np.ndarray | None = None) -> Items:
         """With the n-grams ``chosen`` (sorted) and their document counts: only the rare seeds."""
-        grams = [_grams(c) for c in codes]
+        grams = [_grams(c if len(c) >= MIN_ITEM_WORDS else c[:0]) for c in codes]
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
         flat = np.concatenate([np.zeros(0, np.uint64), *grams])
@@ -137,7 +166,7 @@ class Items:
             item, place, flat = item[keep], place[keep], flat[keep]
         order = np.argsort(flat, kind="stable")
         unique, first = np.unique(flat[order], return_index=True)
-        return Items(ids, codes, _Lookup.of(unique), item[order], place[order], np.append(first, len(flat)))
+        return Items(ids, codes, _Lookup.of(unique), item[order], place[order], np.append(first, len(flat)), _short(codes))
 
     def windows(self, codes: np.ndarray, firsts: np.ndarray):
         """(row, item, from, to): where items may lie, as stretches of words of one row."""
@@ -190,6 +219,24 @@ class Items:
                     best[key] = max(best.get(key, found), found)
         for (r, i), (matched, begin, end) in sorted(best.items()):
             yield r, i, matched, -begin, -end
+        for size, lookup, items in self.short:
+            row, place, number = _hits(lookup, codes, firsts, size)
+            _, once = np.unique(row * len(items) + number, return_index=True)
+            for r, at, n in zip(row[once].tolist(), place[once].tolist(), number[once].tolist(), strict=True):
+                at -= int(firsts[r])
+                yield from ((r, i, size, at, at + size - 1) for i in items[n])
+
+
+def _short(codes: list[np.ndarray]) -> list[tuple[int, _Lookup, list[list[int]]]]:
+    out = []
+    for size in range(1, MIN_ITEM_WORDS):
+        whole: dict[int, list[int]] = {}
+        for i, seq in enumerate(codes):
+            if len(seq) == size:
+                whole.setdefault(int(_grams(seq, size)[0]), []).append(i)
+        if whole:
+            out.append((size, _Lookup.of(np.array(sorted(whole), dtype=np.uint64)), [whole[g] for g in sorted(whole)]))
+    return out
 
 
 def least_match(words: int) -> int:
@@ -232,7 +279,8 @@ def align(view: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _read_items(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
     """Blocks of test items with their word hashes."""
     rows = items.select(F.col(id_col).alias("item_id"), F.lower(F.col(text_col)).alias("text")).filter("text is not null")
-    size = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).collect()[0][0] or 0
+    singles = F.length("text") - F.length(F.regexp_replace("text", _SINGLES_JAVA, ""))
+    size = rows.agg(F.sum(F.size(F.split("text", r"\s+")) + singles)).collect()[0][0] or 0
     count = -(-int(size) // BLOCK_WORDS)
     for k in range(count):
         part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == k).toArrow() if count > 1 else rows.toArrow()
@@ -240,7 +288,7 @@ def _read_items(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
         for lo, hashes, firsts in _rows_words(part.column("text").combine_chunks()):
             for r in range(len(firsts) - 1):
                 seq = hashes[firsts[r] : firsts[r + 1]]
-                if len(seq) >= max(MIN_ITEM_WORDS, SEED_WORDS):
+                if len(seq):
                     codes.append(seq)
                     keep.append(lo + r)
         if codes:

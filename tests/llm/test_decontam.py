@@ -153,3 +153,33 @@ def test_a_common_phrase_is_no_copy_of_a_short_item(spark):
     i = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.find_items(d, i).collect()} == {(1, 1), (2, 2), (3, 3)}
     assert {r.doc_id for r in decontam.keep_uncontaminated(d, i).collect()} == {10, 11, 12, 13, 14}
+
+
+def test_scripts_without_spaces_marks_and_short_items(spark):
+    items = [
+        (1, "法国的首都是哪个城市"),
+        (2, "日本で一番高い山は何ですか"),
+        (3, "เมืองหลวงของประเทศไทยคืออะไร"),
+        (4, "he said \"don't go there - not now\" twice"),
+        (5, "speed of light"),
+        (6, "Mitochondrion"),
+        (7, "Ünïcode naïve café déjà vu résumé über"),
+        (8, "…"),
+    ]
+    held = [
+        (1, "前文。问题：法国的首都是哪个城市？答案"),
+        (2, "質問日本で一番高い山は何ですか富士山"),
+        (3, "ถามเมืองหลวงของประเทศไทยคืออะไรตอบ"),
+        (4, "He said “don’t go there—not now” twice"),
+        (5, "the speed of light, of light"),
+        (6, "a “mitochondrion” is"),
+        (7, "x ünïcode，naïve…café déjà\u00a0vu résumé über"),
+    ]
+    docs = held + [(10, "法国的天气很好"), (11, "the speed of the light"), (12, "speed of"), (13, "mitochondrions … "), (14, None), (15, "light speed of")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    i = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontam.find_items(d, i).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(k, k) for k, _ in held]
+    assert all(r.score == 1 for r in rows)
+    assert [(r.first_word, r.last_word) for r in rows if r.item_id == 5] == [(1, 3)]
+    assert {r.doc_id for r in decontam.keep_uncontaminated(d, i).collect()} == {10, 11, 12, 13, 14, 15}
