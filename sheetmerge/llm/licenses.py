@@ -5,13 +5,20 @@ two or more lines. Units and templates become words (lower case, letters
 and digits) and the set of their bigrams. A unit carries a template where
 2 |shared| / (|unit| + |template|) is ``THRESHOLD`` or more.
 
+A notice may be part of a longer unit: in a comment with code below, or in a
+text kept as one line. So the words of the whole text, comment marks being
+none, are compared in windows, too: as many words as the template has, laid
+so that an anchor word of the template meets itself. A licence that windows
+alone carry counts as one unit of its document.
+
 Pruning loses nothing. Sizes: the coefficient is at most 2 min / (min +
 max) of both sizes, so a unit meets only the templates within a factor of
 t / (2 - t), by an equi-join on the size. Words: a unit that reaches the
 threshold holds at least t / (2 - t) of the template's bigrams, so it holds
 one of any words that occur in more of its bigrams than may be missing;
 such anchors (long words, or bigrams where there are none) are looked for
-before a text is taken apart.
+before a text is taken apart. Windows are cut from chunks of ``CHUNK`` words,
+with as many more on either side as the longest template has.
 
 Everything is DataFrame functions. Matches alone are shuffled, for their
 counts per document and licence.
@@ -31,6 +38,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 LONG_WORD = 6
+CHUNK = 256
 GAP = r"[^\p{L}\p{N}]+"
 
 #: Fixed texts: licence and a notice or the opening of the licence.
@@ -95,6 +103,50 @@ def _units(text: Column) -> Column:
     return F.concat(lines, paragraphs)
 
 
+def _distinct_bigrams(words: Column) -> Column:
+    count = F.size(words)
+    pairs = F.arrays_zip(F.slice(words, F.lit(1), count - 1).alias("a"), F.slice(words, F.lit(2), count - 1).alias("b"))
+    return F.array_distinct(F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"])))
+
+
+def _scored(size: Column, shared: Column) -> Column:
+    return 2 * shared / (size + F.size("template"))
+
+
+def _window_matches(texts: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+    """(id, license, score) of the windows of (id, text) that carry a template."""
+    rows, most = [], 1
+    for name, text in templates:
+        words = _words(text)
+        grams, most = _bigrams(words), max(most, len(words))
+        for key in (a.replace(GAP, " ") for a in (anchors(grams, threshold) if grams else ())):
+            part = key.split()
+            rows += [(key, name, grams, at, len(words)) for at in range(len(words)) if words[at : at + len(part)] == part]
+    table = texts.sparkSession.createDataFrame(rows, "key string, license string, template array<string>, at int, words int")
+    keys = sorted({r[0] for r in rows})
+    # word k of the text is word k - CHUNK * chunk + most of a chunk, from 0; the first chunk has blanks before it
+    words = F.filter(F.split("text", GAP), lambda w: w != "")
+    padded = texts.select("id", F.concat(F.array_repeat(F.lit(""), most), words).alias("words")).filter(F.size("words") > most + 1)
+    begins = F.sequence(F.lit(1), F.size("words") - most, F.lit(CHUNK))
+    chunks = padded.select("id", F.explode(F.transform(begins, lambda b: F.slice("words", b, CHUNK + 2 * most))).alias("chunk"))
+
+    def key_at(p: Column) -> Column:
+        word = F.get("chunk", p)
+        pair = F.concat_ws(" ", word, F.get("chunk", p + 1))
+        return F.filter(F.array(word, pair), lambda k: k.isin(keys))
+
+    own = F.sequence(F.lit(most), F.least(F.size("chunk"), F.lit(most + CHUNK)) - 1)
+    found = F.transform(own, lambda p: F.struct(p.alias("p"), key_at(p).alias("keys")))
+    hits = chunks.select("id", "chunk", F.explode(F.filter(found, lambda h: F.size(h["keys"]) > 0)).alias("hit"))
+    hits = hits.select("id", "chunk", F.col("hit.p").alias("p"), F.explode("hit.keys").alias("key"))
+    met = hits.join(F.broadcast(table), "key")
+    window = F.filter(F.slice("chunk", F.col("p") - F.col("at") + 1, F.col("words")), lambda w: w != "")
+    met = met.select("id", "license", "template", _distinct_bigrams(window).alias("bigrams"))
+    shared = F.size(F.array_intersect("bigrams", "template"))
+    met = met.select("id", "license", _scored(F.size("bigrams"), shared).alias("score"))
+    return met.filter(F.col("score") >= threshold)
+
+
 def find_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -106,21 +158,19 @@ def find_licenses(
     grams = [_bigrams(_words(text)) for _, text in templates]
     signs = sorted({a for g in grams if g for a in anchors(g, threshold)})
     anchor = "|".join(signs) or "$^"
-    text = F.lower(F.col(text_col))
-    units = (
-        docs.select(F.col(id_col).alias("id"), text.alias("text"))
-        .filter(F.col("text").rlike(anchor))
-        .select("id", F.explode(_units(F.col("text"))).alias("unit"))
-        .filter(F.col("unit").rlike(anchor))
-    )
+    texts = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).filter(F.col("text").rlike(anchor))
+    units = texts.select("id", F.explode(_units(F.col("text"))).alias("unit")).filter(F.col("unit").rlike(anchor))
     words = F.filter(F.split("unit", GAP), lambda w: w != "")
     units = units.select("id", words.alias("words")).filter(F.size("words") > 1)
-    count = F.size("words")
-    pairs = F.arrays_zip(F.slice("words", F.lit(1), count - 1).alias("a"), F.slice("words", F.lit(2), count - 1).alias("b"))
-    units = units.select("id", F.array_distinct(F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"]))).alias("bigrams"))
+    units = units.select("id", _distinct_bigrams(F.col("words")).alias("bigrams"))
     # the stated templates: a fixed list, at most a few sizes each
     sizes = F.broadcast(_template_sizes(docs, templates, threshold))
     met = units.withColumn("size", F.size("bigrams")).join(sizes, "size")
     shared = F.size(F.array_intersect("bigrams", "template"))
-    met = met.withColumn("score", 2 * shared / (F.col("size") + F.size("template"))).filter(F.col("score") >= threshold)
-    return met.groupBy(F.col("id").alias(id_col), "license").agg(F.count("*").alias("units"), F.max("score").alias("score"))
+    met = met.withColumn("score", _scored(F.col("size"), shared)).filter(F.col("score") >= threshold)
+    met = met.select("id", "license", "score", F.lit(True).alias("whole"))
+    met = met.union(_window_matches(texts, templates, threshold).withColumn("whole", F.lit(False)))
+    whole = F.when(F.col("whole"), F.col("score"))
+    return met.groupBy(F.col("id").alias(id_col), "license").agg(
+        F.greatest(F.count(whole), F.lit(1)).alias("units"), F.coalesce(F.max(whole), F.max("score")).alias("score")
+    )

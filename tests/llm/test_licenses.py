@@ -66,3 +66,24 @@ def test_empty_and_native(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = licenses.find_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_notices_inside_longer_units(spark):
+    mit, gpl, mpl = licenses.TEMPLATES[11][1], licenses.TEMPLATES[7][1], licenses.TEMPLATES[12][1]
+
+    def comment(mark, text, width=9):
+        words = text.split()
+        return "\n".join(f"{mark} " + " ".join(words[k : k + width]) for k in range(0, len(words), width))
+
+    code = "\nimport os\n" + "\n".join(f"value_{k} = compute(value_{k - 1}, {k})" for k in range(60))
+    docs = [
+        (1, "# Copyright 2020 Jane Doe\n#\n" + comment("#", mit) + code, "MIT"),
+        (2, "/*\n * Widget\n *\n" + comment(" *", gpl) + "\n */" + code, "GPL-3.0"),
+        (3, "This library was written by Jane Doe in 2020. Released under the MIT License.", "MIT"),
+        (4, "word " * 255 + mpl + " more" * 700, "MPL-2.0"),
+        (5, "word " * 3000 + "Licensed under CC BY-NC 4.0." + " more" * 10, "CC-BY-NC-4.0"),
+        (6, "the license of the software was discussed under the terms of the meeting", None),
+    ]
+    rows = licenses.find_licenses(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in rows) == [(k, name) for k, _, name in docs if name]
+    assert all(r.units == 1 and r.score >= 0.8 for r in rows)
