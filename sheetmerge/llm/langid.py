@@ -11,11 +11,12 @@ Texts are lower-cased and everything but letters is one space. The bytes of
 whole texts are parsed in stretches of ``STRETCH``, thousands of them side by
 side in numpy: one step follows one transition of every stretch.
 
-Labelled text is a bounded sample: for each of the ``LANGUAGES`` most
-frequent labels, about ``SAMPLE_DOCS`` documents (a hash of id and text
-decides), of which ``SAMPLE_PIECES`` pieces of ``PIECE`` characters in hash
-order are used. Automata of that size are built on the driver and broadcast
-as transition lists.
+Labelled text is a bounded sample: for each label, about ``SAMPLE_DOCS``
+documents (a hash of id and text decides), of which ``SAMPLE_PIECES`` pieces
+of ``PIECE`` characters are used: one of each document in hash order, then a
+second one of each, and so on. Automata of that size are built on the driver
+and broadcast as transition lists, all labels'. A worker holds the tables of
+``LANGUAGES`` of them at a time; with more labels it works block by block.
 
 Defined results: a text that is null or has no letter is ``und`` with score
 0, and so is every text if nothing is labelled. Of equal languages the one
@@ -98,6 +99,11 @@ class Model:
     edges: list[np.ndarray]
     key: str = ""
 
+    def blocks(self) -> list[Model]:
+        """The model in parts of ``LANGUAGES`` languages."""
+        cuts = [slice(lo, lo + LANGUAGES) for lo in range(0, len(self.names), LANGUAGES)]
+        return [Model(self.names[c], self.sizes[c], self.edges[c], f"{self.key}-{c.start}") for c in cuts]
+
     def tables(self) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """Per language (symbol of each byte, transitions, symbols).
 
@@ -159,22 +165,21 @@ def _entropies(model: Model, tables, column: pa.Array) -> np.ndarray:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     spark = labelled.sparkSession
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Model([], [], [], uuid.uuid4().hex)
     every = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, r["count"] // SAMPLE_DOCS))])
     at = F.xxhash64("id", "text")
     sample = rows.filter(F.pmod(at, F.element_at(every, F.col("lang"))) == 0)
-    nth = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))).alias("nth")
-    pieces = sample.filter(F.length("text") > 0).select("lang", F.lower("text").alias("text"), at.alias("at"), nth)
-    pieces = land(
-        spark,
-        pieces.select("lang", F.xxhash64("at", "nth").alias("at"), F.substring("text", F.col("nth") * PIECE + 1, F.lit(PIECE)).alias("piece")),
-        "language-sample",
-    )
+    last = F.floor((F.length("text") - 1) / PIECE).cast("int")
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.xxhash64("at", k).alias("h"), k.alias("nth"))))
+    texts = sample.filter(F.length("text") > 0).select("lang", F.lower("text").alias("text"), at.alias("at"))
+    pieces = texts.select("lang", "text", F.posexplode(F.slice(order, 1, SAMPLE_PIECES)).alias("turn", "of"))
+    piece = F.substring("text", F.col("of.nth") * PIECE + 1, F.lit(PIECE)).alias("piece")
+    pieces = land(spark, pieces.select("lang", "turn", F.col("of.h").alias("at"), piece), "language-sample")
     names, sizes, edges = [], [], []
     for name in sorted(r["lang"] for r in counts):
-        chosen = pieces.filter(F.col("lang") == name).orderBy("at", "piece").limit(SAMPLE_PIECES).collect()
+        chosen = pieces.filter(F.col("lang") == name).orderBy("turn", "at", "piece").limit(SAMPLE_PIECES).collect()
         data = np.frombuffer(" ".join(r.piece for r in chosen).encode(), dtype=np.uint8)
         text, _ = _plain(data, np.array([0, len(data)]))
         if len(text):
@@ -184,10 +189,17 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return Model(names, sizes, edges, uuid.uuid4().hex)
 
 
-#: In a Python worker: the tables of the model it works with, by the model's key.
+#: In a Python worker: the tables of the block of languages it works with, by the model's key.
 _TABLES: dict[str, list] = {}
 
 
+def _tables(model: Model) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    if model.key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[model.key] = model.tables()
+    return _TABLES[model.key]
+
+
 def identify(model: Model, docs: DataFrame, text: Column) -> Column:
     """struct(lang, score) of a text column of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -195,10 +207,7 @@ def identify(model: Model, docs: DataFrame, text: Column) -> Column:
     @F.arrow_udf("struct<lang:string,score:double>")
     def of(column: pa.Array) -> pa.Array:
         model = shared.value
-        if model.key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[model.key] = model.tables()
-        bits = _entropies(model, _TABLES[model.key], column)
+        bits = np.concatenate([np.zeros((len(column), 0)), *(_entropies(part, _tables(part), column) for part in model.blocks())], axis=1)
         best = bits.argmin(axis=1) if model.names else np.zeros(len(column), dtype=int)
         least = bits[np.arange(len(column)), best] if model.names else np.full(len(column), np.inf)
         some = np.isfinite(least)

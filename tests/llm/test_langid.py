@@ -71,3 +71,19 @@ def test_nothing_labelled(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     model = langid.train(docs)
     assert docs.select(langid.identify(model, docs, F.col("text")).alias("f")).first().f == ("und", 0.0)
+
+
+def test_every_label_is_learnt_and_no_document_fills_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    names = [f"l{k}" for k in range(7)]
+    text = {name: " ".join(f"{c}{d}{c}" for c in "abcdefg"[k:] + "nopqrst"[:k] for d in "uvwxyz"[k % 3 :]) for k, name in enumerate(names)}
+    rows = [(10 * k + n, text[name], name) for k, name in enumerate(names) for n in range(9 - k)]
+    rows.append((900, "zzqzz " * 100_000, "l0"))
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert model.names == names and len(model.blocks()) == 3
+    docs = spark.createDataFrame([(k, text[name]) for k, name in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: r.f for r in docs.select("doc_id", langid.identify(model, docs, F.col("text")).alias("f")).collect()}
+    assert [got[k].lang for k in range(len(names))] == names
+    whole = langid._entropies(model, model.tables(), pa.array(list(text.values())))
+    share = 1 / np.exp(whole.min(axis=1)[:, None] - whole).sum(axis=1)
+    assert [got[k].score for k in range(len(names))] == pytest.approx(share.tolist())
