@@ -11,7 +11,9 @@ stronger evidence.
 
 Embeddings and softmax are trained jointly (numpy, AdaGrad) on the driver
 from a bounded sample: of each class, documents in hash order up to
-``SAMPLE_DOCS`` and up to ``SAMPLE_BYTES`` bytes of bag. Single words and
+``SAMPLE_DOCS`` and up to ``SAMPLE_BYTES`` bytes of bag. Labels without a
+document don't count. Of a long text the first ``SAMPLE_CHARS`` characters
+train, and a text that doesn't fit into the bytes left is passed over. Single words and
 short stretches of the sample's clean documents train as clean, too. The
 trained model is folded into one weight per bucket, since mean and softmax
 are linear up to the final sigmoid: 2^``BUCKET_BITS`` floats are what
@@ -44,6 +46,7 @@ RATE = 0.5
 BATCH = 64
 SAMPLE_DOCS = {0: 2400, 1: 1000}
 SAMPLE_BYTES = 24 << 20
+SAMPLE_CHARS = SAMPLE_BYTES // 8
 THRESHOLD = 0.7
 
 _NGRAM_BASE = np.uint64(0x100000001B3)
@@ -157,17 +160,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     )
     texts = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
+    marks = marks.join(texts.select("id"), "id", "left_semi")
     bags, ys, rng = [], [], np.random.default_rng(7)
     for label, most in SAMPLE_DOCS.items():
         ids = [r.id for r in marks.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most).collect()]
         # ids in hash order until the bytes are spent: a sample that doesn't depend on row order
-        chosen = texts.filter(F.col("id").isin(ids)).groupBy("id").agg(F.min("text").alias("text")) if ids else None
+        begin = F.substring("text", 1, SAMPLE_CHARS)
+        chosen = texts.filter(F.col("id").isin(ids)).groupBy("id").agg(F.min(begin).alias("text")) if ids else None
         left = SAMPLE_BYTES
         for row in chosen.orderBy(F.xxhash64("id"), "id").toLocalIterator() if ids else ():
             text = (row.text or "").encode()
+            if len(text) > left:
+                continue
             left -= len(text)
-            if left < 0:
-                break
             bags.append(_bag(text))
             ys.append(label)
             for piece in _clean_pieces(text, rng) if label == 0 else ():

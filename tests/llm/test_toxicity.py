@@ -85,3 +85,17 @@ def test_stage_and_odd_labels(spark, corpus):
         assert one.scores(pa.array(["text", None])) == pytest.approx([share, share], abs=1e-9)
     again = toxicity.train(docs.repartition(7), labels.repartition(2))
     assert np.array_equal(again.weights, model.weights)
+
+
+def test_a_long_text_and_absent_documents_leave_the_sample(spark, corpus, monkeypatch):
+    rows, docs, labels, _ = corpus
+    first = docs.join(labels.filter("toxic = 1"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1 << 18)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 1 << 15, raising=False)
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", F.lit(1 << 13))).otherwise(F.col("text")))
+    long = long.withColumn("text", F.substring("text", 1, 1 << 19))
+    absent = spark.range(10_000, 30_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    model = toxicity.train(long, labels.union(absent))
+    held = rows[600:]
+    scores = model.scores(pa.array([t for _, t, _ in held]))
+    assert np.mean([(s >= 0.5) == bool(y) for s, (_, _, y) in zip(scores, held, strict=True)]) >= 0.95
