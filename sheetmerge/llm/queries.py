@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sheetmerge.llm import chat, decontam, langid, licenses, mixing, secrets, simhash, topk, toxicity, urlrules
+from sheetmerge.llm import chat, decontam, langid, licenses, mixing, runs, secrets, simhash, topk, toxicity, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +109,40 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+@F.arrow_udf(T.StringType())
+def _with_repeats(text: pa.Array, doc_id: pa.Array) -> pa.Array:
+    """Every tenth text (by crc32 of its id) from some word on as repeats of what begins there."""
+
+    def changed(text: str | None, doc_id: int | None) -> str | None:
+        h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+        words = (text or "").encode().split() if h % 10 == 0 else []
+        if not words:
+            return text
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return b" ".join([*words[:a], *(words[a + k % p] for k in range(n - a))]).decode()
+
+    return pa.array([changed(t.as_py(), i.as_py()) for t, i in zip(text, doc_id, strict=True)], pa.string())
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _with_repeats("text", "doc_id").alias("text"))
+    found = docs.select("doc_id", runs.find_runs("text").alias("found"))
+    longest = runs.longest_run(F.col("found.runs"))
+    told = F.transform("found.runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "found", longest.alias("best")).select(
+        "doc_id",
+        F.size("found.runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"),
+        F.sha2("found.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
@@ -117,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_mix": op10_mix,
+    "op13_runs": op13_runs,
 }
 
 def _licenses_sql() -> str:

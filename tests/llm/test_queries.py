@@ -21,8 +21,9 @@ COLUMNS = {
     "op8_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op9_decontaminate": ["doc_id", "item_id", "score"],
     "op10_mix": ["doc_id", "size", "source_size", "target", "taken"],
+    "op13_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
-EVERY_ROW = {"op1_simhash": "documents", "op3_url_rules": "pages", "op4_language": "documents", "op6_secrets": "documents", "op7_toxicity": "documents", "op10_mix": "documents"}
+EVERY_ROW = {"op1_simhash": "documents", "op3_url_rules": "pages", "op4_language": "documents", "op6_secrets": "documents", "op7_toxicity": "documents", "op10_mix": "documents", "op13_runs": "documents"}
 
 
 @pytest.fixture(scope="module")
