@@ -13,14 +13,17 @@ a query and its k-th best score so far, a candidate is dropped
 
 What remains is scored exactly, in integers. A first bound for every query
 comes from some of the longest vectors. Queries are a stated set; they are
-read in blocks of about ``QUERY_BLOCK``, the most that is collected and
-broadcast at a time, and each block is held against all candidates. A task
+read in blocks of about ``QUERY_BLOCK`` (fewer if vectors are long), the
+most that is collected and broadcast at a time; each block is held against
+all candidates and its findings are written before the next one. A task
 returns at most k rows per query, which are merged per query.
 
 Defined results: components become floor(256 x). A vector that is null or
-holds a null, NaN or infinite component takes no part, nor does one without
-an id. Of rows with the same id the one with the smallest vector counts. A
-shorter vector counts as filled up with zeros. Ties go to the smaller id.
+holds a null, NaN or infinite component takes no part. Every row is a
+candidate of its own, whatever its id: rows that repeat an id, and rows
+without one, count like any other, and a query leaves out its own row only.
+Of rows that repeat a query's id each asks. A shorter vector counts as
+filled up with zeros. Ties go to the smaller id, those without an id last.
 Scores beyond the range of a long are cut to it.
 """
 
@@ -33,50 +36,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetmerge.llm.vectors import EXACT, large_products, matrix, nullable, whole_vectors
+from sheetmerge.session import scratch_path
 from sheetmerge.sources.land import land
 
-SCALE = 256
 K = 5
 QUERY_BLOCK = 8192
 SEEDS = 1024
 
 _CHUNK = 2048
 _CELLS = 1 << 21
-_EXACT = 2.0**53
 _NONE = -(1 << 63)
 
 
-def _whole_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v, norm): one row per id, v as doubles of equal dimension."""
-    finite = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(
-        F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False))
-    )
-    one = rows.groupBy("id").agg(F.min("v").alias("v"))
-    # floor() gives a long; a double of 2^53 or more is a whole number already
-    down = F.transform("v", lambda x: F.when(F.abs(x * SCALE) < _EXACT, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))
-    return one.select("id", down.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Lists of doubles as rows, filled up with zeros."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    sizes = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(column), dim))
-    out[np.repeat(np.arange(len(column)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = (
-        column.flatten().to_numpy(zero_copy_only=False)
-    )
-    return out
-
-
 def _rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     """Right singular vectors of all vectors, by descending singular value."""
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for batch in batches:
-            m = _matrix(batch.column(0), dim)
+            m = matrix(batch.column(0), dim)
             m /= np.maximum(1.0, np.abs(m).max(initial=0.0))  # any scale serves; no overflow
             total += m.T @ m
         at = np.arange(dim * dim)
@@ -90,73 +69,84 @@ def _rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return basis[:, np.argsort(-values)]
 
 
+class _Block:
+    """Rows of (row, id, v) as arrays."""
+
+    def __init__(self, batch: pa.Table | pa.RecordBatch, dim: int):
+        self.rows = batch.column(0).to_numpy()
+        self.ids, self.unnamed = nullable(batch.column(1))
+        self.vectors = matrix(batch.column(2), dim)
+
+
 class _Best:
     """The k best (score, id) of every query of a block so far."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, basis: np.ndarray, k: int):
-        self.ids, self.queries, self.basis, self.k = ids, queries, basis, k
-        self.head = max(1, queries.shape[1] // 4)
-        rotated = queries @ basis
+    def __init__(self, asked: _Block, basis: np.ndarray, k: int):
+        self.rows, self.ids, self.queries, self.basis, self.k = asked.rows, asked.ids, asked.vectors, basis, k
+        n = len(self.rows)
+        self.head = max(1, self.queries.shape[1] // 4)
+        rotated = self.queries @ basis
         self.lead, self.rest = rotated[:, : self.head], np.linalg.norm(rotated[:, self.head :], axis=1)
-        self.norm = np.linalg.norm(queries, axis=1)
-        self.scores = np.full((len(ids), k), _NONE, dtype=np.int64)
-        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.least = np.full(len(ids), -np.inf)
+        self.norm = np.linalg.norm(self.queries, axis=1)
+        self.scores = np.full((n, k), _NONE, dtype=np.int64)
+        self.found, self.unnamed = np.zeros((n, k), dtype=np.int64), np.ones((n, k), dtype=bool)
+        self.least = np.full(n, -np.inf)
 
     def exact(self, q: np.ndarray, c: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         top = np.abs(self.queries).max(initial=0.0) * np.abs(vectors).max(initial=0.0) * max(1, vectors.shape[1])
-        if top < _EXACT:
+        if top < EXACT:
             if 8 * len(q) > len(self.queries) * len(vectors):
                 return (self.queries @ vectors.T)[q, c].astype(np.int64)
             return np.einsum("ij,ij->i", self.queries[q], vectors[c]).astype(np.int64)
-        whole = [[int(x) for x in row] for row in self.queries], [[int(x) for x in row] for row in vectors]
-        sums = (sum(a * b for a, b in zip(whole[0][i], whole[1][j], strict=True)) for i, j in zip(q, c, strict=True))
-        return np.array([max(-(2**63) + 1, min(2**63 - 1, s)) for s in sums], dtype=np.int64)
+        found = np.empty(len(q), dtype=np.int64)
+        for i in np.unique(q):
+            found[q == i] = large_products(self.queries[i], vectors[c[q == i]])
+        return found
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        rotated = vectors @ self.basis
+    def add(self, block: _Block) -> None:
+        rotated = block.vectors @ self.basis
         lead, rest = rotated[:, : self.head], np.linalg.norm(rotated[:, self.head :], axis=1)
-        norm = np.linalg.norm(vectors, axis=1)
-        step = max(1, _CELLS // max(1, len(ids)))
-        for lo in range(0, len(self.ids), step):
-            hi = min(len(self.ids), lo + step)
+        norm = np.linalg.norm(block.vectors, axis=1)
+        step = max(1, _CELLS // max(1, len(block.rows)))
+        for lo in range(0, len(self.rows), step):
+            hi = min(len(self.rows), lo + step)
             slack = 1e-9 * np.outer(self.norm[lo:hi], norm) + 1e-6
             bound = self.lead[lo:hi] @ lead.T + np.outer(self.rest[lo:hi], rest) + slack
-            q, c = np.nonzero((bound >= self.least[lo:hi, None]) & (self.ids[lo:hi, None] != ids[None, :]))
+            q, c = np.nonzero((bound >= self.least[lo:hi, None]) & (self.rows[lo:hi, None] != block.rows[None, :]))
             if len(q):
-                self.merge(q + lo, ids[c], self.exact(q + lo, c, vectors))
+                self.merge(q + lo, block.ids[c], block.unnamed[c], self.exact(q + lo, c, block.vectors))
 
-    def merge(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+    def merge(self, q: np.ndarray, ids: np.ndarray, unnamed: np.ndarray, scores: np.ndarray) -> None:
         able = scores >= self.least[q]
-        q, ids, scores = q[able], ids[able], scores[able]
+        q, ids, unnamed, scores = q[able], ids[able], unnamed[able], scores[able]
         rows = np.unique(q)
         q = np.concatenate([q, np.repeat(rows, self.k)])
         ids = np.concatenate([ids, self.found[rows].ravel()])
+        unnamed = np.concatenate([unnamed, self.unnamed[rows].ravel()])
         scores = np.concatenate([scores, self.scores[rows].ravel()])
-        order = np.lexsort((ids, ~scores, q))  # ~ descends without overflow
-        q, ids, scores = q[order], ids[order], scores[order]
-        first = np.searchsorted(q, rows)
-        take = first[:, None] + np.arange(self.k)[None, :]
-        self.found[rows], self.scores[rows] = ids[take], scores[take]
+        order = np.lexsort((ids, unnamed, ~scores, q))  # ~ descends without overflow
+        q, ids, unnamed, scores = q[order], ids[order], unnamed[order], scores[order]
+        take = np.searchsorted(q, rows)[:, None] + np.arange(self.k)[None, :]
+        self.found[rows], self.unnamed[rows], self.scores[rows] = ids[take], unnamed[take], scores[take]
         last = self.scores[rows, -1]
         self.least[rows] = np.where(last == _NONE, -np.inf, last.astype(np.float64) * (1 - 1e-15 * np.sign(last)))
 
-    def rows(self) -> pa.RecordBatch:
+    def found_rows(self) -> pa.RecordBatch:
         have = self.scores != _NONE
-        query = np.repeat(self.ids, self.k).reshape(have.shape)
-        return pa.record_batch({"query_id": query[have], "vec_id": self.found[have], "score": self.scores[have]})
+        of = np.nonzero(have)[0]
+        ids = pa.array(self.found[have], mask=self.unnamed[have])
+        return pa.record_batch({"query": self.rows[of], "query_id": self.ids[of], "vec_id": ids, "score": self.scores[have]})
 
 
 def _searcher(shared):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, basis, k, least = shared.value
-        best = _Best(ids, queries, basis, k)
+        asked, basis, k, least = shared.value
+        best = _Best(asked, basis, k)
         best.least = least.copy()
         for batch in batches:
             for lo in range(0, batch.num_rows, _CHUNK):
-                part = batch.slice(lo, _CHUNK)
-                best.add(part.column(0).to_numpy(), _matrix(part.column(1), queries.shape[1]))
-        yield best.rows()
+                best.add(_Block(batch.slice(lo, _CHUNK), asked.vectors.shape[1]))
+        yield best.found_rows()
 
     return search
 
@@ -168,32 +158,38 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
     own is a candidate.
     """
     spark = table.sparkSession
-    vectors = land(spark, _whole_vectors(table, id_col, vec_col), "vectors")
+    vectors = whole_vectors(table, vec_col, F.col(id_col).cast("long").alias("id"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    vectors = land(spark, vectors.select("row", "id", "v", length.alias("norm")), "vectors")
     count, dim, queries = vectors.agg(
         F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count(F.when(is_query, 1))
     ).collect()[0]
-    schema = "query_id long, vec_id long, score long"
-    found = spark.createDataFrame([], schema)
+    schema = "query long, query_id long, vec_id long, score long"
+    path = scratch_path(spark, "top-k")
     if queries and count > 1:
         dim = max(1, dim)
         basis = _rotation(vectors, dim)
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        by_length = [F.col("norm").desc(), F.col("id")]
+        by_length = [F.col("norm").desc(), F.col("row")]
         vectors = land(spark, vectors.repartitionByRange(parts, *by_length).sortWithinPartitions(*by_length), "by-length")
         cut = vectors.agg(F.percentile_approx("norm", max(0.0, 1 - SEEDS / count), 10_000)).collect()[0][0]
-        longest = vectors.filter(F.col("norm") >= cut).limit(SEEDS).select("id", "v").toArrow()
-        blocks = -(-queries // QUERY_BLOCK)
+        longest = _Block(vectors.filter(F.col("norm") >= cut).limit(SEEDS).select("row", "id", "v").toArrow(), dim)
+        blocks = -(-queries // max(1, min(QUERY_BLOCK, 2 * _CELLS // dim)))
         for b in range(blocks):
-            asked = vectors.filter(is_query & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).select("id", "v").toArrow()
+            asked = vectors.filter(is_query & (F.pmod(F.xxhash64("row"), F.lit(blocks)) == b)).select("row", "id", "v").toArrow()
             if not asked.num_rows:
                 continue
-            best = _Best(asked.column(0).to_numpy(), _matrix(asked.column(1), dim), basis, k)
-            best.add(longest.column(0).to_numpy(), _matrix(longest.column(1), dim))
+            best = _Best(_Block(asked, dim), basis, k)
+            best.add(longest)
             # from here on only what reaches the k-th best of the longest vectors
             needed = np.where(best.norm > 0, best.least / np.maximum(best.norm, 1e-300), np.where(best.least > 0, np.inf, -np.inf))
             shortest = float(needed.min()) * (1 - 1e-9) if needed.min() > 0 else -1.0
-            shared = spark.sparkContext.broadcast((best.ids, best.queries, basis, k, best.least))
-            pool = vectors.filter(F.col("norm") >= shortest).select("id", "v")
-            found = found.union(pool.mapInArrow(_searcher(shared), schema))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+            shared = spark.sparkContext.broadcast((_Block(asked, dim), basis, k, best.least))
+            pool = vectors.filter(F.col("norm") >= shortest)
+            if 2 * pool.count() < count:  # the longest stand in few files: deal them to all tasks
+                pool = pool.repartition(parts)
+            pool.select("row", "id", "v").mapInArrow(_searcher(shared), schema).write.mode("append").parquet(path)
+            shared.destroy()
+    found = spark.read.schema(schema).parquet(path) if queries and count > 1 else spark.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

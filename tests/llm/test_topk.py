@@ -10,25 +10,20 @@ from sheetmerge.llm import topk
 
 
 def expected(rows, is_query, k=5):
-    best = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        best[i] = min(best[i], v) if i in best else v
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in best.items()}
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in whole.items():
-        if is_query(q):
-            scored = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), c) for c, b in whole.items() if c != q)
-            out += [(q, r, c, -s) for r, (s, c) in enumerate(scored[:k], 1)]
-    return sorted(out)
+    for r, (q, a) in enumerate(whole):
+        if q is not None and is_query(q):
+            scored = [(-max(-(2**63) + 1, min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), c is None, c or 0) for o, (c, b) in enumerate(whole) if o != r]
+            out += [(q, n, None if no_id else c, -s) for n, (s, no_id, c) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=str)
 
 
 def run(spark, rows, k=5, every=5):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).repartition(3)
     got = topk.top_k(table, F.col("id") % every == 0, k=k)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
-    return sorted(tuple(r) for r in got.collect()), expected(rows, lambda q: q % every == 0, k)
+    return sorted((tuple(r) for r in got.collect()), key=str), expected(rows, lambda q: q % every == 0, k)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -50,6 +45,14 @@ def test_odd_rows(spark):
     assert got == want
 
 
+def test_rows_that_repeat_an_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rows = [(0, [1.0, 0.0]), (1, [0.1, 0.0]), (1, [5.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (10, [3.0, 1.0]), (10, [0.5, 9.0]), (None, [4.0, 0.0])]
+    got, want = run(spark, rows, k=3)
+    assert got == want
+    assert (0, 1, 1, 327680) in got and len([r for r in got if r[0] == 10]) == 6
+
+
 def test_large_components(spark):
     rows = [(i, [float(10 ** (i % 9)) * (-1) ** i, 3.7e5 * i, float(2**40 + i)]) for i in range(0, 30)]
     got, want = run(spark, rows)
