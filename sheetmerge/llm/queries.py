@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetmerge.llm import chat, decontam, langid, licenses, mixing, runs, secrets, simhash, topk, toxicity, urlrules
+from sheetmerge.llm import chat, decontam, hardneg, langid, licenses, mixing, runs, secrets, simhash, topk, toxicity, urlrules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,22 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to_page").cast("long").alias("refers_to"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table.withColumn("label", label), F.col("id") % 100 == 0)
+
+
 @F.arrow_udf(T.StringType())
 def _with_repeats(text: pa.Array, doc_id: pa.Array) -> pa.Array:
     """Every tenth text (by crc32 of its id) from some word on as repeats of what begins there."""
@@ -154,6 +170,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_mix": op10_mix,
+    "op11_warc": op11_warc,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_runs": op13_runs,
 }
 
@@ -189,20 +207,49 @@ def _licenses_sql() -> str:
 ORACLE: dict[str, str] = {
     "op2_topk": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+          SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
           FROM embeddings
-          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          WHERE embedding IS NOT NULL
             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-          FROM v q JOIN v c ON q.vec_id <> c.vec_id
+          SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.r <> c.r
           WHERE q.vec_id % 50 = 0
         ), ranked AS (
-          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+          SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
     "op5_licenses": _licenses_sql(),
+    "op11_warc": """
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS payload, row_number() OVER w AS place, first_value(page_id) OVER w AS latest
+          FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST ROWS UNBOUNDED PRECEDING)
+        ), r AS (SELECT *, strlen(payload) AS size, strlen(payload) >= 1000 AND place > 1 AS again FROM p)
+        SELECT page_id, size AS payload_bytes, sha1(payload) AS payload_digest,
+          CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN latest END AS refers_to
+        FROM r
+    """,
+    "op12_hard_negatives": """
+        WITH v AS (
+          SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+          SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+          FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 100 = 0
+        ), p AS (
+          SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM s WHERE label = own
+        ), n AS (
+          SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+            CAST(row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+          FROM p JOIN s ON p.anchor = s.anchor
+          WHERE p.place <= 5 AND s.label <> s.own AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """,
     "op8_chat": r"""
         WITH r AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -21,9 +21,11 @@ COLUMNS = {
     "op8_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op9_decontaminate": ["doc_id", "item_id", "score"],
     "op10_mix": ["doc_id", "size", "source_size", "target", "taken"],
+    "op11_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    "op12_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
     "op13_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
-EVERY_ROW = {"op1_simhash": "documents", "op3_url_rules": "pages", "op4_language": "documents", "op6_secrets": "documents", "op7_toxicity": "documents", "op10_mix": "documents", "op13_runs": "documents"}
+EVERY_ROW = {"op1_simhash": "documents", "op3_url_rules": "pages", "op4_language": "documents", "op6_secrets": "documents", "op7_toxicity": "documents", "op10_mix": "documents", "op11_warc": "pages", "op13_runs": "documents"}
 
 
 @pytest.fixture(scope="module")
