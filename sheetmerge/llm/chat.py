@@ -46,16 +46,28 @@ def unescape(text: Column) -> Column:
 
 
 def _clean(nodes: DataFrame) -> DataFrame:
+    """One row a node, written; a parent that is no node becomes null.
+
+    Only nodes with a parent are looked up, and without their texts: roots
+    all have the same parent, none, and a popular node has many replies.
+    """
+    spark = nodes.sparkSession
     one = F.min(F.struct("parent", "role", "text", "score")).alias("row")
-    rows = nodes.filter("node is not null").groupBy("node").agg(one).select("node", "row.*")
-    parents = rows.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    return rows.join(parents, "parent", "left").select(
+    rows = nodes.filter("node is not null").groupBy("node").agg(one).select(
         "node",
-        F.when(F.col("known"), F.col("parent")).alias("parent"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
+        "row.parent",
+        F.coalesce("row.role", F.lit("")).alias("role"),
+        F.coalesce("row.text", F.lit("")).alias("text"),
+        F.coalesce(F.col("row.score").cast("double"), F.lit(0.0)).alias("score"),
     )
+    rows = land(spark, rows, "reply-nodes")
+    replies = rows.filter("parent is not null").select("node", "parent")
+    lost = replies.join(rows.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", F.lit(True).alias("lost"))
+    lost = land(spark, lost, "reply-lost")
+    if lost.limit(1).count() == 0:
+        return rows
+    found = rows.join(lost, "node", "left").withColumn("parent", F.when(F.col("lost").isNull(), F.col("parent")))
+    return land(spark, found.drop("lost"), "reply-nodes")
 
 
 def _doubled(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -94,9 +106,10 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     role, text)> in order.
     """
     spark = nodes.sparkSession
-    nodes = land(spark, _clean(nodes), "reply-nodes")
+    nodes = _clean(nodes)
     steps, placed = _doubled(nodes)
-    leaves = placed.join(nodes.select(F.col("parent").alias("node")).filter("node is not null"), "node", "left_anti")
+    answered = nodes.select(F.col("parent").alias("node")).filter("node is not null").distinct()
+    leaves = placed.join(answered, "node", "left_anti")
     leaves = leaves.withColumn("score", F.col("total") / F.col("depth"))
     order = Window.partitionBy("root").orderBy(F.col("score").desc(), F.col("depth").desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= paths)

@@ -90,3 +90,29 @@ def test_numbered_rows_become_chains(spark):
 def test_empty(spark):
     assert chat.format_trees(spark.createDataFrame([], NODES)).count() == 0
     assert chat.chained(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_many_roots_spread_over_tasks(spark, monkeypatch):
+    """Roots have no parent to be dealt by: each step that is written spreads them like any other node."""
+    seen, plain = [], chat.land
+
+    def counted(session, df, label):
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        seen.append((label, sum(sizes), max(sizes, default=0)))
+        return plain(session, df, label)
+
+    monkeypatch.setattr(chat, "land", counted)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4k")
+    try:
+        lone = spark.range(20_000).selectExpr("id AS node", "cast(null AS long) AS parent", "'user' AS role", "concat('t', id) AS text", "0.5D AS score")
+        crowd = spark.range(2_000).selectExpr("id + 50000 AS node", "3L AS parent", "'user' AS role", "'reply' AS text", "cast(id AS double) AS score")
+        got = chat.best_paths(lone.union(crowd)).collect()
+    finally:
+        for key, value in (("adaptive.enabled", "true"), ("shuffle.partitions", "8"), ("files.maxPartitionBytes", "128m"), ("files.openCostInBytes", "4m")):
+            spark.conf.set(f"spark.sql.{key}", value)
+    assert len(got) == 20_000 and {r.leaf for r in got if r.root == 3} == {51_999}
+    large = [(label, total, most) for label, total, most in seen if total >= 20_000]
+    assert large and all(most <= total / 10 for _, total, most in large), large
