@@ -16,7 +16,10 @@ is collected is one count per pair of characters, at most 2 x 67 x 67.
 Everything is DataFrame functions; scanning is one narrow projection, so a
 text is looked at where it is read and never shuffled. Spans are in code
 points from 0, end exclusive: ``split`` gives the text between matches, so
-a match starts after all that precedes it.
+a match starts after all that precedes it. Running sums and maxima over the
+matches of a text are taken chunk by chunk, and texts are cut in stretches
+of many spans before single ones, so a text full of matches costs little
+more than its length.
 
 Defined results: a null text is empty and holds nothing; repeated rows and
 null ids are scanned row by row; an empty table gives no rows, and models
@@ -49,23 +52,67 @@ SMOOTHING = 0.5
 MASK = "[SECRET]"
 
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
+_CHUNK = 64
+_FAR = 1 << 62
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunks(values: Column, size: int) -> Column:
+    last = F.greatest(F.ceil(F.size(values) / size).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * size + 1, F.lit(size)))
+
+
+def running(values: Column, combine, start: int, levels: int = 2) -> Column:
+    """Running results of ``combine`` over an array of longs.
+
+    An array that grows by one entry is copied each time, so it grows in
+    chunks of ``_CHUNK``; each chunk goes on from the result of those before.
+    """
+    first = F.lit(start).cast("long")
+
+    def within(chunk: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast("array<long>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            now = combine(acc["at"], x)
+            return F.struct(now.alias("at"), F.array_append(acc["out"], now).alias("out"))
+
+        return F.aggregate(chunk, zero, step, lambda acc: acc["out"])
+
+    if not levels:
+        return within(values, first)
+
+    def over(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, first, combine))
+        return _let(
+            running(totals, combine, start, levels - 1),
+            lambda before: F.flatten(F.transform(chunks, lambda c, k: within(c, F.when(k > 0, F.get(before, k - 1)).otherwise(first)))),
+        )
+
+    return _let(values, lambda v: _let(_chunks(v, _CHUNK), over))
 
 
 def _spans(text: Column, kind: int, pattern: str, accept) -> Column:
     """array<(start, kind, end)> of the accepted matches; matches never overlap."""
-    between = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(between.alias("before"), matches.alias("match"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("found"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["before"])
-        end = start + F.length(F.coalesce(pair["match"], F.lit("")))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        good = pair["match"].isNotNull() & accept(pair["match"])
-        return F.struct(end.alias("at"), F.when(good, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+    def placed(pairs: Column) -> Column:
+        sizes = F.transform(pairs, lambda p: F.struct(F.length(p["before"]).cast("long").alias("before"), F.length(F.coalesce(p["match"], F.lit(""))).cast("long").alias("match"), p["match"].alias("text")))
+
+        def spans(sized: Column) -> Column:
+            ends = running(F.transform(sized, lambda z: z["before"] + z["match"]), lambda a, x: a + x, 0)
+            whole = F.arrays_zip(sized.alias("z"), ends.alias("end"))
+            good = F.filter(whole, lambda w: w["z"]["text"].isNotNull() & accept(w["z"]["text"]))
+            return F.transform(good, lambda w: F.struct((w["end"] - w["z"]["match"]).alias("start"), F.lit(kind).alias("kind"), w["end"].alias("end")))
 
-    found = F.aggregate(pairs, zero, step, lambda acc: acc["found"])
+        return _let(sizes, spans)
+
+    between = F.split(text, pattern, -1)
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = _let(F.arrays_zip(between.alias("before"), matches.alias("match")), placed)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -138,9 +185,23 @@ def all_spans(text: Column, base: Column, ratios: list[float]) -> Column:
     def secret(token: Column) -> Column:
         return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (mean_ratio(token, ratios) >= MIN_RATIO)
 
-    tokens = _spans(text, KINDS.index(RANDOM), TOKEN, secret)
-    fresh = F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return F.sort_array(F.concat(base, fresh))
+    def apart(tokens: Column) -> Column:
+        def event(of: Column, token: bool) -> Column:
+            return F.transform(of, lambda s: F.struct(s["start"].alias("start"), F.lit(token).alias("token"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+        def free(events: Column) -> Column:
+            # how far the base spans before reach, and where the next one after begins
+            reach = running(F.transform(events, lambda e: F.when(e["token"], F.lit(0)).otherwise(e["end"])), lambda a, x: F.greatest(a, x), 0)
+            starts = F.transform(F.reverse(events), lambda e: F.when(e["token"], F.lit(_FAR)).otherwise(e["start"]))
+            after = F.reverse(running(starts, lambda a, x: F.least(a, x), _FAR))
+            all_ = F.arrays_zip(events.alias("e"), reach.alias("reach"), after.alias("after"))
+            fresh = F.filter(all_, lambda z: z["e"]["token"] & (z["reach"] <= z["e"]["start"]) & (z["after"] >= z["e"]["end"]))
+            return F.transform(fresh, lambda z: F.struct(z["e"]["start"].alias("start"), z["e"]["kind"].alias("kind"), z["e"]["end"].alias("end")))
+
+        events = F.sort_array(F.concat(event(base, False), event(tokens, True)))
+        return F.when(F.size(tokens) == 0, base).otherwise(F.sort_array(F.concat(base, _let(events, free))))
+
+    return _let(_spans(text, KINDS.index(RANDOM), TOKEN, secret), apart)
 
 
 def spans_text(spans: Column) -> Column:
@@ -160,22 +221,34 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _masked(text: Column, spans: Column) -> Column:
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        start, at = F.greatest(s["start"], acc["at"]), acc["at"]
-        part = F.concat(F.substring(text, (at + 1).cast("int"), (start - at).cast("int")), F.lit(MASK))
-        inside = s["end"] <= at
-        return F.struct(
-            F.greatest(at, s["end"]).alias("at"),
-            F.when(inside, acc["parts"]).otherwise(F.array_append(acc["parts"], part)).alias("parts"),
-        )
-
-    rest = F.length(text)
-    return F.aggregate(
-        spans, zero, step,
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), rest)),
-    )
+    """The text with each span replaced; what a span shares with one before it is replaced once."""
+
+    def part(of: Column, at: Column, piece: Column) -> Column:
+        """What lies from the first to the last place of some pieces; ``of`` begins at place ``at``."""
+        first, last = F.get(piece, F.lit(0))["from"], F.element_at(piece, -1)["to"]
+        return F.substring(of, (first - at + 1).cast("int"), (last - first).cast("int"))
+
+    def kept(of: Column, at: Column, p: Column) -> Column:
+        before = F.substring(of, (p["from"] - at + 1).cast("int"), (p["to"] - p["from"]).cast("int"))
+        return F.when(p["again"], F.lit("")).otherwise(F.concat(before, F.lit(MASK)))
+
+    def cut(of: Column, at: Column, pieces: Column, size: int) -> Column:
+        # a long text is cut in stretches of many pieces first: finding a place takes time by its distance
+        if size == 1:
+            return F.array_join(F.transform(pieces, lambda p: kept(of, at, p)), "")
+        inner = lambda group: _let(part(of, at, group), lambda text: cut(text, F.get(group, F.lit(0))["from"], group, size // _CHUNK))
+        return F.array_join(F.transform(_chunks(pieces, size), inner), "")
+
+    def whole(ends: Column) -> Column:
+        def piece(s: Column, k: Column) -> Column:
+            at = F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(0).cast("long"))
+            return F.struct(at.alias("from"), F.greatest(s["start"], at).alias("to"), (s["end"] <= at).alias("again"))
+
+        rest = F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.length(text))
+        begun = _let(F.transform(spans, piece), lambda pieces: cut(text, F.lit(0).cast("long"), pieces, _CHUNK * _CHUNK))
+        return F.concat(begun, rest)
+
+    return _let(running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x), 0), whole)
 
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
