@@ -52,7 +52,7 @@ SMOOTHING = 0.5
 MASK = "[SECRET]"
 
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
-_CHUNK = 64
+_CHUNK = 256
 _FAR = 1 << 62
 
 
@@ -66,7 +66,7 @@ def _chunks(values: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * size + 1, F.lit(size)))
 
 
-def running(values: Column, combine, start: int, levels: int = 2) -> Column:
+def running(values: Column, combine, start: int, levels: int = 1) -> Column:
     """Running results of ``combine`` over an array of longs.
 
     An array that grows by one entry is copied each time, so it grows in

@@ -54,6 +54,7 @@ CASES = [
     (4, "password=abcdef1"),
     (10, ("word " * 3000 + "password=x1y2z3a4 ") * 20),
     (11, "password=" + "a1B2c3" * 20000),
+    (13, "\n".join(f"AKIA{k:016d} token=é{k:024x} secret={'ab12' * 9}{k} x{hashlib.sha1(str(k).encode()).hexdigest().upper()[:24]}" for k in range(700))),
     (12, "-" * 300 + " " + "=" * 300 + " ______________________1a"),
 ]
 
