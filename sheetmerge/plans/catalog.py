@@ -356,9 +356,10 @@ __all__ = ["FIXTURES", "ORACLE", "QUERIES", "flagship"]
 # --- 2.1 / 2.8 file operators ----------------------------------------------------------------
 # Each writes the derived fixture as real files into a fresh folder under the
 # shared checkpoint folder (kept: the result is lazy), then reads it back.
-from sheetmerge.plans.fixture_files import write_files  # noqa: E402
+from sheetmerge.plans.fixture_files import damage_files, write_files  # noqa: E402
 from sheetmerge.session import scratch_path  # noqa: E402
 from sheetmerge.sources import csv as csv_source, listing, sink, xlsx  # noqa: E402
+from sheetmerge.sources.land import land  # noqa: E402
 
 LOCK_STUB = "~${file}"
 XLS_STUB = "{stem}.xls"
@@ -564,6 +565,34 @@ def q_scan_csv_split_parity(spark, sf_dir):
     return rows.select(*[F.get("vals", F.lit(i)).alias(c) for i, c in enumerate("kvw")])
 
 
+_LIMIT = 1 << 16
+
+
+@register(
+    "csv_unreadable_files",
+    "SELECT f.file, CASE f.k WHEN 0 THEN 'no record' WHEN 1 THEN 'not UTF-8, in the part from byte 0 on' "
+    f"WHEN 2 THEN 'record longer than {_LIMIT} bytes, in the part from byte 0 on' END AS reason, "
+    "CASE WHEN f.k > 2 THEN coalesce(r.n, 0) ELSE 0 END AS n_rows "
+    "FROM (SELECT file, CAST(substr(file, 8, 2) AS INTEGER) % 5 AS k FROM fx_headers GROUP BY file) f "
+    "LEFT JOIN (SELECT file, count(*) AS n FROM fx_rows GROUP BY file) r ON r.file = f.file",
+    fixture="customer_csv",
+)
+def q_csv_unreadable_files(spark, sf_dir):
+    """CSV files of three nations in five are damaged: emptied, given bytes that
+    aren't UTF-8, or a quote that is never closed; each is cancelled, the rest are read."""
+    d = source_dir(spark, sf_dir, xlsx_files=False)
+    files = listing.list_sources(spark, d).select("file", (F.substring("file", 8, 2).cast("int") % 5).alias("k"))
+    files = land(spark, files, "damaged")  # as they are before
+    tail = F.when(F.col("k") == 1, F.unhex(F.lit("636166E92C310A"))).when(
+        F.col("k") == 2, F.concat(F.lit(b'"never closed,1\n'), F.repeat(F.lit("a,b\n"), _LIMIT // 4).cast("binary"))
+    ).otherwise(F.lit(b""))
+    damage_files(files.where("k < 3").select("file", (F.col("k") > 0).alias("keep"), tail.alias("tail")), d)
+    _, rows, failed = csv_source.scan_csv_with_failures(spark, d, max_record_bytes=_LIMIT)
+    counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
+    read = files.select("file").join(failed, "file", "left").join(counts, "file", "left")
+    return read.select("file", "reason", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"))
+
+
 def _merge_chosen(spark: SparkSession, sf_dir: str, invert: bool) -> DataFrame:
     from sheetmerge.plans import flow
 

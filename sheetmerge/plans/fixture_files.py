@@ -226,3 +226,22 @@ def write_files(
     )
     done = data.mapInPandas(_writer_fn(local, fmt, stubs), "file string, n_rows long")
     return done.count()
+
+
+def damage_files(damage: DataFrame, out_dir: str) -> int:
+    """Damage written files: (file, keep, tail) leaves a file's bytes or none, and then ``tail``; returns their count."""
+    local = local_fs_path(out_dir)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, keep, tail in zip(batch["file"], batch["keep"], batch["tail"]):
+                path = os.path.join(local, file)
+                with open(path, "rb") as fh:
+                    data = fh.read() if keep else b""
+                tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+                with open(tmp, "wb") as fh:
+                    fh.write(data if tail and data.endswith(bytes(tail)) else data + bytes(tail))
+                os.replace(tmp, path)
+            yield batch[["file"]]
+
+    return damage.mapInPandas(run, "file string").count()

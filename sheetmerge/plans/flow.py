@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetmerge import model
-from sheetmerge.model import DECISIONS
+from sheetmerge.model import DECISIONS, SOURCE_EXTENSIONS
 from sheetmerge.plans.job import DetectReport, MergePlan, MergeResult
 from sheetmerge.sources import csv as csv_source, listing, sink, xlsx
 
@@ -33,12 +33,12 @@ def load_sources(
     opened. Chosen names that match no file raise.
     -> (headers, rows, failed(file, reason)) over both formats.
     """
-    sources = listing.list_sources(spark, directory)
+    sources = listing.skip_locks(listing.file_names(spark, directory, "*.{" + ",".join(e[1:] for e in SOURCE_EXTENSIONS) + "}"))
     if chosen:
-        found = {r["file"] for r in sources.where(F.col("file").isin(list(chosen))).select("file").collect()}
+        found = {r["file"] for r in sources.where(F.col("file").isin(list(chosen))).collect()}
         if set(chosen) - found:
             raise ValueError(f"chosen files that are not in {directory}: {sorted(set(chosen) - found)}")
-    formats = {r["format"] for r in sources.select("format").distinct().collect()}
+    formats = {r["format"] for r in sources.select(F.substring_index("file", ".", -1).alias("format")).distinct().collect()}
     where = listing.file_filter(chosen, invert, exclude)
     headers = spark.createDataFrame([], model.HEADERS)
     rows = spark.createDataFrame([], model.ROWS)
@@ -47,8 +47,8 @@ def load_sources(
         h, r, failed = xlsx.scan_workbooks_with_failures(spark, directory, where=where)
         headers, rows = headers.unionByName(h), rows.unionByName(r)
     if "csv" in formats:
-        h, r = csv_source.scan_csv(spark, directory, where=where)
-        headers, rows = headers.unionByName(h), rows.unionByName(r)
+        h, r, f = csv_source.scan_csv_with_failures(spark, directory, where=where)
+        headers, rows, failed = headers.unionByName(h), rows.unionByName(r), failed.unionByName(f)
     return headers, rows, failed
 
 

@@ -1,29 +1,35 @@
-"""CSV scan (#4, #5, #7): UTF-8 CSV files -> ``headers`` + ``rows``.
+"""CSV scan (#4, #5, #7): UTF-8 CSV files -> ``headers`` + ``rows`` + failures.
 
 Spark's CSV reader would rename duplicate or blank header names and needs a
 width before it reads; files here are ragged. So files are read as text,
 always splittable, and every record is cut into an array of its own width:
 there is no schema to outgrow and one path for files of any size.
 
-1. *Which lines belong together.* A record spans lines where a quoted value
-   does. A line's effect is a function of the state it starts in (outside or
-   inside a quoted value). A first pass looks, among lines with a quote
-   character, for those that open a value and don't close it; files without
-   one (nearly all) have one record per line. In the others, line effects are
+1. *One read.* Every line is landed as if it were a record: without a quote
+   character cut at its commas by Spark, with one as it is. The landed lines
+   with quotes, and only those, then go through Python's ``csv`` module,
+   which has the quoting rules files like these are written by: a quote
+   opens a value only at the start of a field, ``5"`` is text.
+2. *Records over several lines.* A line's effect is a function of the state
+   it starts in (outside or inside a quoted value). Files with a line that
+   opens a value and doesn't close it are read again, and their line effects
    composed within each split by running aggregates, and over the splits of
-   a file by prefix, so a big file stays split across tasks; the lines of a
-   record are then joined.
-2. *Cells.* A record without a quote character is cut at its commas by Spark.
-   One with quotes goes through Python's ``csv`` module, which has the
-   quoting rules files like these are written by: a quote opens a value only
-   at the start of a field, ``5"`` is text.
+   a file by prefix, so a big file stays split across tasks; then the lines
+   of a record are joined.
 3. *Numbers.* Records are numbered per file from the scan order: (records of
    the earlier splits) + (place in the split). Record 0 is the header, data
    rows count from 1, empty lines don't.
 
+A file that can't be read is cancelled as a whole, with its reason, and the
+run goes on: one without a record, one that isn't UTF-8, and one with a
+record of more than ``MAX_RECORD_BYTES`` (what a quoted value that is never
+closed makes of the rest of a long file). A record's size is summed up
+before its lines meet, so a damaged quote never gathers a file in one task.
+
 An empty cell is null. Cells after the last value of a record are cut. A
-U+FEFF that starts a line is dropped. A line break inside a value is ``\\n``.
-A quoted value that is never closed runs to the end of its file.
+line break inside a value is ``\\n``. A byte order mark at the start of a
+file is dropped by the line reader. A quoted value that is never closed runs
+to the end of its file.
 
 Every CSV file is the virtual sheet ``Sheet1``.
 """
@@ -34,7 +40,7 @@ import csv
 import sys
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,38 +49,56 @@ from sheetmerge.operators.numbering import apply_offsets, block_offsets
 from sheetmerge.plans.sizing import DEFAULT_MAX_BROADCAST_BYTES, broadcast_if_small
 from sheetmerge.session import scratch_path
 from sheetmerge.sources.land import land
-from sheetmerge.sources.listing import decoded_file_name, file_filter
+from sheetmerge.sources.listing import decoded_file_name, file_filter, file_names
+
+#: The longest record, in bytes; a file with a longer one is cancelled.
+MAX_RECORD_BYTES = 16 << 20
+
+#: Up to so many files to read again are named to the reader, so that it opens no others.
+NAMED_FILES = 1000
 
-_BOM = "﻿"
 _QUOTE = '"'
 
 
+def _consumed(parts: list[str]) -> int:
+    reader = csv.reader(iter(parts))
+    next(reader)
+    return reader.line_num
+
+
+def _opens(line: str) -> bool:
+    """Whether a value is open at the end of a line that began outside one."""
+    return _consumed([line + "\n", ""]) > 1  # a record that takes the empty line after it hasn't ended
+
+
 @F.arrow_udf(T.IntegerType())
 def _line_effect(lines: pa.Array) -> pa.Array:
     """Whether a line ends inside a quoted value: bit 0 if it starts outside one, bit 1 if inside."""
     csv.field_size_limit(sys.maxsize)
 
-    def consumed(parts: list[str]) -> int:
-        reader = csv.reader(iter(parts))
-        next(reader)
-        return reader.line_num
-
     def effect(line: str | None) -> int | None:
         if line is None:
             return None
-        # a record that takes the empty line after it hasn't ended
-        return (consumed([line + "\n", ""]) > 1) + 2 * (consumed([_QUOTE + "\n", line + "\n", ""]) > 2)
+        return _opens(line) + 2 * (_consumed([_QUOTE + "\n", line + "\n", ""]) > 2)
 
     return pa.array([effect(x.as_py()) for x in lines], pa.int32())
 
 
+def _parsed(records: pa.Array) -> pa.Array:
+    return pa.array([[c or None for c in next(csv.reader([x.as_py()]), [])] if x.is_valid else None for x in records], pa.list_(pa.string()))
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _quoted_cells(records: pa.Array) -> pa.Array:
     csv.field_size_limit(sys.maxsize)
-    return pa.array(
-        [None if not x.is_valid else [c or None for c in next(csv.reader([x.as_py()]), [])] for x in records],
-        pa.list_(pa.string()),
-    )
+    return _parsed(records)
+
+
+@F.arrow_udf(T.StructType([T.StructField("opens", T.BooleanType()), T.StructField("cells", T.ArrayType(T.StringType()))]))
+def _quoted_line(lines: pa.Array) -> pa.Array:
+    """(opens, cells) of a line with quotes."""
+    csv.field_size_limit(sys.maxsize)
+    return pa.StructArray.from_arrays([pa.array([_opens(x.as_py()) for x in lines], pa.bool_()), _parsed(lines)], names=["opens", "cells"])
 
 
 def _has_quote(value: str = "value") -> Column:
@@ -90,7 +114,7 @@ def read_lines(spark: SparkSession, directory: str, where: Column) -> DataFrame:
         .select(
             decoded_file_name().alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
-            F.regexp_replace("value", "^" + _BOM, "").alias("value"),
+            "value",
         )
     )
 
@@ -123,11 +147,11 @@ def _states(df: DataFrame, by_cols: list[str], order: str, effect: str) -> DataF
     return df.withColumn("after0", state(0)).withColumn("after1", state(1)).drop("_swaps", "_left", "_since")
 
 
-def _joined_records(spark: SparkSession, lines: DataFrame, max_broadcast_bytes: int) -> DataFrame:
-    """Records of files whose values span lines. -> (file, split, rid, value)
+def _keyed_lines(spark: SparkSession, lines: DataFrame, max_broadcast_bytes: int) -> DataFrame:
+    """Lines of files whose values span lines -> (file, own, rid, split, value); ``own`` tells the records apart.
 
     The windows are per split (a split has a bounded size) and per file over
-    its splits; the lines of one record meet in one row.
+    its splits.
     """
     lines = lines.withColumn("rid", F.monotonically_increasing_id())
     lines = land(spark, lines.withColumn("effect", _line_effect(F.when(_has_quote(), F.col("value")))), "csv-lines")
@@ -155,68 +179,139 @@ def _joined_records(spark: SparkSession, lines: DataFrame, max_broadcast_bytes:
     last = F.last(F.when(F.col("n") > 0, F.struct("split", "n")), ignorenulls=True).over(upto)
     owners = broadcast_if_small(counts.select(*split, last.alias("last")), max_broadcast_bytes)
     own = F.when(F.col("nth") > 0, F.struct("split", F.col("nth").alias("n"))).otherwise(F.col("last"))
-    keyed = lines.join(owners, split).select("file", own.alias("own"), F.struct("split", "rid", "value").alias("line"))
-    texts = F.transform(F.sort_array(F.collect_list("line")), lambda x: x["value"])
+    return lines.join(owners, split).select("file", own.alias("own"), "split", "rid", "value")
+
+
+def _joined_records(
+    spark: SparkSession, lines: DataFrame, max_record_bytes: int, max_broadcast_bytes: int
+) -> tuple[DataFrame, DataFrame]:
+    """((file, split, rid, vals), (file, fault, split)): the records of files whose values span lines, landed, and
+    the files that have one too long. The lines of a record meet in one row once their bytes are known to fit."""
+    keyed = _keyed_lines(spark, lines, max_broadcast_bytes)
+    sizes = keyed.groupBy("file", "own").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
+    long = sizes.where(F.col("bytes") > max_record_bytes + 1).groupBy("file").agg(F.min("own.split").alias("split"))
+    long = land(spark, long.select("file", _too_long(max_record_bytes).alias("fault"), "split"), "csv-long")
+    keyed = _without(keyed, long, max_broadcast_bytes)
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("split", "rid", "value"))), lambda x: x["value"])
     records = keyed.groupBy("file", "own").agg(F.array_join(texts, "\n").alias("value"))
-    return records.select("file", F.col("own.split").alias("split"), F.col("own.n").cast("long").alias("rid"), "value")
+    cells = F.when(_has_quote(), _quoted_cells(F.when(_has_quote(), F.col("value")))).otherwise(_cells("value"))
+    records = records.select("file", F.col("own.split").alias("split"), F.col("own.n").cast("long").alias("rid"), cells.alias("cells"))
+    return land(spark, records.select("file", "split", "rid", _cut("cells").alias("vals")), "csv-records"), long
+
 
+def _too_long(max_record_bytes: int) -> Column:
+    return F.lit(f"record longer than {max_record_bytes} bytes")
 
-def _cells(value: str, quotes: bool) -> Column:
-    """A record as its cells, cut after the last value."""
-    cells = F.transform(F.split(F.col(value), ",", -1), lambda x: F.when(x != "", x))
-    if quotes:
-        cells = F.when(_has_quote(value), _quoted_cells(F.when(_has_quote(value), F.col(value)))).otherwise(cells)
-    return cells
+
+def _without(df: DataFrame, files: DataFrame, max_broadcast_bytes: int) -> DataFrame:
+    """``df`` without the rows of some files; as it is if there are none."""
+    if files.limit(1).count() == 0:
+        return df
+    return df.join(broadcast_if_small(files.select("file").distinct(), max_broadcast_bytes), "file", "left_anti")
+
+
+def _cells(value: str) -> Column:
+    """A record without quotes as its cells."""
+    return F.transform(F.split(F.col(value), ",", -1), lambda x: F.when(x != "", x))
 
 
 def _cut(cells: str) -> Column:
+    """Cells up to the last value."""
     last = F.array_max(F.transform(F.col(cells), lambda x, i: F.when(x.isNotNull(), i + 1)))
     return F.slice(F.col(cells), F.lit(1), F.coalesce(last, F.lit(0)))
 
 
-def scan_csv(
+def _read_again(
+    spark: SparkSession, directory: str, where: Column, files: DataFrame, max_broadcast_bytes: int
+) -> DataFrame:
+    """The lines of some of the files."""
+    named = [r["file"] for r in files.limit(NAMED_FILES + 1).collect()]
+    if len(named) <= NAMED_FILES:
+        return read_lines(spark, directory, where & decoded_file_name().isin(named))
+    return read_lines(spark, directory, where).join(broadcast_if_small(files, max_broadcast_bytes), "file", "left_semi")
+
+
+def scan_csv_with_failures(
     spark: SparkSession,
     directory: str,
     sources: DataFrame | None = None,
     land_to: str | None = None,
     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
     where: Column | None = None,
-) -> tuple[DataFrame, DataFrame]:
+    max_record_bytes: int = MAX_RECORD_BYTES,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Read every ``*.csv`` in ``directory``.
 
     ``where`` is a predicate on ``_metadata`` (``listing.file_filter``):
     files that fail it aren't read. ``sources`` (a table of ``file``)
     restricts the files by a join. The cells are landed once (``land_to`` or
     a fresh folder under ``spark.checkpoint.dir``).
-    -> (headers(file, sheet, col_idx, name), rows(file, sheet, row_no, vals))
+    -> (headers(file, sheet, col_idx, name), rows(file, sheet, row_no, vals), failed(file, reason))
     """
-    lines = read_lines(spark, directory, file_filter() if where is None else where)
+    where = file_filter() if where is None else where
+    lines = read_lines(spark, directory, where)
+    files = file_names(spark, directory, "*.csv", where)
     if sources is not None:
-        lines = lines.join(broadcast_if_small(sources.select("file").distinct(), max_broadcast_bytes), "file", "left_semi")
-    # per file with a quote character: does a line open a value that it doesn't close
-    opens = (_line_effect(F.col("value")).bitwiseAND(F.lit(1)) == 1).alias("open")
-    quoted = lines.where(_has_quote()).select("file", opens).groupBy("file").agg(F.max("open").alias("open"))
-    quoted = land(spark, quoted, "csv-quotes")
-    quotes = quoted.limit(1).count() > 0
-    open_files = quoted.where("open").select("file")
-    spanning = open_files.limit(1).count() > 0
-    single = lines.where(F.col("value") != "").withColumn("rid", F.monotonically_increasing_id())
-    if spanning:
-        named = broadcast_if_small(open_files, max_broadcast_bytes)
-        single = single.join(named, "file", "left_anti")
-    columns = ["file", "split", "rid"]
-    records = single.select(*columns, "value")
-    if spanning:
-        records = records.unionByName(
-            _joined_records(spark, lines.join(named, "file", "left_semi"), max_broadcast_bytes).select(*columns, "value")
-        )
-    cells = records.select(*columns, _cells("value", quotes).alias("cells")).select(*columns, _cut("cells").alias("vals"))
-    target = land_to if land_to is not None else scratch_path(spark, "csv-cells")
-    return number_rows(land(spark, cells, "csv-cells", target), max_broadcast_bytes)
+        chosen = broadcast_if_small(sources.select("file").distinct(), max_broadcast_bytes)
+        lines, files = lines.join(chosen, "file", "left_semi"), files.join(chosen, "file", "left_semi")
+    lines = lines.where(F.col("value") != "").withColumn("rid", F.monotonically_increasing_id())
+    long = F.octet_length("value") > max_record_bytes
+    fault = F.when(long, _too_long(max_record_bytes)).when(~F.is_valid_utf8("value"), F.lit("not UTF-8"))
+    lines = lines.withColumn("fault", fault)
+    sound, columns = F.col("fault").isNull(), ["file", "split", "rid"]
+    lines = lines.select(
+        *columns,
+        "fault",
+        F.when(sound & ~_has_quote(), _cells("value")).alias("cells"),
+        F.when(sound & _has_quote(), F.col("value")).alias("quoted"),
+    ).select(*columns, "fault", _cut("cells").alias("vals"), "quoted")
+    seen = Observation("csv_lines")
+    lines = lines.observe(seen, F.count("fault").alias("faults"), F.count("quoted").alias("quoted"))
+    lines = land(spark, lines, "csv-cells", land_to if land_to is not None else scratch_path(spark, "csv-cells"))
+    parts = [lines.where("vals is not null").select(*columns, "vals")]
+    faults = spark.createDataFrame([], "file string, fault string, split long")
+    if seen.get["faults"]:
+        first = lines.where("fault is not null").groupBy("file").agg(F.min(F.struct("split", "rid", "fault")).alias("at"))
+        faults = faults.unionByName(first.select("file", "at.fault", "at.split"))
+    if seen.get["quoted"]:
+        quoted = lines.where("quoted is not null").select(*columns, _quoted_line("quoted").alias("line"))
+        quoted = land(spark, quoted.select(*columns, "line.opens", "line.cells"), "csv-quoted")
+        open_files = quoted.where("opens").select("file").distinct()
+        parts.append(quoted.select(*columns, _cut("cells").alias("vals")))
+        if open_files.limit(1).count():
+            open_files = land(spark, _without(open_files, faults, max_broadcast_bytes), "csv-open")
+            parts = [_without(p, open_files, max_broadcast_bytes) for p in parts]
+            again = _read_again(spark, directory, where, open_files, max_broadcast_bytes)
+            joined, long_files = _joined_records(spark, again, max_record_bytes, max_broadcast_bytes)
+            parts.append(joined)
+            faults = faults.unionByName(long_files)
+    cells = parts[0]
+    for part in parts[1:]:
+        cells = cells.unionByName(part)
+    faults = land(spark, faults, "csv-faults")
+    headers, rows, offsets = _numbered(_without(cells, faults, max_broadcast_bytes), max_broadcast_bytes)
+    told = F.concat("fault", F.lit(", in the part from byte "), F.col("split").cast("string"), F.lit(" on"))
+    known = offsets.select("file").union(faults.select("file")).distinct()
+    empty = files.join(known, "file", "left_anti").select("file", F.lit("no record").alias("reason"))
+    failed = land(spark, faults.select("file", told.alias("reason")).unionByName(empty), "csv-failed")
+    return headers, rows, failed
+
+
+def scan_csv(
+    spark: SparkSession,
+    directory: str,
+    sources: DataFrame | None = None,
+    land_to: str | None = None,
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+    where: Column | None = None,
+    max_record_bytes: int = MAX_RECORD_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """As :func:`scan_csv_with_failures`, without the failures. -> (headers, rows)"""
+    return scan_csv_with_failures(spark, directory, sources, land_to, max_broadcast_bytes, where, max_record_bytes)[:2]
 
 
-def number_rows(cells: DataFrame, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(file, split, rid, vals) in scan order -> numbered headers and rows.
+def _numbered(cells: DataFrame, max_broadcast_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(file, split, rid, vals) in scan order -> numbered headers and rows, and the offsets of the splits.
 
     Ids are consecutive within a file split and splits follow file order, so
     the position in the file is a block offset (``operators.numbering``).
@@ -234,4 +329,4 @@ def number_rows(cells: DataFrame, max_broadcast_bytes: int = DEFAULT_MAX_BROADCA
         "file", "sheet", F.coalesce("col_idx", F.lit(0)).cast("int").alias("col_idx"), "name"
     )
     rows = numbered.where((F.col("row_no") > 0) & (F.size("vals") > 0))
-    return headers, rows
+    return headers, rows, offsets

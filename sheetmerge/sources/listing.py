@@ -52,6 +52,19 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     return listed.select("path", _file_name(F.col("path")).alias("file"), "length")
 
 
+def file_names(spark: SparkSession, directory: str, pattern: str, where: Column | None = None) -> DataFrame:
+    """(file) of every file directly inside ``directory`` that matches, files without a byte included.
+
+    Spark's scans pass over empty files; its file index, which the driver
+    holds for any scan of the folder, has them. ``where`` is a predicate on
+    ``_metadata`` (:func:`file_filter`).
+    """
+    paths = spark.read.option("pathGlobFilter", pattern).text(directory).inputFiles()
+    named = [((path.rpartition("/")[2],),) for path in paths]
+    names = spark.createDataFrame(named, "_metadata struct<file_name: string>")
+    return (names if where is None else names.where(where)).select(decoded_file_name().alias("file"))
+
+
 def list_sources(
     spark: SparkSession,
     directory: str,

@@ -320,9 +320,12 @@ def read_template(spark: SparkSession, path: str) -> DataFrame:
     directory, name = posixpath.split(path.rstrip("/"))
     only = file_filter([name])
     if name.endswith(".csv"):
-        from sheetmerge.sources.csv import scan_csv
+        from sheetmerge.sources.csv import scan_csv_with_failures
 
-        headers, _ = scan_csv(spark, directory or ".", where=only)
+        headers, _, failed = scan_csv_with_failures(spark, directory or ".", where=only)
+        reason = failed.limit(1).collect()
+        if reason:
+            raise ValueError(f"template {name} can't be read: {reason[0]['reason']}")
     else:
         cells = workbook_cells(spark, directory or ".", header_only=True, where=only)
         reason = cells.where(F.col("row_no") == FAILED).limit(1).collect()

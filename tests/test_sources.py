@@ -2,6 +2,7 @@
 
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheetmerge import merge_tables, model
@@ -278,7 +279,7 @@ def test_csv_gives_equal_rows_at_any_split_size(spark, tmp_path):
     text = "\n".join(HARD * 7 + ["plain,%d" % k for k in range(300)] + HARD)
     write(tmp_path / "hard.csv", text)
     write(tmp_path / "plain.csv", "A,B\n" + "".join(f"{k},x\n" for k in range(400)))
-    want = _python_rows(text.replace("\ufeff", ""))
+    want = _python_rows(text)
     key = "spark.sql.files.maxPartitionBytes"
     old = spark.conf.get(key)
     for size in ("64b", "2048b", old):
@@ -294,6 +295,52 @@ def test_csv_gives_equal_rows_at_any_split_size(spark, tmp_path):
         assert {k[1]: v for k, v in got.items() if k[0] == "plain.csv"} == {n + 1: [str(n), "x"] for n in range(400)}
 
 
+def test_csv_mark_is_dropped_at_the_start_of_a_file_only(spark, tmp_path):
+    write(tmp_path / "m.csv", '\ufeff"A,1",B\n\ufeffx,2\n"a\n\ufeffb",\ufeff\n')
+    headers, rows = csv_source.scan_csv(spark, str(tmp_path))
+    assert [r["name"] for r in headers.orderBy("col_idx").collect()] == ["A,1", "B"]
+    assert {r["row_no"]: list(r["vals"]) for r in rows.collect()} == {1: ["\ufeffx", "2"], 2: ["a\n\ufeffb", "\ufeff"]}
+
+
+def test_csv_files_that_cannot_be_read_are_cancelled_with_a_reason(spark, tmp_path):
+    plain = "A,B\n" + "1,2\n" * 50
+    write(tmp_path / "good.csv", plain)
+    write(tmp_path / "spans.csv", 'A,B\n"x\ny",2\n')
+    write(tmp_path / "empty.csv", "")
+    write(tmp_path / "blank.csv", "\n\r\n\n")
+    (tmp_path / "latin.csv").write_bytes("A,B\ncaf\u00e9,1\n".encode("latin-1"))
+    (tmp_path / "latin_open.csv").write_bytes('A,B\n"caf\u00e9,1\n'.encode("latin-1"))
+    write(tmp_path / "open.csv", 'A,B\n1,2\n"never closed,3\n' + "4,5\n" * 5000)
+    write(tmp_path / "short.csv", 'A,B\n"never closed,3\n4,5\n')
+    write(tmp_path / "line.csv", "A,B\n" + "x" * 5000 + ",1\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    for size in ("1024b", old):
+        spark.conf.set(key, size)
+        try:
+            headers, rows, failed = csv_source.scan_csv_with_failures(spark, str(tmp_path), max_record_bytes=4000)
+            reasons = {r["file"]: r["reason"] for r in failed.collect()}
+            counts = {r["file"]: r["count"] for r in rows.groupBy("file").count().collect()}
+            names = {r["file"] for r in headers.select("file").distinct().collect()}
+        finally:
+            spark.conf.set(key, old)
+        start = "in the part from byte 0 on"
+        assert reasons == {
+            "empty.csv": "no record", "blank.csv": "no record", "latin.csv": f"not UTF-8, {start}", "latin_open.csv": f"not UTF-8, {start}",
+            "open.csv": f"record longer than 4000 bytes, {start}", "line.csv": f"record longer than 4000 bytes, {start}",
+        }
+        assert counts == {"good.csv": 50, "spans.csv": 1, "short.csv": 1} and names == set(counts)
+    only = spark.createDataFrame([("empty.csv",), ("good.csv",)], "file string")
+    _, rows, failed = csv_source.scan_csv_with_failures(spark, str(tmp_path), only)
+    assert rows.count() == 50 and [tuple(r) for r in failed.collect()] == [("empty.csv", "no record")]
+
+
+def test_csv_templates_that_cannot_be_read_are_refused(spark, tmp_path):
+    write(tmp_path / "t.csv", "")
+    with pytest.raises(ValueError, match="no record"):
+        xlsx.read_template(spark, str(tmp_path / "t.csv"))
+
+
 def test_csv_of_sixteen_thousand_columns(spark, tmp_path):
     n = 16_384
     write(tmp_path / "wide.csv", ",".join(f"h{k}" for k in range(n)) + "\n" + ",".join(f'"v,{k}"' for k in range(n)) + "\n" + "x" + "," * (n - 1) + "\n")
