@@ -121,7 +121,9 @@ def near_links(fingerprints: DataFrame, col: str = "fingerprint", max_distance:
     inner, outer = max_distance // 2, (max_distance + 1) // 2
     masks = _masks(outer)
     homes = sum(comb(64, r) for r in range(inner + 1))  # masks come by their number of bits
-    variants = fingerprints.select(F.col(col).alias("a")).distinct().select(
+    # dealt to all tasks before they grow: tasks are sized by what they read, which here is little
+    parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = fingerprints.select(F.col(col).alias("a")).distinct().repartition(parts).select(
         "a", F.posexplode(F.array(*map(F.lit, masks))).alias("k", "mask")
     )
     bucket = Window.partitionBy("variant")
