@@ -157,8 +157,8 @@ def _taken(size: Column, key: Column, cut: Column) -> Column:
     return (cut["epochs"] * size + more).cast("long")
 
 
-def _as_struct(cuts: DataFrame) -> DataFrame:
-    return cuts.select(F.struct("*").alias("_mix_cut"))
+def _as_struct(cuts: DataFrame, name: str = "_mix_cut") -> DataFrame:
+    return cuts.select(F.struct("*").alias(name))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -182,8 +182,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     column of ``docs`` that is itself named ``taken`` is replaced.
     """
     _, cuts = plan(docs, id_col, text_col, source_col, **how)
-    cut = F.col("_mix_cut")
+    doc_name, cut_name = "_mix_doc", "_mix_cut"
+    while {doc_name, cut_name} & {c.lower() for c in docs.columns}:
+        doc_name, cut_name = doc_name + "_", cut_name + "_"
+    cut, own = F.col(cut_name), F.col(doc_name)
     doc = F.struct(word_count(F.col(f"`{text_col}`")).alias("size"), _key(f"`{id_col}`", f"`{text_col}`").alias("key"))
-    met = docs.withColumn("_mix_doc", doc).join(_as_struct(cuts), F.col(f"`{source_col}`").eqNullSafe(cut["source"]))
-    taken = _taken(F.col("_mix_doc.size"), F.col("_mix_doc.key"), cut)
-    return met.withColumn("taken", taken).drop("_mix_cut", "_mix_doc").filter("taken > 0")
+    met = docs.withColumn(doc_name, doc).join(_as_struct(cuts, cut_name), F.col(f"`{source_col}`").eqNullSafe(cut["source"]))
+    taken = _taken(own["size"], own["key"], cut)
+    return met.withColumn("taken", taken).drop(cut_name, doc_name).filter("taken > 0")

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheetmerge.llm import mixing
 
@@ -89,6 +90,13 @@ def test_reruns_agree_and_stage_keeps_columns(spark, rows):
     assert have == sorted((str(r.doc_id), r.taken) for r in mixing.mix(docs).collect() if r.taken)
 
 
+def test_clashing_names_stay(spark, rows):
+    docs = frames(spark, rows).withColumn("_mix_doc", F.lit("mine")).withColumn("_mix_cut", F.lit(7)).withColumn("_MIX_CUT_2", F.lit(8))
+    mixed = mixing.mixed_documents(docs)
+    assert set(mixed.columns) == set(docs.columns) | {"taken"}
+    assert {tuple(r) for r in mixed.select("_mix_doc", "_mix_cut", "_MIX_CUT_2").collect()} == {("mine", 7, 8)}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(none).count() == 0
