@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetmerge.llm.textblocks import blocks, marked, row_sums, words
+from sheetmerge.llm.textblocks import BLOCK_BYTES, WORD_CODE, blocks, marked, row_sums, words
 
 NGRAMS = (3, 4, 5, 6)
 BUCKET_BITS = 17
@@ -88,21 +88,58 @@ def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return buckets.astype(np.int32), (counts / (PRIOR + counts.sum())).astype(np.float32)
 
 
+def _stretches(data: np.ndarray):
+    """A text in stretches of about ``BLOCK_BYTES``, cut between words.
+
+    Each but the first begins with the last word of the one before, so that
+    a word that follows itself is seen to; that word is given, too, since it
+    counted already.
+    """
+    lo, again = 0, data[:0]
+    while lo < len(data):
+        hi = min(len(data), lo + BLOCK_BYTES)
+        while hi < len(data) and WORD_CODE[data[hi]] != 0x20:
+            part = WORD_CODE[data[hi : hi + BLOCK_BYTES]] == 0x20
+            hi = hi + int(part.argmax()) if part.any() else min(len(data), hi + BLOCK_BYTES)
+        yield np.concatenate((again, [np.uint8(0x20)], data[lo:hi])) if len(again) else data[lo:hi], again
+        letters = WORD_CODE[data[lo:hi]] != 0x20
+        if letters.any():
+            end = len(letters) - int(letters[::-1].argmax())
+            gaps = np.flatnonzero(~letters[:end])
+            again = data[lo + (int(gaps[-1]) + 1 if len(gaps) else 0) : lo + end]
+        lo = hi
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray  # log odds per bucket
     bias: float
 
+    def _sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights and the number of the n-grams of each row."""
+        offsets, found = _buckets(data, offsets)
+        total, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
+        for valid, bucket in found:
+            last = np.minimum(offsets, len(valid))
+            total += row_sums(np.where(valid, self.weights[bucket], 0.0), last)
+            count += row_sums(valid, last)
+        return total, count
+
+    def _long_sums(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`_sums` of one long text, a stretch at a time."""
+        total, count = np.zeros(1), np.zeros(1)
+        for stretch, again in _stretches(data):
+            for part, sign in ((stretch, 1), (again, -1)):
+                if len(part):
+                    t, c = self._sums(part, np.array([0, len(part)]))
+                    total, count = total + sign * t, count + sign * c
+        return total, count
+
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.empty(len(column))
         for lo, hi, data, offsets in blocks(column):
-            offsets, found = _buckets(data, offsets)
-            total, count = np.zeros(hi - lo), np.full(hi - lo, float(PRIOR))
-            for valid, bucket in found:
-                last = np.minimum(offsets, len(valid))
-                total += row_sums(np.where(valid, self.weights[bucket], 0.0), last)
-                count += row_sums(valid, last)
-            out[lo:hi] = 1 / (1 + np.exp(-np.clip(self.bias + total / count, -500, 500)))
+            total, count = self._long_sums(data) if hi - lo == 1 and len(data) > 2 * BLOCK_BYTES else self._sums(data, offsets)
+            out[lo:hi] = 1 / (1 + np.exp(-np.clip(self.bias + total / (PRIOR + count), -500, 500)))
         return out
 
 

@@ -99,3 +99,20 @@ def test_a_long_text_and_absent_documents_leave_the_sample(spark, corpus, monkey
     held = rows[600:]
     scores = model.scores(pa.array([t for _, t, _ in held]))
     assert np.mean([(s >= 0.5) == bool(y) for s, (_, _, y) in zip(scores, held, strict=True)]) >= 0.95
+
+
+def test_a_long_text_in_stretches_scores_as_a_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 1, 1 << toxicity.BUCKET_BITS), 0.1)
+    words = ["the", "the", "cat", "\u00e9t\u00e9", "sat", "x" * 90, "on", "on", "on", "a", "mat"]
+    texts = [" ".join(rng.choice(words, 400)), "on " * 500, "y" * 900, " \n" * 300, "a," * 300 + "  the the" * 60, "on on"]
+    want = [float(model.scores(pa.array([t]))[0]) for t in texts]
+    for size in (16, 37, 200):
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", size)
+        assert [float(model.scores(pa.array([t]))[0]) for t in texts] == pytest.approx(want, abs=1e-9)
+
+
+def test_empty_table(spark, corpus):
+    none = spark.createDataFrame([], "doc_id long, text string, score double")
+    assert toxicity.keep_clean(none, corpus[3]).count() == 0
+    assert none.select(toxicity.score(corpus[3], none, F.col("text")).alias("s")).count() == 0
