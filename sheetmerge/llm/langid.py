@@ -14,9 +14,10 @@ side in numpy: one step follows one transition of every stretch.
 Labelled text is a bounded sample: for each label, about ``SAMPLE_DOCS``
 documents (a hash of id and text decides), of which ``SAMPLE_PIECES`` pieces
 of ``PIECE`` characters are used: one of each document in hash order, then a
-second one of each, and so on. Automata of that size are built on the driver
-and broadcast as transition lists, all labels'. A worker holds the tables of
-``LANGUAGES`` of them at a time; with more labels it works block by block.
+second one of each, and so on. Automata of that size are built on the driver,
+label after label, and broadcast as transition lists, all labels'. A worker
+holds tables of ``TABLE_BYTES`` at a time; with more labels it goes through
+a batch of texts block of languages by block of languages.
 
 Defined results: a text that is null or has no letter is ``und`` with score
 0, and so is every text if nothing is labelled. Of equal languages the one
@@ -29,16 +30,18 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetmerge.llm.textblocks import WORD_CODE, blocks
+from sheetmerge.plans.sizing import broadcast_if_small
 from sheetmerge.sources.land import land
 
-LANGUAGES = 64
+TABLE_BYTES = 128 << 20
 SAMPLE_DOCS = 100
 SAMPLE_PIECES = 64
 PIECE = 750
@@ -100,9 +103,16 @@ class Model:
     key: str = ""
 
     def blocks(self) -> list[Model]:
-        """The model in parts of ``LANGUAGES`` languages."""
-        cuts = [slice(lo, lo + LANGUAGES) for lo in range(0, len(self.names), LANGUAGES)]
-        return [Model(self.names[c], self.sizes[c], self.edges[c], f"{self.key}-{c.start}") for c in cuts]
+        """The model in parts whose tables take ``TABLE_BYTES`` at most (or hold one language)."""
+        cuts, used = [0], 0
+        for k, edges in enumerate(self.edges):
+            size = 4 * (int(edges[:, 2].max(initial=0)) + 1) * (len(np.unique(edges[:, 1])) + 2)
+            if used and used + size > TABLE_BYTES:
+                cuts.append(k)
+                used = 0
+            used += size
+        bounds = zip(cuts, [*cuts[1:], len(self.names)], strict=True)
+        return [Model(self.names[a:b], self.sizes[a:b], self.edges[a:b], f"{self.key}-{a}") for a, b in bounds if a < b]
 
     def tables(self) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """Per language (symbol of each byte, transitions, symbols).
@@ -165,22 +175,21 @@ def _entropies(model: Model, tables, column: pa.Array) -> np.ndarray:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     spark = labelled.sparkSession
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null")
-    counts = rows.groupBy("lang").count().collect()
-    if not counts:
-        return Model([], [], [], uuid.uuid4().hex)
-    every = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, r["count"] // SAMPLE_DOCS))])
+    counts = land(spark, rows.groupBy("lang").count(), "language-rows")
     at = F.xxhash64("id", "text")
-    sample = rows.filter(F.pmod(at, F.element_at(every, F.col("lang"))) == 0)
+    every = F.greatest(F.lit(1), F.floor(F.col("count") / SAMPLE_DOCS))
+    sample = rows.join(broadcast_if_small(counts), "lang").filter(F.pmod(at, every) == 0)
     last = F.floor((F.length("text") - 1) / PIECE).cast("int")
     order = F.array_sort(F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.xxhash64("at", k).alias("h"), k.alias("nth"))))
     texts = sample.filter(F.length("text") > 0).select("lang", F.lower("text").alias("text"), at.alias("at"))
     pieces = texts.select("lang", "text", F.posexplode(F.slice(order, 1, SAMPLE_PIECES)).alias("turn", "of"))
     piece = F.substring("text", F.col("of.nth") * PIECE + 1, F.lit(PIECE)).alias("piece")
     pieces = land(spark, pieces.select("lang", "turn", F.col("of.h").alias("at"), piece), "language-sample")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "at", "piece"))
+    chosen = pieces.select("lang", "piece", turn.alias("n")).filter(F.col("n") <= SAMPLE_PIECES).orderBy("lang", "n")
     names, sizes, edges = [], [], []
-    for name in sorted(r["lang"] for r in counts):
-        chosen = pieces.filter(F.col("lang") == name).orderBy("turn", "at", "piece").limit(SAMPLE_PIECES).collect()
-        data = np.frombuffer(" ".join(r.piece for r in chosen).encode(), dtype=np.uint8)
+    for name, parts in groupby(chosen.toLocalIterator(), key=lambda r: r["lang"]):
+        data = np.frombuffer(" ".join(r["piece"] for r in parts).encode(), dtype=np.uint8)
         text, _ = _plain(data, np.array([0, len(data)]))
         if len(text):
             names.append(name)

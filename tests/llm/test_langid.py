@@ -74,16 +74,35 @@ def test_nothing_labelled(spark):
 
 
 def test_every_label_is_learnt_and_no_document_fills_a_sample(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    monkeypatch.setattr(langid, "TABLE_BYTES", 1)
     names = [f"l{k}" for k in range(7)]
     text = {name: " ".join(f"{c}{d}{c}" for c in "abcdefg"[k:] + "nopqrst"[:k] for d in "uvwxyz"[k % 3 :]) for k, name in enumerate(names)}
     rows = [(10 * k + n, text[name], name) for k, name in enumerate(names) for n in range(9 - k)]
     rows.append((900, "zzqzz " * 100_000, "l0"))
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
-    assert model.names == names and len(model.blocks()) == 3
+    assert model.names == names and len(model.blocks()) == 7
     docs = spark.createDataFrame([(k, text[name]) for k, name in enumerate(names)], "doc_id long, text string")
     got = {r.doc_id: r.f for r in docs.select("doc_id", langid.identify(model, docs, F.col("text")).alias("f")).collect()}
     assert [got[k].lang for k in range(len(names))] == names
     whole = langid._entropies(model, model.tables(), pa.array(list(text.values())))
     share = 1 / np.exp(whole.min(axis=1)[:, None] - whole).sum(axis=1)
     assert [got[k].score for k in range(len(names))] == pytest.approx(share.tolist())
+
+
+def test_blocks_hold_all_languages_within_their_bytes():
+    texts = [bytes((97 + (7 * k * j + j * j) % 23) for j in range(300 + 40 * k)) for k in range(40)]
+    edges = [langid._transitions(t) for t in texts]
+    model = langid.Model([f"l{k:02d}" for k in range(40)], [len(t) for t in texts], edges, "k")
+    whole = [table.nbytes for _, table, _ in model.tables()]
+    langid_bytes, langid.TABLE_BYTES = langid.TABLE_BYTES, 3 * max(whole)
+    try:
+        parts = model.blocks()
+    finally:
+        langid.TABLE_BYTES = langid_bytes
+    assert [n for p in parts for n in p.names] == model.names and 1 < len(parts) < 40
+    assert all(sum(table.nbytes for _, table, _ in p.tables()) <= 3 * max(whole) for p in parts)
+
+
+def test_empty_table(spark, model):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert none.select(langid.identify(model, none, F.col("text")).alias("f")).count() == 0 and langid.train(none).names == []
