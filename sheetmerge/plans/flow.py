@@ -26,9 +26,13 @@ def load_sources(
     chosen: Sequence[str] | None = None,
     invert: bool = False,
     exclude: Sequence[str] = (),
+    sheets: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Choose and scan the .xlsx and .csv files of a folder (each landed once).
 
+    ``sheets`` are the template's, where they are known: data rows of other
+    sheets aren't parsed.
+
     The choice is a predicate on file metadata, so files left out are never
     opened. Chosen names that match no file raise.
     -> (headers, rows, failed(file, reason)) over both formats.
@@ -44,7 +48,7 @@ def load_sources(
     rows = spark.createDataFrame([], model.ROWS)
     failed = spark.createDataFrame([], model.CANCELLED)
     if "xlsx" in formats:
-        h, r, failed = xlsx.scan_workbooks_with_failures(spark, directory, where=where)
+        h, r, failed = xlsx.scan_workbooks_with_failures(spark, directory, where=where, sheets=sheets)
         headers, rows = headers.unionByName(h), rows.unionByName(r)
     if "csv" in formats:
         h, r, f = csv_source.scan_csv_with_failures(spark, directory, where=where)
@@ -78,7 +82,8 @@ def plan_from_files(
     template = xlsx.read_template(spark, template_path)
     t_dir, t_name = posixpath.split(template_path.rstrip("/"))
     same_dir = _folder(spark, t_dir or ".") == _folder(spark, source_dir)
-    headers, rows, failed = load_sources(spark, source_dir, chosen, invert, exclude=[t_name] if same_dir else [])
+    sheets = sorted(r["sheet"] for r in template.select("sheet").distinct().collect())  # one row a template sheet
+    headers, rows, failed = load_sources(spark, source_dir, chosen, invert, [t_name] if same_dir else [], sheets)
     return MergePlan(spark, template, headers, rows, decisions, policy, failed=failed, **kwargs)
 
 

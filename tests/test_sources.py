@@ -397,3 +397,63 @@ def test_strict_workbook_and_unreadable_ones(spark, tmp_path):
     assert sorted((r["row_no"], tuple(r["vals"])) for r in rows.collect()) == [(1, ("45", "v", "TRUE")), (3, (None, None, None, "far"))]
     assert sorted(r["file"] for r in failed.collect()) == ["broken.xlsx", "hollow.xlsx"]
     assert all(r["reason"] for r in failed.collect())
+
+
+def _book_of_sheets(path, sheets, n, shared=False):
+    w = XlsxWriter(str(path))
+    for name in sheets:
+        w.start_sheet(name)
+        w.row(1, ["A", None, "B"])
+        for k in range(2, n + 2):
+            w.row(k, [f"{name}.{k}", None, None, "<&>" * (k % 3), None])
+    w.close()
+    if shared:  # the same book with a table of shared strings, stored uncompressed
+        with zipfile.ZipFile(path) as z:
+            parts = {m: z.read(m) for m in z.namelist()}
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        parts["xl/sharedStrings.xml"] = f"<sst {ns}><si><t>A</t></si><si><r><t>B</t></r><r><t>b</t></r></si></sst>".encode()
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+            for m, data in parts.items():
+                if m.startswith("xl/worksheets"):
+                    data = data.replace(b'<c r="C1" t="inlineStr"><is><t xml:space="preserve">B</t></is></c>', b'<c r="C1" t="s"><v>1</v></c>')
+                z.writestr(m, data)
+
+
+def test_large_sheets_are_parsed_by_tasks_of_their_own(spark, tmp_path):
+    names = [f"S{k}" for k in range(6)]
+    _book_of_sheets(tmp_path / "big.xlsx", names, 300)
+    _book_of_sheets(tmp_path / "stored.xlsx", names[:2], 200, shared=True)
+    _book_of_sheets(tmp_path / "small.xlsx", names[:1], 2)
+    write(tmp_path / "none.xlsx", "")
+
+    def scan(**how):
+        headers, rows, failed = xlsx.scan_workbooks_with_failures(spark, str(tmp_path), **how)
+        cells = sorted((r["file"], r["sheet"], r["row_no"], tuple(r["vals"])) for r in rows.collect())
+        return sorted(map(str, headers.collect())), cells, [tuple(r) for r in failed.collect()], rows
+
+    whole = scan()
+    assert len(whole[1]) == 6 * 300 + 2 * 200 + 2 and whole[2] == [("none.xlsx", "empty file")]
+    assert any("Bb" in h for h in whole[0])
+    dealt = scan(large_sheet=2000)
+    assert dealt[:3] == whole[:3]
+    spread = dealt[3].select(F.input_file_name().alias("f")).distinct().count()
+    assert spread > 6  # a task a sheet wrote them
+    target = tmp_path.parent / f"{tmp_path.name}-landed"
+    some = scan(large_sheet=2000, sheets=["S1", "S4"], land_to=str(target))
+    assert some[0] == whole[0] and some[1] == [c for c in whole[1] if c[1] in ("S1", "S4")]
+    parts = {p.name for p in target.iterdir() if p.name.startswith("part=")}
+    assert parts == {"part=h", "part=l", "part=d0", "part=d1"}  # no data rows of other sheets on disk
+
+
+def test_a_damaged_large_sheet_cancels_its_file(spark, tmp_path):
+    _book_of_sheets(tmp_path / "bad.xlsx", ["S"], 300)
+    _book_of_sheets(tmp_path / "good.xlsx", ["S"], 300)
+    with zipfile.ZipFile(tmp_path / "bad.xlsx") as z:
+        parts = {m: z.read(m) for m in z.namelist()}
+    with zipfile.ZipFile(tmp_path / "bad.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
+        for m, data in parts.items():
+            z.writestr(m, data.replace(b"</sheetData>", b"</wrong>"))
+    _, rows, failed = xlsx.scan_workbooks_with_failures(spark, str(tmp_path), large_sheet=2000)
+    assert rows.where("file = 'good.xlsx'").count() == 300
+    ((file, reason),) = [tuple(r) for r in failed.collect()]
+    assert file == "bad.xlsx" and reason.startswith("ParseError")
