@@ -3,24 +3,37 @@
 Alignment is one narrow stage over ``rows``: each row meets its sheet's
 index array (a broadcast join when the map is small enough, a shuffle join
 with AQE skew splitting otherwise) and every template slot becomes
-``get(vals, m[k])``. No explode, no pivot, no per-file plan.
+``get(vals, m[k])``. No explode, no pivot, no per-file plan. A wide template
+(more than ``WIDE`` slots) is aligned as one array, by one ``transform`` over the
+index array, and its entries get their names after that, so the work per
+row is one expression however wide the template is.
+
+Projections are written as SQL texts: a template may have 16,384 columns,
+and as many column objects take minutes to build.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sheetmerge.functions import pick
 from sheetmerge.model import SOURCE_NAME_COLUMN
 
 SLOT_PREFIX = "c"
 
+#: Templates of more slots than this are aligned as one array.
+WIDE = 200
+
 
 def slot_column(k: int) -> str:
     return f"{SLOT_PREFIX}{k}"
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def align(rows: DataFrame, mapping: DataFrame, width: int) -> DataFrame:
     """Put every value under its template slot.
 
@@ -29,10 +42,12 @@ def align(rows: DataFrame, mapping: DataFrame, width: int) -> DataFrame:
     mapping (unmatched sheets, cancelled files) fall away in the inner join.
     -> (sheet, file, row_no, 表名, c1 .. c{width-1})
     """
-    slots = [pick("vals", pick("m", k)).alias(slot_column(k)) for k in range(1, width)]
-    return rows.join(mapping, ["file", "sheet"]).select(
-        "sheet", "file", "row_no", F.col("file").alias(SOURCE_NAME_COLUMN), *slots
-    )
+    met, value = rows.join(mapping, ["file", "sheet"]), "get(vals, get(m, {}))"
+    if width > WIDE:
+        slots = F.transform("m", lambda i: F.get("vals", i)).alias("slots")
+        met, value = met.select("sheet", "file", "row_no", slots), "get(slots, {})"
+    slots = [f"{value.format(k)} AS {slot_column(k)}" for k in range(1, width)]
+    return met.selectExpr("sheet", "file", "row_no", f"file AS {quoted(SOURCE_NAME_COLUMN)}", *slots)
 
 
 def truncate_rows(rows: DataFrame, widths: DataFrame) -> DataFrame:
@@ -73,7 +88,10 @@ def physical_names(names: list[str | None]) -> list[str]:
 def sheet_frame(aligned: DataFrame, sheet: str, names: list[str | None]) -> DataFrame:
     """One template sheet with its own column names, in template order."""
     phys = physical_names(names)
-    cols = [F.col(SOURCE_NAME_COLUMN).alias(phys[0], metadata={"template_name": SOURCE_NAME_COLUMN})]
-    for k in range(1, len(names)):
-        cols.append(F.col(slot_column(k)).alias(phys[k], metadata={"template_name": names[k] or ""}))
-    return aligned.where(F.col("sheet") == F.lit(sheet)).select(*cols)
+    slots = [SOURCE_NAME_COLUMN, *(slot_column(k) for k in range(1, len(names)))]
+    named = aligned.where(F.col("sheet") == F.lit(sheet)).selectExpr(
+        *(f"{quoted(slot)} AS {quoted(name)}" for slot, name in zip(slots, phys, strict=True))
+    )
+    texts = [SOURCE_NAME_COLUMN, *(name or "" for name in names[1:])]
+    fields = [T.StructField(f.name, f.dataType, f.nullable, {"template_name": t}) for f, t in zip(named.schema.fields, texts, strict=True)]
+    return named.to(T.StructType(fields))

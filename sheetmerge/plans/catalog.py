@@ -565,6 +565,30 @@ def q_scan_csv_split_parity(spark, sf_dir):
     return rows.select(*[F.get("vals", F.lit(i)).alias(c) for i, c in enumerate("kvw")])
 
 
+_WIDE = 2000  # slots of the template, the source name included
+
+
+@_register_raw(
+    "merge_wide_template",
+    "SELECT 'w_' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '.xlsx' AS file, CAST(s_suppkey AS VARCHAR) || '.1' AS first_slot, "
+    f"md5(array_to_string(list_transform(range(1, {_WIDE}), lambda k: s_suppkey || '.' || k), '|')) AS slots_md5 FROM supplier",
+)
+def q_merge_wide_template(spark, sf_dir):
+    """A template of 2,000 columns; each source has them in an order of its own."""
+    s = spark.read.parquet(f"{sf_dir.rstrip('/')}/supplier.parquet")
+    n = _WIDE - 1  # a prime: every step visits all names
+    s = s.select("s_suppkey", F.format_string("w_%02d.xlsx", "s_nationkey").alias("file"), (F.col("s_nationkey") + 2).alias("step"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: (c * F.col("step") % n + 1).cast("int"))
+    names = F.posexplode(F.transform(places, lambda p: F.concat(F.lit("n"), p.cast("string")))).alias("col_idx", "name")
+    headers = s.select("file", "step").distinct().select("file", F.lit("W").alias("sheet"), names)
+    vals = F.transform(places, lambda p: F.concat(F.col("s_suppkey").cast("string"), F.lit("."), p.cast("string")))
+    rows = s.select("file", F.lit("W").alias("sheet"), F.col("s_suppkey").cast("long").alias("row_no"), vals.alias("vals"))
+    slots = [("W", k, f"n{k}" if k else model.SOURCE_NAME_COLUMN) for k in range(_WIDE)]
+    merged = merge_tables(spark, spark.createDataFrame(slots, model.TEMPLATE_HEADERS), headers, rows).sheets["W"]
+    texts = ", ".join(merge.quoted(c) for c in merged.columns[1:])
+    return merged.selectExpr(f"{merge.quoted(model.SOURCE_NAME_COLUMN)} AS file", "n1 AS first_slot", f"md5(concat_ws('|', array({texts}))) AS slots_md5")
+
+
 _LIMIT = 1 << 16
 
 

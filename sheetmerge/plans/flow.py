@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sheetmerge import model
 from sheetmerge.model import DECISIONS, SOURCE_EXTENSIONS
 from sheetmerge.plans.job import DetectReport, MergePlan, MergeResult
+from sheetmerge.session import file_system, run_scope
 from sheetmerge.sources import csv as csv_source, listing, sink, xlsx
 
 
@@ -58,9 +59,8 @@ def load_sources(
 
 def _folder(spark: SparkSession, path: str) -> str:
     """Fully qualified, normalised form of a folder path."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    fs, p = file_system(spark, path)
+    return fs.makeQualified(p).toString().rstrip("/")
 
 
 def read_decisions(spark: SparkSession, path: str | None) -> DataFrame | None:
@@ -89,21 +89,37 @@ def plan_from_files(
 
 def merge_files(spark: SparkSession, template_path: str, source_dir: str, out_dir: str | None = None,
                 fmt: str = "parquet", **kwargs) -> MergeResult:
-    """Merge, and write the result folder when ``out_dir`` is given."""
-    result = plan_from_files(spark, template_path, source_dir, **kwargs).result()
-    if out_dir is not None:
-        sink.write_result(result, out_dir, fmt)
-    return result
+    """Merge, and write the result folder when ``out_dir`` is given.
+
+    With ``out_dir`` the run removes what it landed once the result is
+    published, and the tables returned read the published result
+    (``merged_all``, which isn't part of it, is None).
+    """
+    if out_dir is None:
+        return plan_from_files(spark, template_path, source_dir, **kwargs).result()
+    with run_scope(spark):
+        sink.write_result(plan_from_files(spark, template_path, source_dir, **kwargs).result(), out_dir, fmt)
+    tables = {name: sink.read_audit(spark, out_dir, name, fmt) for name in sink.AUDIT_TABLES}
+    return MergeResult(sheets=sink.read_result(spark, out_dir, fmt), merged_all=None, **tables)
+
+
+REPORT_TABLES = ("exceptions", "choices_needed", "missing", "unmatched")
 
 
 def detect_files(spark: SparkSession, template_path: str, source_dir: str, out_dir: str | None = None,
                  fmt: str = "csv", **kwargs) -> DetectReport:
-    """Pass 1: what would need a decision; written for a person to answer."""
-    report = plan_from_files(spark, template_path, source_dir, **kwargs).report()
-    if out_dir is not None:
-        for name in ("exceptions", "choices_needed", "missing", "unmatched"):
-            w = getattr(report, name).write.mode("errorifexists").format(fmt)
-            if fmt == "csv":
-                w = w.option("header", True).option("escape", '"')
-            w.save(f"{out_dir.rstrip('/')}/{name}")
-    return report
+    """Pass 1: what would need a decision; written for a person to answer.
+
+    With ``out_dir`` the run removes what it landed, and the tables returned
+    read what was written.
+    """
+    if out_dir is None:
+        return plan_from_files(spark, template_path, source_dir, **kwargs).report()
+    out_dir = out_dir.rstrip("/")
+    options = {"header": True, "escape": '"'} if fmt == "csv" else {}
+    with run_scope(spark):
+        report = plan_from_files(spark, template_path, source_dir, **kwargs).report()
+        schemas = {name: getattr(report, name).schema for name in REPORT_TABLES}
+        for name in REPORT_TABLES:
+            getattr(report, name).write.mode("errorifexists").format(fmt).options(**options).save(f"{out_dir}/{name}")
+    return DetectReport(*(spark.read.schema(schemas[n]).format(fmt).options(**options).load(f"{out_dir}/{n}") for n in REPORT_TABLES))

@@ -46,7 +46,7 @@ from sheetmerge.sources.land import land
 @dataclass
 class MergeResult:
     sheets: dict[str, DataFrame]  # template sheet -> merged rows, template column names
-    merged_all: DataFrame  # (sheet, file, row_no, 表名, c1..): every merged row
+    merged_all: DataFrame | None  # (sheet, file, row_no, 表名, c1..): every merged row; None for a result read back
     exceptions: DataFrame  # 8-field exception table
     cancelled: DataFrame  # (file, reason)
     missing: DataFrame  # (file, sheet, name): template names a source lacks

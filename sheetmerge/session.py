@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -68,12 +71,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return local
 
 
+#: The folder of the run that is going on, if it owns its landed tables.
+_RUN: ContextVar[str | None] = ContextVar("sheetmerge_run", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared checkpoint folder (never reused)."""
-    base = checkpoint_dir(spark).rstrip("/")
+    base = _RUN.get() or checkpoint_dir(spark).rstrip("/")
     return f"{base}/sheetmerge-{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """A run that owns what it lands: all of it is removed when the run ends well.
+
+    Nothing that reads a landed table may outlive the scope. A run that
+    fails leaves its folder, named ``sheetmerge-run-...``, for inspection.
+    """
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/sheetmerge-run-{uuid.uuid4().hex[:12]}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+    fs, path = file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) as Spark's own readers and writers see them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme so Python file APIs can use the path."""
     if path.startswith("file://"):
@@ -91,9 +121,11 @@ __all__ = [
     "SCALE_CONF",
     "apply_conf",
     "checkpoint_dir",
+    "file_system",
     "is_local_path",
     "local_fs_path",
     "local_session",
+    "run_scope",
     "scratch_path",
 ]
 

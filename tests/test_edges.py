@@ -94,3 +94,33 @@ def test_no_broadcast_path_gives_the_same_result(spark):
     big = MergePlan(spark, th, h, r, d, max_broadcast_bytes=0).result()
     assert merged(small, "NAME1") == merged(big, "NAME1")
     assert srt(map(tuple, small.exceptions.collect())) == srt(map(tuple, big.exceptions.collect()))
+
+
+def test_wide_templates_are_aligned_alike(spark, monkeypatch):
+    from sheetmerge.operators import merge
+
+    th, h, r, d = frames(spark)
+    narrow = merge_tables(spark, th, h, r, d)
+    monkeypatch.setattr(merge, "WIDE", 1)
+    wide = merge_tables(spark, th, h, r, d)
+    for sheet, df in narrow.sheets.items():
+        assert wide.sheets[sheet].schema == df.schema
+        assert [f.metadata for f in wide.sheets[sheet].schema.fields] == [f.metadata for f in df.schema.fields]
+        assert merged(wide, sheet) == merged(narrow, sheet) and "slots" in wide.sheets[sheet]._jdf.queryExecution().toString()
+    assert srt(map(tuple, wide.merged_all.collect())) == srt(map(tuple, narrow.merged_all.collect()))
+
+
+def test_a_template_of_3000_columns(spark):
+    n = 3000
+    names = [None if k % 1000 == 7 else f"n`{k}" for k in range(n)]
+    th, h, r, d = frames(
+        spark,
+        template={"S": ["表名", *names[1:]]},
+        sources=[("f.xlsx", "S", names[:0:-1], [[str(k) for k in range(n - 1, 0, -1)], ["x"]])],
+        decisions=[],
+    )
+    sheet = merge_tables(spark, th, h, r, d).sheets["S"]
+    assert len(sheet.columns) == n and sheet.columns[1] == "n`1" and sheet.columns[7] == "_c7"
+    rows = sorted((tuple(x) for x in sheet.collect()), key=lambda x: str(x[1]))
+    assert rows[1] == ("f.xlsx", *([None] * (n - 2)), "x")
+    assert rows[0] == ("f.xlsx", *(None if names[k] is None else str(k) for k in range(1, n)))

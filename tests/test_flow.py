@@ -2,9 +2,14 @@
 
 import csv
 
+import os
+
+import pytest
+
 from sheetmerge import model
 from sheetmerge.plans import flow
 from sheetmerge.plans.fixture_files import XlsxWriter
+from sheetmerge.session import checkpoint_dir, local_fs_path
 from sheetmerge.sources import sink
 from tests.golden import DECISIONS, SOURCES, TEMPLATE
 
@@ -110,3 +115,43 @@ def test_merge_command_writes_the_result_folder(spark, tmp_path):
     assert back["NAME1"].count() == 7 and back["NAME2"].count() == 1
     cancelled = sink.read_audit(spark, str(out), "cancelled", fmt="csv").collect()
     assert [tuple(r) for r in cancelled] == [("小表5.xlsx", "unexpected column Z")]
+
+
+def test_a_run_that_fails_leaves_no_result_and_one_that_ends_leaves_no_landings(spark, tmp_path, monkeypatch):
+    src = tmp_path / "src"
+    src.mkdir()
+    write_golden(src)
+    out = str(tmp_path / "out")
+    shared = local_fs_path(checkpoint_dir(spark))
+
+    def landed():
+        return {n for n in os.listdir(shared) if n.startswith("sheetmerge-")} if os.path.isdir(shared) else set()
+
+    before, plain = landed(), sink.run_concurrently
+
+    def killed(actions, *how):
+        plain(actions[:2], *how)
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(sink, "run_concurrently", killed)
+    with pytest.raises(RuntimeError, match="killed"):
+        flow.merge_files(spark, str(src / "大表.xlsx"), str(src), out)
+    for read in (lambda: sink.read_result(spark, out), lambda: sink.read_audit(spark, out, "exceptions")):
+        with pytest.raises(FileNotFoundError):
+            read()
+    (left,) = landed() - before
+    assert left.startswith("sheetmerge-run-")
+    monkeypatch.setattr(sink, "run_concurrently", plain)
+    monkeypatch.setattr(sink, "_publish", lambda *_: None)  # killed before it is published
+    with pytest.raises(FileNotFoundError):
+        flow.merge_files(spark, str(src / "大表.xlsx"), str(src), out)
+    monkeypatch.undo()
+    between = landed()
+    res = flow.merge_files(spark, str(src / "大表.xlsx"), str(src), out)
+    assert landed() == between
+    assert not [n for n in os.listdir(out) if n.startswith("_staging")]
+    assert res.sheets["NAME1"].count() > 0 and res.cancelled.count() == 0 and res.merged_all is None
+    with pytest.raises(FileExistsError):
+        sink.write_result(res, out)
+    report = flow.detect_files(spark, str(src / "大表.xlsx"), str(src), str(tmp_path / "detect"))
+    assert landed() == between and report.choices_needed.count() == 2
