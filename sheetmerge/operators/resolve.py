@@ -17,7 +17,7 @@ All inputs here are header-sized; nothing touches ``rows``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetmerge.model import (
@@ -180,3 +180,48 @@ def build_mapping(assignment: DataFrame, cancelled: DataFrame | None = None) ->
     return src.groupBy("file", "sheet").agg(
         F.transform(ordered, lambda s: s["col_idx"]).alias("m")
     )
+
+
+def _dense(pairs: Column, width: Column) -> Column:
+    """(place, value) pairs as an array of ``width`` entries, null where there is no pair.
+
+    Sorted in among a blank for every place, each place's last entry is its
+    pair, or the blank: no lookup per place.
+    """
+    blanks = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.struct(k.alias("t_idx"), F.lit(None).cast("int").alias("col_idx")))
+
+    def last_of_each(sorted_: Column) -> Column:
+        kept = F.filter(sorted_, lambda x, k: F.coalesce(F.get(sorted_, k + 1)["t_idx"] != x["t_idx"], F.lit(True)))
+        return F.transform(kept, lambda x: x["col_idx"])
+
+    # bound as a lambda variable the array is sorted once, not once for every entry
+    return F.get(F.transform(F.array(F.array_sort(F.concat(pairs, blanks))), last_of_each), F.lit(0))
+
+
+def column_map(
+    occurrence: DataFrame, template_headers: DataFrame, rules: DataFrame, choices: DataFrame, matched: DataFrame
+) -> DataFrame:
+    """The index array of every matched sheet, as :func:`build_mapping` of :func:`slot_assignment`. -> (file, sheet, m)
+
+    Source columns meet the slots of their name (a broadcast of the
+    template); nothing is laid out for the slots that stay empty. A name
+    that a sheet has once needs no rule: it fills all its slots. Rules and
+    choices are joined for the repeated names alone, and one aggregate a
+    sheet gathers what its template's slots take.
+    """
+    slots = template_side(template_slots(template_headers).select("sheet", "name", "t_idx", "t_occ"))
+    widths = template_headers.groupBy("sheet").agg((F.max("t_idx") + 1).alias("width"))
+    pair = ["file", "sheet", "t_idx", "col_idx"]
+    filled = occurrence.where(F.col("n_s") == 1).join(slots, ["sheet", "name"]).select(*pair)
+    repeated = occurrence.where(F.col("n_s") >= 2).join(rules.select("file", "sheet", "name", "rule"), ["file", "sheet", "name"])
+    repeated = repeated.join(slots, ["sheet", "name"])
+    rule, occ = F.col("rule"), F.col("occ")
+    by_rule = repeated.where(
+        ((rule == RULE_FILL_ALL) & (occ == 1)) | (rule.isin(RULE_IN_ORDER, RULE_IN_ORDER_SHORT) & (occ == F.col("t_occ")))
+    ).select(*pair)
+    chosen = choices.select("file", "sheet", "name", "t_occ", "col_idx")
+    by_choice = repeated.where(rule == RULE_CHOOSE).join(chosen, ["file", "sheet", "name", "t_occ", "col_idx"], "left_semi").select(*pair)
+    none = matched.select("file", "sheet", F.lit(None).cast("int").alias("t_idx"), F.lit(None).cast("int").alias("col_idx"))
+    taken = F.when(F.col("t_idx").isNotNull(), F.struct("t_idx", "col_idx"))
+    sheets = filled.unionByName(by_rule).unionByName(by_choice).unionByName(none).groupBy("file", "sheet").agg(F.collect_list(taken).alias("pairs"))
+    return sheets.join(template_side(widths), "sheet").select("file", "sheet", _dense(F.col("pairs"), F.col("width")).alias("m"))

@@ -226,7 +226,14 @@ class MergePlan:
     @cached_property
     def mapping_all(self) -> DataFrame:
         """Column map of every matched sheet, cancelled files included (landed)."""
-        return self._keep(resolve.build_mapping(self.assignment).select("file", "sheet", "m"), "mapping")
+        m = resolve.column_map(
+            self.occurrence,
+            self.template_headers,
+            self._header_side(self.rules.where(F.col("n_s") >= 2)),
+            self._header_side(self.choices),
+            self.matched,
+        )
+        return self._keep(m, "mapping")
 
     @cached_property
     def actions(self) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import pytest
 
-from sheetmerge import merge_tables, model
+from pyspark.sql import functions as F
+
+from sheetmerge import MergePlan, merge_tables, model
 from tests.golden import frames
 
 
@@ -145,3 +147,24 @@ def test_a_file_that_could_not_be_read_is_listed(spark):
     res = merge_tables(spark, th, h, r, d, failed=failed)
     assert [tuple(x) for x in res.cancelled.collect()] == [("bad.xlsx", "BadZipFile: not a zip")]
     assert res.sheets["S"].count() == 3
+
+
+def test_the_column_map_equals_the_slots_of_the_grid(spark):
+    """The map gathered from filled slots against every slot of every sheet laid out, on the fixtures and the golden example."""
+    from sheetmerge.operators import resolve
+    from sheetmerge.plans.fixtures import frames as fixture_frames
+    from tests.golden import frames as golden_frames
+
+    inputs = [golden_frames(spark)]
+    for name in ("customer", "three"):
+        f = fixture_frames(spark, "/root/testdata/sf0.001", name)
+        inputs.append((f.template_headers, f.headers, f.rows, f.decisions))
+    for th, h, r, d in inputs:
+        plan = MergePlan(spark, th, h, r, d)
+        want = resolve.build_mapping(plan.assignment)
+        got = {(x["file"], x["sheet"]): list(x["m"]) for x in plan.mapping_all.collect()}
+        assert got == {(x["file"], x["sheet"]): list(x["m"]) for x in want.collect()} and got
+        assert any(c is None for m in got.values() for c in m[1:])
+    m = resolve.column_map(plan.occurrence, plan.template_headers, F.broadcast(plan.rules), F.broadcast(plan.choices), plan.matched)
+    text = m._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("SortMergeJoin") == 0 and text.count("Explode") + text.count("Generate") == 0
