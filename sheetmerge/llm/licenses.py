@@ -2,14 +2,17 @@
 
 Units of a text are its lines, and its paragraphs (between blank lines) of
 two or more lines. Units and templates become words (lower case, letters
-and digits) and the set of their bigrams. A unit carries a template where
-2 |shared| / (|unit| + |template|) is ``THRESHOLD`` or more.
+and digits) and the set of their bigrams. A unit carries the template whose
+2 |shared| / (|unit| + |template|) is the greatest, if that is ``THRESHOLD``
+or more: licences that differ in a word or a number are told apart by it. Of
+equal templates the longer one counts, then the licence first by name.
 
 A notice may be part of a longer unit: in a comment with code below, or in a
 text kept as one line. So the words of the whole text, comment marks being
 none, are compared in windows, too: as many words as the template has, laid
-so that an anchor word of the template meets itself. A licence that windows
-alone carry counts as one unit of its document.
+so that an anchor word meets itself. At each place of the text that holds an
+anchor, all templates with that word compete, and the best one counts as
+above. A licence that windows alone carry counts as one unit of its document.
 
 Pruning loses nothing. Sizes: the coefficient is at most 2 min / (min +
 max) of both sizes, so a unit meets only the templates within a factor of
@@ -41,22 +44,43 @@ LONG_WORD = 6
 CHUNK = 256
 GAP = r"[^\p{L}\p{N}]+"
 
-#: Fixed texts: licence and a notice or the opening of the licence.
+_GNU = "it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+# fixed values: licences, and notices, openings or passages that tell them from their siblings
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("AGPL-3.0", "This program is free software: you can redistribute " + _GNU.format("Affero General Public License", "3")),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD", "Licensed under the BSD License."),
+    ("BSD", "Released under the BSD License."),
+    ("BSD-2-Clause", 'Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute " + _GNU.format("General Public License", "2")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute " + _GNU.format("General Public License", "3")),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Released under the ISC License."),
+    ("LGPL-2.1", "This library is free software; you can redistribute " + _GNU.format("Lesser General Public License", "2.1")),
+    ("LGPL-3.0", "This library is free software: you can redistribute " + _GNU.format("Lesser General Public License", "3")),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((name.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {name}") for name in (
+        "Apache-2.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0-only",
+        "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+        "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense",
+    )),
 )
 
 
@@ -113,22 +137,36 @@ def _scored(size: Column, shared: Column) -> Column:
     return 2 * shared / (size + F.size("template"))
 
 
-def _window_matches(texts: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """(id, license, score) of the windows of (id, text) that carry a template."""
-    rows, most = [], 1
-    for name, text in templates:
-        words = _words(text)
-        grams, most = _bigrams(words), max(most, len(words))
-        for key in (a.replace(GAP, " ") for a in (anchors(grams, threshold) if grams else ())):
+def _best(met: DataFrame, *place: str) -> DataFrame:
+    """(id, license, score): the best template of each place."""
+    order = F.struct((-F.col("score")).alias("score"), (-F.size("template")).alias("size"), "license", "id")
+    best = met.select(*place, order.alias("best")).groupBy(*place).agg(F.min("best").alias("best"))
+    return best.select("best.id", "best.license", (-F.col("best.score")).alias("score"))
+
+
+def window_keys(templates: Sequence[tuple[str, str]], threshold: float) -> list[tuple[str, str, list[str], int, int]]:
+    """(key, license, bigrams, at, words): every place in a template of an anchor of any template."""
+    words = [(name, _words(text)) for name, text in templates]
+    keys = {a.replace(GAP, " ") for _, w in words if len(w) > 1 for a in anchors(_bigrams(w), threshold)}
+    rows = []
+    for name, mine in words:
+        for key in sorted(keys):
             part = key.split()
-            rows += [(key, name, grams, at, len(words)) for at in range(len(words)) if words[at : at + len(part)] == part]
+            rows += [(key, name, _bigrams(mine), at, len(mine)) for at in range(len(mine)) if len(mine) > 1 and mine[at : at + len(part)] == part]
+    return rows
+
+
+def _window_matches(texts: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+    """(id, license, score) of the windows of (row, id, text) that carry a template."""
+    rows, most = window_keys(templates, threshold), max([1, *(len(_words(text)) for _, text in templates)])
     table = texts.sparkSession.createDataFrame(rows, "key string, license string, template array<string>, at int, words int")
     keys = sorted({r[0] for r in rows})
     # word k of the text is word k - CHUNK * chunk + most of a chunk, from 0; the first chunk has blanks before it
     words = F.filter(F.split("text", GAP), lambda w: w != "")
-    padded = texts.select("id", F.concat(F.array_repeat(F.lit(""), most), words).alias("words")).filter(F.size("words") > most + 1)
+    padded = texts.select("row", "id", F.concat(F.array_repeat(F.lit(""), most), words).alias("words")).filter(F.size("words") > most + 1)
     begins = F.sequence(F.lit(1), F.size("words") - most, F.lit(CHUNK))
-    chunks = padded.select("id", F.explode(F.transform(begins, lambda b: F.slice("words", b, CHUNK + 2 * most))).alias("chunk"))
+    cut = F.transform(begins, lambda b: F.slice("words", b, CHUNK + 2 * most))
+    chunks = padded.select("row", "id", F.posexplode(cut).alias("nth", "chunk"))
 
     def key_at(p: Column) -> Column:
         word = F.get("chunk", p)
@@ -137,14 +175,14 @@ def _window_matches(texts: DataFrame, templates: Sequence[tuple[str, str]], thre
 
     own = F.sequence(F.lit(most), F.least(F.size("chunk"), F.lit(most + CHUNK)) - 1)
     found = F.transform(own, lambda p: F.struct(p.alias("p"), key_at(p).alias("keys")))
-    hits = chunks.select("id", "chunk", F.explode(F.filter(found, lambda h: F.size(h["keys"]) > 0)).alias("hit"))
-    hits = hits.select("id", "chunk", F.col("hit.p").alias("p"), F.explode("hit.keys").alias("key"))
+    hits = chunks.select("row", "nth", "id", "chunk", F.explode(F.filter(found, lambda h: F.size(h["keys"]) > 0)).alias("hit"))
+    hits = hits.select("row", "nth", "id", "chunk", F.col("hit.p").alias("p"), F.explode("hit.keys").alias("key"))
     met = hits.join(F.broadcast(table), "key")
     window = F.filter(F.slice("chunk", F.col("p") - F.col("at") + 1, F.col("words")), lambda w: w != "")
-    met = met.select("id", "license", "template", _distinct_bigrams(window).alias("bigrams"))
+    met = met.select("row", "nth", "p", "id", "license", "template", _distinct_bigrams(window).alias("bigrams"))
     shared = F.size(F.array_intersect("bigrams", "template"))
-    met = met.select("id", "license", _scored(F.size("bigrams"), shared).alias("score"))
-    return met.filter(F.col("score") >= threshold)
+    met = met.withColumn("score", _scored(F.size("bigrams"), shared)).filter(F.col("score") >= threshold)
+    return _best(met, "row", "nth", "p")
 
 
 def find_licenses(
@@ -159,16 +197,17 @@ def find_licenses(
     signs = sorted({a for g in grams if g for a in anchors(g, threshold)})
     anchor = "|".join(signs) or "$^"
     texts = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).filter(F.col("text").rlike(anchor))
-    units = texts.select("id", F.explode(_units(F.col("text"))).alias("unit")).filter(F.col("unit").rlike(anchor))
+    texts = texts.withColumn("row", F.monotonically_increasing_id())
+    units = texts.select("row", "id", F.posexplode(_units(F.col("text"))).alias("nth", "unit")).filter(F.col("unit").rlike(anchor))
     words = F.filter(F.split("unit", GAP), lambda w: w != "")
-    units = units.select("id", words.alias("words")).filter(F.size("words") > 1)
-    units = units.select("id", _distinct_bigrams(F.col("words")).alias("bigrams"))
+    units = units.select("row", "nth", "id", words.alias("words")).filter(F.size("words") > 1)
+    units = units.select("row", "nth", "id", _distinct_bigrams(F.col("words")).alias("bigrams"))
     # the stated templates: a fixed list, at most a few sizes each
     sizes = F.broadcast(_template_sizes(docs, templates, threshold))
     met = units.withColumn("size", F.size("bigrams")).join(sizes, "size")
     shared = F.size(F.array_intersect("bigrams", "template"))
     met = met.withColumn("score", _scored(F.col("size"), shared)).filter(F.col("score") >= threshold)
-    met = met.select("id", "license", "score", F.lit(True).alias("whole"))
+    met = _best(met, "row", "nth").withColumn("whole", F.lit(True))
     met = met.union(_window_matches(texts, templates, threshold).withColumn("whole", F.lit(False)))
     whole = F.when(F.col("whole"), F.col("score"))
     return met.groupBy(F.col("id").alias(id_col), "license").agg(

@@ -176,31 +176,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _licenses_sql() -> str:
-    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    values = ", ".join(f"({text(name)}, {text(words)})" for name, words in licenses.TEMPLATES)
+    found = licenses.window_keys(licenses.TEMPLATES, licenses.THRESHOLD)
+    keys = ", ".join(f"({text(key)}, {text(name)}, [{', '.join(map(text, grams))}], {at}, {size})" for key, name, grams, at, size in found)
 
     def bigrams(words: str) -> str:
         return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
 
     words = "list_filter(regexp_split_to_array(lower({}), '[^\\pL\\pN]+'), lambda w: w <> '')"
+    score = "2 * len(list_intersect({0}.g, {1}.g)) / CAST(len({0}.g) + len({1}.g) AS DOUBLE)"
     return f"""
         WITH templates(license, text) AS (VALUES {values}),
         tw AS (SELECT license, {words.format('text')} AS w FROM templates),
         t AS (SELECT license, {bigrams('w')} AS g FROM tw),
+        docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
         units AS (
-          SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL
+          SELECT r, doc_id, unnest(string_split(text, chr(10))) AS unit FROM docs
           UNION ALL
-          SELECT doc_id, unit FROM (
-            SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS unit FROM documents WHERE text IS NOT NULL
+          SELECT r, doc_id, unit FROM (
+            SELECT r, doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS unit FROM docs
           ) WHERE contains(unit, chr(10))
         ),
-        uw AS (SELECT doc_id, {words.format('unit')} AS w FROM units),
-        u AS (SELECT doc_id, {bigrams('w')} AS g FROM uw WHERE len(w) BETWEEN 2 AND 400),
-        m AS (
-          SELECT doc_id, license, 2 * len(list_intersect(u.g, t.g)) / CAST(len(u.g) + len(t.g) AS DOUBLE) AS score
+        numbered AS (SELECT row_number() OVER () AS u, doc_id, {words.format('unit')} AS w FROM units),
+        u AS (SELECT u, doc_id, {bigrams('w')} AS g FROM numbered WHERE len(w) > 1),
+        lines AS (
+          SELECT u.doc_id, t.license, {score.format('u', 't')} AS score,
+            row_number() OVER (PARTITION BY u.u ORDER BY {score.format('u', 't')} DESC, len(t.g) DESC, t.license) AS nth
           FROM u, t WHERE len(list_intersect(u.g, t.g)) > 0
+        ),
+        keys(key, license, g, place, n_words) AS (VALUES {keys}),
+        whole AS (SELECT r, doc_id, {words.format('text')} AS w FROM docs),
+        places AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM whole WHERE len(w) > 1),
+        hits AS (
+          SELECT p.r, p.doc_id, p.p, k.license, k.g AS tg, list_slice(p.w, greatest(1, p.p - k.place), p.p - k.place + k.n_words - 1) AS win
+          FROM places p JOIN keys k ON k.key = p.w[p.p]
+          UNION ALL
+          SELECT p.r, p.doc_id, p.p, k.license, k.g, list_slice(p.w, greatest(1, p.p - k.place), p.p - k.place + k.n_words - 1)
+          FROM places p JOIN keys k ON k.key = p.w[p.p] || ' ' || p.w[p.p + 1]
+        ),
+        h AS (SELECT r, doc_id, p, license, {{'g': {bigrams('win')}}} AS a, {{'g': tg}} AS b FROM hits),
+        windows AS (
+          SELECT doc_id, license, {score.format('a', 'b')} AS score,
+            row_number() OVER (PARTITION BY r, p ORDER BY {score.format('a', 'b')} DESC, len(b.g) DESC, license) AS nth
+          FROM h
+        ),
+        m AS (
+          SELECT doc_id, license, score, true AS line FROM lines WHERE nth = 1 AND score >= {licenses.THRESHOLD}
+          UNION ALL SELECT doc_id, license, score, false FROM windows WHERE nth = 1 AND score >= {licenses.THRESHOLD}
         )
-        SELECT doc_id, license, count(*) AS units, max(score) AS score FROM m WHERE score >= {licenses.THRESHOLD}
-        GROUP BY doc_id, license
+        SELECT doc_id, license, greatest(count(*) FILTER (WHERE line), 1) AS units,
+          coalesce(max(score) FILTER (WHERE line), max(score)) AS score
+        FROM m GROUP BY doc_id, license
     """
 
 

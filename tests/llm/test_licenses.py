@@ -14,17 +14,35 @@ def plain(rows):
             continue
         units = text.split("\n") + [p for p in re.split(r"\n[ \t\r]*\n", text) if "\n" in p]
         for unit in units:
-            mine = set(licenses._bigrams(licenses._words(unit)))
-            best = {}
-            for name, template in licenses.TEMPLATES:
-                theirs = set(licenses._bigrams(licenses._words(template)))
-                score = 2 * len(mine & theirs) / (len(mine) + len(theirs))
-                if score >= 0.8:
-                    best.setdefault(name, []).append(score)
-            for name, scores in best.items():
-                n, s = out.get((i, name), (0, 0.0))
-                out[i, name] = (n + len(scores), max(s, *scores))
-    return out
+            score, name = best_of(licenses._words(unit), GRAMS)
+            if score >= 0.8:
+                n, s, _ = out.get((i, name), (0, 0.0, 0))
+                out[i, name] = (n + 1, max(s, score), 0)
+        words = licenses._words(text)
+        for p in range(len(words)):
+            key = {words[p], " ".join(words[p : p + 2])}
+            windows = [(words[max(0, p - at) : p - at + size], (name, set(grams))) for k, name, grams, at, size in KEYS if k in key]
+            score, name = min((-best_of(w, [t])[0], -len(t[1]), t[0]) for w, t in windows)[::2] if windows else (0, "")
+            if -score >= 0.8:
+                n, s, w = out.get((i, name), (0, 0.0, 0.0))
+                out[i, name] = (n, s, max(w, -score))
+    return {k: (max(n, 1), s or w) for k, (n, s, w) in out.items()}
+
+
+GRAMS = [(name, set(licenses._bigrams(licenses._words(text)))) for name, text in licenses.TEMPLATES]
+KEYS = licenses.window_keys(licenses.TEMPLATES, licenses.THRESHOLD)
+
+
+def best_of(words, templates):
+    """(score, licence) of the best template; the longer one on a tie."""
+    mine = set(licenses._bigrams(words))
+    scored = [(-2 * len(mine & theirs) / (len(mine) + len(theirs)), -len(theirs), name) for name, theirs in templates]
+    score, _, name = min(scored)
+    return -score, name
+
+
+def template(start, license=None):
+    return next(text for name, text in licenses.TEMPLATES if text.startswith(start) and license in (None, name))
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +57,7 @@ def rows():
         half = len(words) // 2
         out.append((k, "before\n\n" + " ".join(words[:half]) + "\n" + " ".join(words[half:]) + "\n \nafter"))
         k += 1
-    mit = licenses.TEMPLATES[9][1]
+    mit = template("Released under the MIT")
     out += [(500, None), (501, ""), (502, "\n\n\n"), (503, "license"), (None, mit), (None, mit), (3, mit + "\n" + mit), (504, ("filler words here\n" * 20_000) + mit), (505, "licensed " * 50_000)]
     return out
 
@@ -69,7 +87,7 @@ def test_empty_and_native(spark):
 
 
 def test_notices_inside_longer_units(spark):
-    mit, gpl, mpl = licenses.TEMPLATES[11][1], licenses.TEMPLATES[7][1], licenses.TEMPLATES[12][1]
+    mit, gpl, mpl = template("Permission is"), template("This program", "GPL-3.0"), template("This Source")
 
     def comment(mark, text, width=9):
         words = text.split()
@@ -87,3 +105,20 @@ def test_notices_inside_longer_units(spark):
     rows = licenses.find_licenses(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.license) for r in rows) == [(k, name) for k, _, name in docs if name]
     assert all(r.units == 1 and r.score >= 0.8 for r in rows)
+
+
+def test_sibling_licences_are_told_apart(spark):
+    bsd = template("Redistribution and") + "\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. "
+    two, three = template("Redistributions in"), template("Neither")
+    clause, disclaimer = two.split(" THIS SOFTWARE")[0], "\n\nTHIS SOFTWARE" + two.split(" THIS SOFTWARE")[1]
+    docs = {name: text for name, text in licenses.TEMPLATES if not text.startswith("SPDX") and not name.startswith(("BSD-", "CC"))}
+    cases = [(f"# {text}\ncode = 1", {name}) for name, text in docs.items()]
+    cases += [("Some words before it. " + text.upper() + " And some words after it, too.", {name}) for name, text in docs.items()]
+    cases += [(f"// {text}\n", {name}) for name, text in licenses.TEMPLATES if text.startswith("SPDX")]
+    cases += [(bsd + clause + disclaimer, {"BSD", "BSD-2-Clause"}), (bsd + clause + "\n\n3. " + three + disclaimer, {"BSD", "BSD-3-Clause"})]
+    cases += [("Licensed under the BSD License.", {"BSD"}), ("Released under the ISC License.", {"ISC"}), ("the GNU General Public License, version 2.", set())]
+    found = {k: set() for k in range(len(cases))}
+    frame = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+    for r in licenses.find_licenses(frame).collect():
+        found[r.doc_id].add(r.license)
+    assert [(cases[k][0], v) for k, v in found.items() if v != cases[k][1]] == []
