@@ -457,3 +457,44 @@ def test_a_damaged_large_sheet_cancels_its_file(spark, tmp_path):
     assert rows.where("file = 'good.xlsx'").count() == 300
     ((file, reason),) = [tuple(r) for r in failed.collect()]
     assert file == "bad.xlsx" and reason.startswith("ParseError")
+
+
+def test_csv_small_splits_share_tasks_and_landed_parts(spark, tmp_path):
+    import glob
+
+    text = "k,v\n" + "".join(f'{i},"say ""{i}"", then\n\n{i},"\n' for i in range(20_000))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(text, encoding="utf-8")
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "2048")
+    try:
+        headers, rows, failed = csv_source.scan_csv_with_failures(spark, str(tmp_path / "in"), land_to=str(tmp_path / "cells"))
+        assert spark.conf.get(key) == "2048"
+    finally:
+        spark.conf.set(key, old)
+    parts = len(glob.glob(f"{tmp_path}/cells/part-*.parquet"))
+    assert len(text) // 2048 > 5 * csv_source.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert 1 < parts <= csv_source.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert {(r["row_no"], *r["vals"]) for r in rows.collect()} == {
+        (i + 1, str(i), f'say "{i}", then\n\n{i},') for i in range(20_000)
+    }
+    assert headers.count() == 2 and failed.count() == 0
+
+
+def test_csv_sizes_and_open_values():
+    import csv
+    import random
+
+    assert [csv_source._in_bytes(x) for x in ("2048", "64k", "134217728b", "16MB", "1g")] == [2048, 65536, 1 << 27, 1 << 24, 1 << 30]
+
+    def consumed(parts):
+        reader = csv.reader(iter(parts))
+        next(reader)
+        return reader.line_num
+
+    draw = random.Random(7)
+    for _ in range(20_000):
+        line = "".join(draw.choice('",ab ') for _ in range(draw.randint(1, 12)))
+        assert csv_source._opens(line) == (consumed([line + "\n", ""]) > 1), line
+        assert csv_source._opens('"' + line) == (consumed(['"\n', line + "\n", ""]) > 2), line
