@@ -566,6 +566,7 @@ def q_scan_csv_split_parity(spark, sf_dir):
 
 
 _WIDE = 2000  # slots of the template, the source name included
+_WIDE_TASKS = 4  # tasks a core that make the wide rows
 
 
 @_register_raw(
@@ -578,6 +579,8 @@ def q_merge_wide_template(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir.rstrip('/')}/supplier.parquet")
     n = _WIDE - 1  # a prime: every step visits all names
     s = s.select("s_suppkey", F.format_string("w_%02d.xlsx", "s_nationkey").alias("file"), (F.col("s_nationkey") + 2).alias("step"))
+    # a small file is one task's, and each of its rows becomes 2,000 cells
+    s = s.repartition(_WIDE_TASKS * spark.sparkContext.defaultParallelism)
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: (c * F.col("step") % n + 1).cast("int"))
     names = F.posexplode(F.transform(places, lambda p: F.concat(F.lit("n"), p.cast("string")))).alias("col_idx", "name")
     headers = s.select("file", "step").distinct().select("file", F.lit("W").alias("sheet"), names)
