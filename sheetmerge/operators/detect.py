@@ -150,20 +150,18 @@ def scan_rows(rows: DataFrame, profile: DataFrame) -> DataFrame:
     aggregate; texts are gathered from the first five rows alone, a filter
     that reaches the scan.
     """
-    checks = _row_checks(rows, profile)
-    texts = _first_texts(rows, profile)
-    no_text, no_name = F.lit("").alias("sample"), F.lit(None).cast("string").alias("name")
-    columns = ["file", "sheet", "fact", "name", "col_idx", "eq", "sample"]
-    dups = checks.where(F.col("fact") == FACT_DUP).withColumn("sample", no_text)
-    overflow = (
-        checks.where(F.col("fact") == FACT_OVERFLOW)
-        .join(texts.select("file", "sheet", "col_idx", "sample"), ["file", "sheet", "col_idx"], "left")
-        .withColumn("sample", F.coalesce("sample", F.lit("")))
-    )
-    probed = texts.where("probed").select(
-        "file", "sheet", F.lit(FACT_SAMPLE).alias("fact"), no_name, "col_idx", F.lit(True).alias("eq"), "sample"
+    # each branch is used once: a filter by kind would reach the rows and have them read once a kind
+    met = _row_checks(rows, profile).join(_first_texts(rows, profile), ["file", "sheet", "col_idx"], "full_outer")
+    checked = F.col("fact").isNotNull()
+    return met.where(checked | F.col("probed")).select(
+        "file",
+        "sheet",
+        F.coalesce("fact", F.lit(FACT_SAMPLE)).alias("fact"),
+        "name",
+        "col_idx",
+        F.when(checked, F.col("eq")).otherwise(True).alias("eq"),
+        F.when(checked, F.coalesce("sample", F.lit(""))).otherwise(F.col("sample")).alias("sample"),
     )
-    return dups.select(columns).unionByName(overflow.select(columns)).unionByName(probed.select(columns))
 
 
 def _beyond(width: F.Column, n: F.Column) -> F.Column:
