@@ -9,7 +9,8 @@ DuckDB share, so the Spark frames here and the oracle SQL in
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -363,20 +364,21 @@ def part_rows(spark: SparkSession, sf_dir: str, part: Part) -> DataFrame:
     ]
     if part.row_no is not None:
         return base.select(cols[0], cols[1], F.expr(part.row_no).cast("long").alias("row_no"), cols[2])
-    # dense numbers per (file, sheet) in the fixture's order; no per-group window
-    order = [F.expr(e).alias(f"_o{i}") for i, e in enumerate(part.row_order)]
-    keyed = base.select(*cols, *order)
-    numbered = number_in_order(spark, keyed, ["file", "sheet"], [f"_o{i}" for i in range(len(order))], "fixture-rows")
-    return numbered.select("file", "sheet", F.col("row_no").cast("long"), "vals")
+    # dense numbers per (file, sheet) in the fixture's order; no per-group window. The
+    # table's own columns are sorted and landed, not the texts made of them
+    texts = " ".join((_case_array(part, _spark_vals), *part.row_order))
+    used = [c for c in base.columns if re.search(rf"\b{re.escape(c)}\b", texts)]
+    order = [F.expr(e) for e in part.row_order]
+    numbered = number_in_order(spark, base.select(*cols[:2], *used), ["file", "sheet"], order, "fixture-rows")
+    return numbered.select("file", "sheet", F.col("row_no").cast("long"), cols[2])
 
 
 def part_headers(spark: SparkSession, sf_dir: str, part: Part) -> DataFrame:
     base = _table(spark, sf_dir, part.table)
-    sheets = base.select(
-        F.expr(part.file).alias("file"),
-        F.expr(part.sheet).alias("sheet"),
-        F.expr(_case_array(part, _spark_header)).alias("h"),
-    ).distinct()
+    keys = [F.expr(part.file).alias("file"), F.expr(part.sheet).alias("sheet"), F.expr(part.variant).alias("variant")]
+    header = _case_array(replace(part, variant="variant"), _spark_header)
+    # the rows are told apart by their variant; two variants may have one header
+    sheets = base.select(*keys).distinct().select("file", "sheet", F.expr(header).alias("h")).distinct()
     return sheets.select("file", "sheet", F.posexplode("h").alias("col_idx", "name")).select(
         "file", "sheet", F.col("col_idx").cast("int"), "name"
     )
